@@ -23,7 +23,7 @@ from corpusmill.operators.lexical import LexicalIndex
 from corpusmill.runtime import is_small, lookup_join, scratch_dir
 from corpusmill.schema import CORPUS, STRING_MAP
 
-LOG = "version long, segment string, base boolean, batch string"
+LOG = "version long, segment string, base boolean, batch string, last_seq long"
 DOCS = ("doc_id string, doc_key string, seq long, op string, content string, "
         "metadata map<string,string>, embedding array<float>")
 POSTINGS = "doc_id string, term string, tf long, dl long"
@@ -63,28 +63,33 @@ def in_memory_index(corpus: DataFrame) -> Index:
 # --- log and segment tables ---------------------------------------------------------------------
 
 
-def _log(spark: SparkSession, path: str) -> list:
+def _commits(spark: SparkSession, path: str) -> list:
+    """All commits in order: one small row each."""
     try:
-        rows = spark.read.schema(LOG).json(f"{path}/log").orderBy("version").collect()  # one row per commit
+        return spark.read.schema(LOG).json(f"{path}/log").orderBy("version").collect()
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return []
-    bases = [i for i, r in enumerate(rows) if r["base"]]
-    return rows[bases[-1]:] if bases else rows
 
 
-def committed_batches(spark: SparkSession, path: str) -> set[str]:
-    try:
-        return {r["batch"] for r in spark.read.schema(LOG).json(f"{path}/log").select("batch").distinct().collect()}
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return set()
+def _live(commits: list) -> list:
+    """The newest base and what was committed after it."""
+    bases = [i for i, r in enumerate(commits) if r["base"]]
+    return commits[bases[-1]:] if bases else commits
 
 
-def _append_log(spark: SparkSession, path: str, version: int, segment: str, base: bool, batch: str | None) -> None:
-    spark.createDataFrame([(version, segment, base, batch)], LOG).coalesce(1).write.mode("append").json(f"{path}/log")
+def _append_log(spark: SparkSession, path: str, *row) -> None:
+    """The commit itself: a segment counts once its line is in the log."""
+    spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").json(f"{path}/log")
+
+
+def committed_files(spark: SparkSession, path: str) -> DataFrame:
+    """Ledger of processed files: one row ``file_name`` per file of any commit."""
+    commits = _commits(spark, path)
+    if not commits:
+        return spark.createDataFrame([], "file_name string")
+    return spark.read.schema("file_name string").parquet(*[f"{r['segment']}/files" for r in commits]).distinct()
 
 
 def _write_bucketed(df: DataFrame, folder: str, buckets: int) -> None:
@@ -114,36 +119,48 @@ def _segment_postings(spark: SparkSession, segment: str) -> DataFrame:
 # --- build and load -----------------------------------------------------------------------------
 
 
-def save_index(corpus: DataFrame, path: str, seq: int = 0, batch: str | None = None) -> Index:
-    """Write a corpus as the base segment of a new store and open it."""
-    spark = corpus.sparkSession
-    previous = _log(spark, path)
-    version = previous[-1]["version"] + 1 if previous else 0
+def save_index(corpus: DataFrame, path: str, seq: int = 0) -> Index:
+    """Write a corpus as the base segment of a store and open it."""
     shaped = as_corpus(corpus)
     docs = shaped.withColumns({"seq": F.lit(seq).cast("long"), "op": F.lit("add")})
-    return _write_base(spark, path, version, docs, batch)
+    return _write_base(corpus.sparkSession, path, _commits(corpus.sparkSession, path), docs, None, None)
 
 
-def _write_base(spark: SparkSession, path: str, version: int, docs: DataFrame, batch: str | None) -> Index:
+def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame, batch: str | None,
+                files: DataFrame | None) -> Index:
+    version = commits[-1]["version"] + 1 if commits else 0
     buckets = _buckets(spark)
     segment = f"{path}/segment-{version:08d}-{uuid.uuid4().hex}-b{buckets}"
-    columns = [c.split()[0] for c in DOCS.split(", ")]
-    docs.select(*columns).write.parquet(f"{segment}/docs")
-    stored_docs = spark.read.schema(DOCS).parquet(f"{segment}/docs").filter("op = 'add'")
+    stored_docs = _write_docs(spark, segment, docs, files)
     _write_bucketed(lexical.build_postings(stored_docs, buckets), f"{segment}/postings", buckets)
     postings = _segment_postings(spark, segment)
     postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{segment}/terms")
     terms = spark.read.schema(TERMS).parquet(f"{segment}/terms")
     lexical.df_histogram(terms).write.parquet(f"{segment}/histogram")
-    # Every token sits in exactly one posting, so the lengths add up to the sum of tf.
+    # Every token is counted in exactly one posting, so the tf add up to the total length.
     totals = stored_docs.agg(F.count(F.lit(1)).alias("n")).withColumn(
         "total_dl", postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).scalar())
     histogram = spark.read.schema(HISTOGRAM).parquet(f"{segment}/histogram")
     lexical.with_mean_idf(totals, histogram).coalesce(1).write.parquet(f"{segment}/stats")
-    _append_log(spark, path, version, segment, True, batch)
+    _append_log(spark, path, version, segment, True, batch, _last_seq(spark, segment, commits))
     return load_index(spark, path)
 
 
+def _write_docs(spark: SparkSession, segment: str, entries: DataFrame, files: DataFrame | None) -> DataFrame:
+    """Write a segment's entries and file names; returns the added documents as stored."""
+    columns = [c.split()[0] for c in DOCS.split(", ")]
+    entries.select(*columns).write.parquet(f"{segment}/docs")
+    ledger = spark.createDataFrame([], "file_name string") if files is None else files.select("file_name")
+    ledger.write.parquet(f"{segment}/files")
+    return spark.read.schema(DOCS).parquet(f"{segment}/docs").filter("op = 'add'")
+
+
+def _last_seq(spark: SparkSession, segment: str, commits: list) -> int:
+    own = spark.read.schema(DOCS).parquet(f"{segment}/docs").agg(F.max("seq").alias("s")).first()["s"]
+    before = commits[-1]["last_seq"] if commits else -1
+    return max(before, -1 if own is None else own)
+
+
 def _entries(spark: SparkSession, log: list) -> DataFrame:
     """All stored document entries of the given commits with their version."""
     parts = [spark.read.schema(DOCS).parquet(f"{r['segment']}/docs").withColumn("version", F.lit(r["version"]))
@@ -156,7 +173,7 @@ def _entries(spark: SparkSession, log: list) -> DataFrame:
 
 def load_index(spark: SparkSession, path: str) -> Index:
     """Open a store: live documents and their lexical index."""
-    log = _log(spark, path)
+    log = _live(_commits(spark, path))
     if not log:
         raise FileNotFoundError(f"no committed index at {path}")
     base, deltas = log[0], log[1:]
@@ -203,30 +220,36 @@ def newest_change(changes: DataFrame) -> DataFrame:
     return latest.select("doc_id", "seq", "c.*")
 
 
-def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: str | None = None) -> Index:
+def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: str | None = None,
+                   files: DataFrame | None = None, seq: int | None = None) -> Index:
     """Apply add/delete changes (seq, op, doc_id, content, metadata, embedding) as one commit.
 
     A change older than what is stored for its id is ignored, also an add after a later delete.
-    A batch name that was committed before is skipped, so a replay changes nothing.
+    Changes without ``seq`` get ``seq``, or the next one after all stored. A batch name that was
+    committed before is skipped, so a replay changes nothing. ``files`` joins the ledger with it.
     """
-    if batch is not None and batch in committed_batches(spark, path):
+    commits = _commits(spark, path)
+    if batch is not None and batch in {r["batch"] for r in commits}:
         return load_index(spark, path)
+    if "seq" not in changes.columns:
+        following = commits[-1]["last_seq"] + 1 if commits else 0
+        changes = changes.withColumn("seq", F.lit(following if seq is None else seq).cast("long"))
     for name in ("content", "metadata", "embedding"):
         if name not in changes.columns:
             changes = changes.withColumn(name, F.lit(None).cast(CORPUS[name].dataType))
     wanted = newest_change(changes)
-    log = _log(spark, path)
-    if not log:
-        return _write_base(spark, path, 0, _as_entries(wanted), batch)
+    if not commits:
+        return _write_base(spark, path, commits, _as_entries(wanted), batch, files)
 
+    log = _live(commits)
     version = log[-1]["version"] + 1
     buckets = _buckets(spark)
     segment = f"{path}/segment-{version:08d}-{uuid.uuid4().hex}-b{buckets}"
-    ids = wanted.select("doc_id")
     narrow = _entries(spark, log).select("doc_id", "seq")
-    known = lookup_join(narrow, ids, ["doc_id"], "left_semi").groupBy("doc_id").agg(F.max("seq").alias("known_seq"))
+    known = lookup_join(narrow, wanted.select("doc_id"), ["doc_id"], "left_semi").groupBy("doc_id").agg(
+        F.max("seq").alias("known_seq"))
     fresh = wanted.join(known, "doc_id", "left").filter(F.col("seq") > F.coalesce("known_seq", F.lit(-1)))
-    _as_entries(fresh.drop("known_seq")).write.parquet(f"{segment}/docs")
+    _write_docs(spark, segment, _as_entries(fresh.drop("known_seq")), files)
 
     before = load_index(spark, path)
     written = spark.read.schema(DOCS).parquet(f"{segment}/docs")
@@ -261,7 +284,7 @@ def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: st
                                                      f"{segment}/histogram")
     merged = histogram.groupBy("df").agg(F.sum("words").alias("words"))
     lexical.with_mean_idf(totals, merged).coalesce(1).write.parquet(f"{segment}/stats")
-    _append_log(spark, path, version, segment, False, batch)
+    _append_log(spark, path, version, segment, False, batch, _last_seq(spark, segment, commits))
     return load_index(spark, path)
 
 
@@ -278,8 +301,8 @@ def _as_entries(changes: DataFrame) -> DataFrame:
 
 def compact(spark: SparkSession, path: str) -> Index:
     """Fold all commits into a new base; deletions stay as entries without content."""
-    log = _log(spark, path)
-    entries = _entries(spark, log)
+    commits = _commits(spark, path)
+    entries = _entries(spark, _live(commits))
     newest = entries.groupBy("doc_id").agg(F.max("version").alias("version"))
     live = entries.join(newest, ["doc_id", "version"], "left_semi").drop("version")
-    return _write_base(spark, path, log[-1]["version"] + 1, live, None)
+    return _write_base(spark, path, commits, live, None, None)
