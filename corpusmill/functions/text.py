@@ -101,7 +101,8 @@ def base_name(path: Column | str) -> Column:
 
 def output_name(path: Column | str, extension: str = ".json") -> Column:
     """Base name of ``path`` with its last extension replaced."""
-    return F.concat(F.regexp_replace(base_name(path), r"(?<=[^.])\.[^.]*\z", ""), F.lit(extension))
+    root = F.regexp_replace(base_name(path), r"(?s)\A(\.*[^.].*)\.[^.]*\z", "$1")
+    return F.concat(root, F.lit(extension))
 
 
 def metadata_from_json(c: Column | str) -> Column:

@@ -50,7 +50,7 @@ def render_numbers(df: DataFrame, columns: list[str], file_col: str | None = "so
     facts = []
     for i, c in enumerate(columns):
         number = q(c).try_cast("double").isNotNull() & ~q(c).rlike(r"[dDfF]\s*\z")
-        facts += [F.bool_and(F.coalesce(number, q(c).isNull())).alias(f"_num{i}"),
+        facts += [F.bool_and(q(c).isNull() | number).alias(f"_num{i}"),
                   F.bool_and(F.coalesce(q(c).rlike(integral), F.lit(False))).alias(f"_int{i}")]
     if file_col is None:
         df, file_col = df.withColumn("_file", F.lit(0)), "_file"

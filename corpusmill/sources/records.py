@@ -27,7 +27,8 @@ def read_page_totals(spark: SparkSession, path: str, tag: str = "totalCount") ->
 
 def write_records_csv(df: DataFrame, path: str) -> None:
     """CSV with a header and no index column (UTF-8 without byte-order mark)."""
-    df.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""').csv(path)
+    (df.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_records_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
