@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 from corpusmill.operators.ordinals import first_n, key_ordinal, ordered_concat
-from corpusmill.runtime import lookup_join
+from corpusmill.runtime import lookup_join, stored
 from corpusmill.schema import MISSING, MISSING_CELLS, SOLDIER_SAVINGS_GUIDE, STRING_MAP, SheetSpec
 
 
@@ -54,7 +54,7 @@ def render_numbers(df: DataFrame, columns: list[str], file_col: str | None = "so
                   F.bool_and(F.coalesce(q(c).rlike(integral), F.lit(False))).alias(f"_int{i}")]
     if file_col is None:
         df, file_col = df.withColumn("_file", F.lit(0)), "_file"
-    flags = df.groupBy(file_col).agg(*facts)
+    flags = stored(df.groupBy(file_col).agg(*facts), "column-kinds")
     joined = lookup_join(df, flags, [file_col], "inner", spread=[c for c in columns])
     shown = {}
     for i, c in enumerate(columns):

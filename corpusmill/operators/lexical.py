@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scores, text
-from corpusmill.runtime import SALTS, is_small, lookup_join, top_per_group
+from corpusmill.runtime import is_small, lookup_join, top_per_group
 
 
 @dataclass(frozen=True)
@@ -36,15 +36,14 @@ def lexical_tokens(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", text.tokens(text.lexical_text("metadata", "content")).alias("tokens"))
 
 
-def build_postings(corpus: DataFrame, partitions: int | None = None) -> DataFrame:
+def build_postings(corpus: DataFrame, placed: bool = False) -> DataFrame:
     """Term frequencies and length per document.
 
-    The narrow text rows are shuffled once by document. That is less data than exploded tokens and
-    leaves every later per-document step without a shuffle.
+    The narrow text rows are shuffled once by document, unless they are ``placed`` so already. That
+    is less data than exploded tokens and leaves every later per-document step without a shuffle.
     """
-    narrow = corpus.select("doc_id", text.lexical_text("metadata", "content").alias("text"))
-    placed = narrow.repartition(partitions, "doc_id") if partitions else narrow.repartition("doc_id")
-    rows = placed.select("doc_id", text.tokens("text").alias("tokens"))
+    rows = corpus.select("doc_id", text.lexical_text("metadata", "content").alias("text"))
+    rows = (rows if placed else rows.repartition("doc_id")).select("doc_id", text.tokens("text").alias("tokens"))
     exploded = rows.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     return exploded.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).select(
         "doc_id", "term", "tf", "dl")
@@ -97,7 +96,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def query_weights(queries: DataFrame, index: LexicalIndex, epsilon: float = scores.EPSILON,
                   small: bool | None = None) -> DataFrame:
     """idf x multiplicity per query term; terms the corpus lacks weigh nothing and are dropped."""
-    known = lookup_join(index.terms, query_terms(queries), ["term"], "inner", small=small)
+    words = query_terms(queries)
+    if small if small is not None else is_small(words):
+        known = index.terms.join(F.broadcast(words), "term")
+    else:  # a term may occur in most queries: spread those, copy its one row of the index
+        known = lookup_join(words, index.terms, ["term"], "inner", spread=["query_id"], small=False)
     known = known.groupBy("query_id", "term", "qtf").agg(F.sum("df").alias("df")).filter(F.col("df") > 0)
     raw = scores.raw_idf(F.lit(index.totals["n"]), F.col("df"))
     idf = scores.floored_idf(raw, F.lit(index.totals["mean_idf"]), epsilon)
@@ -113,41 +116,47 @@ def score_bm25(queries: DataFrame, index: LexicalIndex, k1: float = scores.K1, b
     avgdl = F.lit(index.totals["total_dl"] / max(index.totals["n"], 1))
     summand = F.col("weight") * scores.term_weight(F.col("tf"), F.col("dl"), avgdl, k1, b)
 
+    counts = index.terms.groupBy("term").agg(F.sum("df").alias("n"))
+
     def score(postings: DataFrame) -> DataFrame:
-        matched = lookup_join(postings, weights, ["term"], "inner", spread=["doc_id"], small=small)
+        matched = lookup_join(postings, weights, ["term"], "inner", spread=["doc_id"], small=small, counts=counts)
         return matched.groupBy("query_id", "doc_id").agg(F.sum(summand).alias("score"))
 
     return reduce(DataFrame.unionByName, map(score, index.postings))
 
 
 def bm25_topk(queries: DataFrame, index: LexicalIndex, n: int, k1: float = scores.K1, b: float = scores.B,
-              epsilon: float = scores.EPSILON) -> DataFrame:
+              epsilon: float = scores.EPSILON, small: bool | None = None) -> DataFrame:
     """Best ``n`` of *all* documents per query, documents scoring zero included, ties by doc_id.
 
     A document outside the postings of a query scores zero. The ``2n`` smallest ids always hold ``n``
     documents that are not among fewer than ``n`` positive ones, so only those are offered as padding.
-    Where the mean idf is negative, scores may be negative and zeros outrank them; then every
-    document is offered to every query.
+
+    Where the mean idf is negative, the floored terms weigh less than nothing and zeros outrank the
+    documents they occur in. A query with a negative score has a term found in over half of all
+    documents; for such queries every document is offered, at most twice what matched anyway.
     """
     order = [scores.order_score(F.col("score")).desc(), F.col("doc_id")]
-    scored = score_bm25(queries, index, k1, b, epsilon)
+    scored = score_bm25(queries, index, k1, b, epsilon, small)
+    padding = index.docs.orderBy("doc_id").limit(2 * n).agg(F.collect_list("doc_id").alias("ids")).scalar()
+    zeros = queries.select("query_id", F.explode(padding).alias("doc_id"), F.lit(0.0).alias("score"))
     if (index.totals["mean_idf"] or 0) < 0:
-        zero = _zero_rows(index.docs, queries)
-        everything = scored.unionByName(zero).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
-        return top_per_group(everything, ["query_id"], order, n, ["doc_id"])
-    positive = scored.filter(scores.order_score(F.col("score")) > 0)
-    best = top_per_group(positive, ["query_id"], order, n, ["doc_id"])
-    padding = index.docs.orderBy("doc_id").limit(2 * n)
-    offered = _zero_rows(padding, queries)
-    union = best.drop("rank").unionByName(offered).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return top_per_group(union, ["query_id"], order, n, ["doc_id"])
-
-
-def _zero_rows(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """A zero score for each of ``docs`` and each query, the ids of the queries sent along in bounded lists."""
-    ids = queries.select("query_id")
-    groups = ids.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).alias("slot")).agg(
+        negative = scored.filter(scores.order_score(F.col("score")) < 0).select("query_id").distinct()
+        zeros = zeros.unionByName(_every_document(index.docs, negative))
+        best = scored
+    else:
+        best = top_per_group(scored.filter(scores.order_score(F.col("score")) > 0), ["query_id"], order, n, ["doc_id"])
+    # A zero offered for a matched document adds nothing to its score.
+    offered = best.select("query_id", "doc_id", "score").unionByName(zeros)
+    summed = offered.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    return top_per_group(summed, ["query_id"], order, n, ["doc_id"])
+
+
+def _every_document(docs: DataFrame, queries: DataFrame, list_size: int = 10_000) -> DataFrame:
+    """A zero score for each document and each query; the query ids travel in bounded lists."""
+    slots = max(1, -(-queries.count() // list_size))
+    lists = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(slots)).alias("slot")).agg(
         F.collect_list("query_id").alias("ids"))
-    offered = docs.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return offered.join(groups, "slot").select(F.explode("ids").alias("query_id"), "doc_id",
-                                               F.lit(0.0).alias("score"))
+    offered = docs.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    joined = lookup_join(offered, lists, ["slot"], "inner", spread=["doc_id"])
+    return joined.select(F.explode("ids").alias("query_id"), "doc_id", F.lit(0.0).alias("score"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import is_small, lookup_join, scratch_dir
+from corpusmill.runtime import is_small, lookup_join, scratch_dir, stored
 
 
 def file_ordinals(scan: DataFrame, name: str = "row_ordinal") -> DataFrame:
@@ -26,8 +26,8 @@ def file_ordinals(scan: DataFrame, name: str = "row_ordinal") -> DataFrame:
     blocks = placed.groupBy("source_file", "_block").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
     earlier = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("source_file", "_block", "_first",
-                            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = stored(blocks.select("source_file", "_block", "_first",
+                                   F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")), "offsets")
     joined = lookup_join(placed, offsets, ["source_file", "_block"], "inner", spread=["_place"])
     ordinal = F.col("_place") - F.col("_first") + F.col("_offset")
     return joined.withColumn(name, ordinal).drop("_block", "_place", "_first", "_offset")
@@ -62,7 +62,7 @@ def row_ordinal(df: DataFrame, by: str | list[str], order: list[str], name: str
     """
     by = [by] if isinstance(by, str) else by
     placed = global_ordinals(df, [*by, *order], "_position")
-    starts = placed.groupBy(*by).agg(F.min("_position").alias("_start"))
+    starts = stored(placed.groupBy(*by).agg(F.min("_position").alias("_start")), "starts")
     joined = lookup_join(placed, starts, by, "inner", spread=["_position"])
     return joined.withColumn(name, F.col("_position") - F.col("_start")).drop("_position", "_start")
 
@@ -88,7 +88,8 @@ def ordered_concat(df: DataFrame, by: list[str], order: str, value: str, sep: st
     """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
     merged = F.array_join(ordered, sep).alias(name)
-    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_rows).select(*by)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    hot = stored(sizes.filter(F.col("_n") > part_rows).select(*by), "large-groups")
     if hot.isEmpty():
         return df.groupBy(*by).agg(merged).select(*by, F.lit(0).cast("long").alias("part"), name)
     small = is_small(hot)

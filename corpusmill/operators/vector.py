@@ -8,6 +8,7 @@ grid of cells, each cell doing the same product on a bounded block.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scores
-from corpusmill.runtime import SALTS, is_small, lookup_join, measure, top_per_group
+from corpusmill.runtime import is_small, lookup_join, measure, top_per_group
 
 MATRIX_BYTES = 64 << 20      # query vectors sent to the tasks
 PRODUCT_CELLS = 4_000_000    # scores held at once by a task
@@ -155,8 +156,6 @@ def plane_sign(plane: Column, dim: Column) -> Column:
 
 
 def plane_matrix(planes: int, dims: int) -> np.ndarray:
-    import hashlib
-
     signs = [[1.0 if int(hashlib.md5(f"{p}:{d}".encode()).hexdigest()[0], 16) % 2 == 0 else -1.0
               for d in range(dims)] for p in range(planes)]
     return np.array(signs)
@@ -207,7 +206,7 @@ def vector_topk_approx(queries: DataFrame, corpus: DataFrame, n: int, tables: in
                           F.posexplode("codes").alias("table_no", "bucket"))
     entries = having.select("doc_id", "embedding", "codes", F.posexplode("codes").alias("table_no", "bucket"))
     pairs = lookup_join(entries, probes, ["table_no", "bucket"], "inner", spread=["doc_id"],
-                        small=is_small(asked, size=MATRIX_BYTES // (2 * tables)))
+                        small=is_small(queries.select("query_id", "query_vec"), size=MATRIX_BYTES // (2 * tables)))
     agreeing = F.zip_with("codes", "query_codes", lambda a, b: a == b)
     first = pairs.filter(F.array_position(agreeing, True) == F.col("table_no") + 1)
     scored = first.select("query_id", "doc_id",

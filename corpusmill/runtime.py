@@ -16,7 +16,11 @@ BROADCAST_BYTES = 64 << 20
 # Spark pushes a row_number() limit below the shuffle up to this many rows
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
+# A key with more rows than this on the large side of a shuffle join is spread over several tasks.
+HOT_ROWS = 5_000_000
 SALTS = 64
+# Up to this many ids are given to a scan as a literal list, which prunes buckets and row groups.
+LITERAL_IDS = 10_000
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
@@ -61,20 +65,39 @@ def is_small(df: DataFrame, rows: int | None = None, size: int | None = None) ->
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-                spread: list[str] | None = None, small: bool | None = None) -> DataFrame:
+                spread: list[str] | None = None, small: bool | None = None, counts: DataFrame | None = None,
+                hot_rows: int | None = None) -> DataFrame:
     """Join a possibly skewed ``left`` to a ``right`` side.
 
-    The right side is broadcast when measured small. Beyond that both sides are shuffled, with the
-    left rows of a key spread over ``SALTS`` partitions by the columns ``spread`` and the right rows
-    copied to each, so a hot key never lands in one task.
+    The right side is broadcast when measured small. Beyond that both sides are shuffled. The few
+    keys with more than ``hot_rows`` left rows, of which there cannot be many, are spread by the
+    columns ``spread`` over as many tasks as they need, and only their right rows are copied.
+    ``counts`` (key, n) saves counting the left rows per key.
     """
     if small if small is not None else is_small(right):
         return left.join(F.broadcast(right), on, how)
     if not spread:
         return left.join(right, on, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    rows = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = stored(rows.filter(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).alias("_tasks")), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    tasks = F.coalesce("_tasks", F.lit(1))
+    salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), tasks))
+    copies = right.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)))
+    return salted.drop("_tasks").join(copies.drop("_tasks"), [*on, "_salt"], how).drop("_salt")
+
+
+def restrict(df: DataFrame, key: str, wanted: DataFrame, limit: int = LITERAL_IDS) -> DataFrame:
+    """``df`` reduced to the keys occurring in ``wanted`` when these are few, else ``df`` as it is.
+
+    The keys become a literal list, so a table bucketed by ``key`` is read only in the buckets that
+    hold them. Only a saving: callers still join.
+    """
+    keys = [r[0] for r in wanted.select(key).distinct().limit(limit + 1).collect()]
+    return df.filter(F.col(key).isin(keys)) if len(keys) <= limit else df
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int,

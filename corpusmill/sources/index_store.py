@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text
 from corpusmill.operators import lexical
 from corpusmill.operators.lexical import LexicalIndex
-from corpusmill.runtime import is_small, lookup_join, scratch_dir
+from corpusmill.runtime import BROADCAST_BYTES, BROADCAST_ROWS, is_small, lookup_join, measure, scratch_dir, stored
 from corpusmill.schema import CORPUS, STRING_MAP
 
 LOG = "version long, segment string, base boolean, batch string, last_seq long"
@@ -29,6 +29,8 @@ DOCS = ("doc_id string, doc_key string, seq long, op string, content string, "
 POSTINGS = "doc_id string, term string, tf long, dl long"
 TERMS = "term string, df long"
 HISTOGRAM = "df long, words long"
+# Size of the documents of one bucket of a commit.
+BUCKET_BYTES = 128 << 20
 STATS = "n long, total_dl long, mean_idf double"
 
 
@@ -107,13 +109,26 @@ def _read_bucketed(spark: SparkSession, folder: str, schema: str, buckets: int)
     return spark.table(name)
 
 
-def _buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _buckets(spark: SparkSession, size: int | None = None) -> int:
+    """Buckets of a segment: the shuffle partitions, fewer for a segment of known small size."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return most if size is None else max(1, min(most, -(-size // BUCKET_BYTES)))
+
+
+def _new_segment(path: str, version: int, buckets: int) -> str:
+    return f"{path}/segment-{version:08d}-{uuid.uuid4().hex}-b{buckets}"
+
+
+def _bucket_count(segment: str) -> int:
+    return int(segment.rsplit("-b", 1)[1])
 
 
 def _segment_postings(spark: SparkSession, segment: str) -> DataFrame:
-    buckets = int(segment.rsplit("-b", 1)[1])
-    return _read_bucketed(spark, f"{segment}/postings", POSTINGS, buckets)
+    return _read_bucketed(spark, f"{segment}/postings", POSTINGS, _bucket_count(segment))
+
+
+def _segment_docs(spark: SparkSession, segment: str) -> DataFrame:
+    return _read_bucketed(spark, f"{segment}/docs", DOCS, _bucket_count(segment))
 
 
 # --- build and load -----------------------------------------------------------------------------
@@ -129,11 +144,9 @@ def save_index(corpus: DataFrame, path: str, seq: int = 0) -> Index:
 def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame, batch: str | None,
                 files: DataFrame | None) -> Index:
     version = commits[-1]["version"] + 1 if commits else 0
-    buckets = _buckets(spark)
-    segment = f"{path}/segment-{version:08d}-{uuid.uuid4().hex}-b{buckets}"
+    segment = _new_segment(path, version, _buckets(spark))
     stored_docs = _write_docs(spark, segment, docs, files)
-    _write_bucketed(lexical.build_postings(stored_docs, buckets), f"{segment}/postings", buckets)
-    postings = _segment_postings(spark, segment)
+    postings = _write_postings(spark, segment, stored_docs)
     postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{segment}/terms")
     terms = spark.read.schema(TERMS).parquet(f"{segment}/terms")
     lexical.df_histogram(terms).write.parquet(f"{segment}/histogram")
@@ -149,22 +162,28 @@ def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame,
 def _write_docs(spark: SparkSession, segment: str, entries: DataFrame, files: DataFrame | None) -> DataFrame:
     """Write a segment's entries and file names; returns the added documents as stored."""
     columns = [c.split()[0] for c in DOCS.split(", ")]
-    entries.select(*columns).write.parquet(f"{segment}/docs")
+    buckets = _bucket_count(segment)
+    _write_bucketed(entries.select(*columns).repartition(buckets, "doc_id"), f"{segment}/docs", buckets)
     ledger = spark.createDataFrame([], "file_name string") if files is None else files.select("file_name")
     ledger.write.parquet(f"{segment}/files")
-    return spark.read.schema(DOCS).parquet(f"{segment}/docs").filter("op = 'add'")
+    return _segment_docs(spark, segment).filter("op = 'add'")
+
+
+def _write_postings(spark: SparkSession, segment: str, docs: DataFrame) -> DataFrame:
+    """Postings of a segment's documents. These are bucketed by document, so nothing is shuffled."""
+    _write_bucketed(lexical.build_postings(docs, placed=True), f"{segment}/postings", _bucket_count(segment))
+    return _segment_postings(spark, segment)
 
 
 def _last_seq(spark: SparkSession, segment: str, commits: list) -> int:
-    own = spark.read.schema(DOCS).parquet(f"{segment}/docs").agg(F.max("seq").alias("s")).first()["s"]
+    own = _segment_docs(spark, segment).agg(F.max("seq").alias("s")).first()["s"]
     before = commits[-1]["last_seq"] if commits else -1
     return max(before, -1 if own is None else own)
 
 
 def _entries(spark: SparkSession, log: list) -> DataFrame:
     """All stored document entries of the given commits with their version."""
-    parts = [spark.read.schema(DOCS).parquet(f"{r['segment']}/docs").withColumn("version", F.lit(r["version"]))
-             for r in log]
+    parts = [_segment_docs(spark, r["segment"]).withColumn("version", F.lit(r["version"])) for r in log]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
@@ -237,26 +256,25 @@ def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: st
     for name in ("content", "metadata", "embedding"):
         if name not in changes.columns:
             changes = changes.withColumn(name, F.lit(None).cast(CORPUS[name].dataType))
-    wanted = newest_change(changes)
+    wanted = stored(newest_change(changes), "changes")
     if not commits:
         return _write_base(spark, path, commits, _as_entries(wanted), batch, files)
 
     log = _live(commits)
     version = log[-1]["version"] + 1
-    buckets = _buckets(spark)
-    segment = f"{path}/segment-{version:08d}-{uuid.uuid4().hex}-b{buckets}"
+    rows, size = measure(wanted)
+    small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    segment = _new_segment(path, version, _buckets(spark, size))
     narrow = _entries(spark, log).select("doc_id", "seq")
-    known = lookup_join(narrow, wanted.select("doc_id"), ["doc_id"], "left_semi").groupBy("doc_id").agg(
+    known = lookup_join(narrow, wanted.select("doc_id"), ["doc_id"], "left_semi", small=small).groupBy("doc_id").agg(
         F.max("seq").alias("known_seq"))
     fresh = wanted.join(known, "doc_id", "left").filter(F.col("seq") > F.coalesce("known_seq", F.lit(-1)))
     _write_docs(spark, segment, _as_entries(fresh.drop("known_seq")), files)
 
     before = load_index(spark, path)
-    written = spark.read.schema(DOCS).parquet(f"{segment}/docs")
-    _write_bucketed(lexical.build_postings(written.filter("op = 'add'"), buckets), f"{segment}/postings", buckets)
-    added = _segment_postings(spark, segment)
+    written = _segment_docs(spark, segment)
+    added = _write_postings(spark, segment, written.filter("op = 'add'"))
     touched = written.select("doc_id")
-    small = is_small(touched)
     removed = None
     for part in before.lexical.postings:
         gone = lookup_join(part, touched, ["doc_id"], "left_semi", small=small)
