@@ -146,7 +146,7 @@ def python_float(c: Column | str) -> Column:
     exponent = F.regexp_extract(text, r"E(-?\d+)\z", 1).try_cast("int")
     mantissa = F.regexp_replace(F.regexp_extract(text, r"\A([^E]*)E", 1), r"\.0\z", "")
     scientific = F.concat(mantissa, F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-                          F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+                          F.format_string("%02d", F.abs(exponent)))
     return (F.when(exponent.isNull(), text)
             .when(exponent.between(-4, 15), plain)
             .otherwise(scientific))

@@ -20,7 +20,8 @@ GROUP_LIMIT = 1000
 HOT_ROWS = 5_000_000
 SALTS = 64
 # Up to this many ids are given to a scan as a literal list, which prunes buckets and row groups.
-LITERAL_IDS = 10_000
+# Longer lists cost more planning than they save.
+LITERAL_IDS = 512
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
