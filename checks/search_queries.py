@@ -171,7 +171,7 @@ def vector_search(t: Tables) -> DataFrame:
     return shown(vector.vector_search(asked, vector_corpus(t)))
 
 
-TABLES, WIDTH = 8, 6
+TABLES, WIDTH = 16, 6
 APPROX_SQL = f"""
 dims AS (SELECT unnest(range(64)) AS d),
 planes AS (SELECT p, list(CASE WHEN (strpos('0123456789abcdef', substr(md5(p || ':' || d), 1, 1)) - 1) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS v

@@ -193,7 +193,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm), F.lit(0.0))
 
 
-def vector_topk_approx(queries: DataFrame, corpus: DataFrame, n: int, tables: int = 8, width: int = 6) -> DataFrame:
+def vector_topk_approx(queries: DataFrame, corpus: DataFrame, n: int, tables: int = 16, width: int = 6) -> DataFrame:
     """Nearest neighbours among documents sharing a bucket with the query, re-ranked exactly.
 
     An equi-join on (table, bucket). A pair meeting in several tables is kept only in the first, so

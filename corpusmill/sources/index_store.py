@@ -1,10 +1,11 @@
 """The stored corpus with its lexical index, kept in step commit by commit.
 
-A store is a folder of immutable segments and a small commit log. The first segment (the base) holds
-the corpus as built; each later one holds the documents one commit added, replaced or deleted, so a
-commit costs what it changes, not what is stored. Readers take, for each id, its newest entry.
-Term counts are kept as signed differences that add up, which makes every statistic exact.
-Postings of a segment are bucketed by document, so scoring them needs no shuffle.
+A store is a folder of immutable segments and a small commit log, written by one job at a time. The
+first segment (the base) holds the corpus as built; each later one (a delta) holds the documents one
+commit added, replaced or deleted, so a commit costs what it changes, not what is stored. Readers
+take, for each id, its newest entry. After some commits their deltas are merged into one. Term counts
+are kept as signed differences that add up, which makes every statistic exact. Segments are bucketed
+by document, so building and scoring postings needs no shuffle.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from corpusmill.operators.lexical import LexicalIndex
 from corpusmill.runtime import BROADCAST_BYTES, BROADCAST_ROWS, is_small, lookup_join, measure, scratch_dir, stored
 from corpusmill.schema import CORPUS, STRING_MAP
 
-LOG = "version long, segment string, base boolean, batch string, last_seq long"
+LOG = "version long, segment string, kind string, batch string, last_seq long"
 DOCS = ("doc_id string, doc_key string, seq long, op string, content string, "
         "metadata map<string,string>, embedding array<float>")
 POSTINGS = "doc_id string, term string, tf long, dl long"
 TERMS = "term string, df long"
 HISTOGRAM = "df long, words long"
+# Deltas a reader has to put together before they are merged into one.
+MERGE_AFTER = 16
 # Size of the documents of one bucket of a commit.
 BUCKET_BYTES = 128 << 20
 STATS = "n long, total_dl long, mean_idf double"
@@ -76,9 +79,11 @@ def _commits(spark: SparkSession, path: str) -> list:
 
 
 def _live(commits: list) -> list:
-    """The newest base and what was committed after it."""
-    bases = [i for i, r in enumerate(commits) if r["base"]]
-    return commits[bases[-1]:] if bases else commits
+    """The newest base, the newest merge of deltas after it, and the deltas after that."""
+    bases = [i for i, r in enumerate(commits) if r["kind"] == "base"]
+    rows = commits[bases[-1]:] if bases else commits
+    merges = [i for i, r in enumerate(rows) if r["kind"] == "merged"]
+    return [rows[0], *rows[merges[-1]:]] if merges else rows
 
 
 def _append_log(spark: SparkSession, path: str, *row) -> None:
@@ -87,11 +92,15 @@ def _append_log(spark: SparkSession, path: str, *row) -> None:
 
 
 def committed_files(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger of processed files: one row ``file_name`` per file of any commit."""
+    """Ledger of processed files: one row ``file_name`` per file of any commit.
+
+    Base and merged segments hold the ledger up to their time.
+    """
     commits = _commits(spark, path)
     if not commits:
         return spark.createDataFrame([], "file_name string")
-    return spark.read.schema("file_name string").parquet(*[f"{r['segment']}/files" for r in commits]).distinct()
+    last = max(i for i, r in enumerate(commits) if r["kind"] != "delta")
+    return spark.read.schema("file_name string").parquet(*[f"{r['segment']}/files" for r in commits[last:]]).distinct()
 
 
 def _write_bucketed(df: DataFrame, folder: str, buckets: int) -> None:
@@ -138,7 +147,8 @@ def save_index(corpus: DataFrame, path: str, seq: int = 0) -> Index:
     """Write a corpus as the base segment of a store and open it."""
     shaped = as_corpus(corpus)
     docs = shaped.withColumns({"seq": F.lit(seq).cast("long"), "op": F.lit("add")})
-    return _write_base(corpus.sparkSession, path, _commits(corpus.sparkSession, path), docs, None, None)
+    spark = corpus.sparkSession
+    return _write_base(spark, path, _commits(spark, path), docs, None, committed_files(spark, path))
 
 
 def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame, batch: str | None,
@@ -155,7 +165,7 @@ def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame,
         "total_dl", postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).scalar())
     histogram = spark.read.schema(HISTOGRAM).parquet(f"{segment}/histogram")
     lexical.with_mean_idf(totals, histogram).coalesce(1).write.parquet(f"{segment}/stats")
-    _append_log(spark, path, version, segment, True, batch, _last_seq(spark, segment, commits))
+    _append_log(spark, path, version, segment, "base", batch, _last_seq(spark, segment, commits))
     return load_index(spark, path)
 
 
@@ -302,7 +312,9 @@ def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: st
                                                      f"{segment}/histogram")
     merged = histogram.groupBy("df").agg(F.sum("words").alias("words"))
     lexical.with_mean_idf(totals, merged).coalesce(1).write.parquet(f"{segment}/stats")
-    _append_log(spark, path, version, segment, False, batch, _last_seq(spark, segment, commits))
+    _append_log(spark, path, version, segment, "delta", batch, _last_seq(spark, segment, commits))
+    if len(log) >= MERGE_AFTER:
+        merge_commits(spark, path)
     return load_index(spark, path)
 
 
@@ -317,10 +329,37 @@ def _as_entries(changes: DataFrame) -> DataFrame:
                        F.when(add, F.col("embedding")).alias("embedding"))
 
 
+def merge_commits(spark: SparkSession, path: str) -> None:
+    """Merge the deltas after the base into one; the base is not read."""
+    commits = _commits(spark, path)
+    base, *deltas = _live(commits)
+    if len(deltas) < 2:
+        return
+    entries = _entries(spark, deltas)
+    newest = stored(entries.groupBy("doc_id").agg(F.max("version").alias("version")), "newest")
+    small = is_small(newest)
+    kept = lookup_join(entries, newest, ["doc_id", "version"], "left_semi", small=small).drop("version")
+    size = measure(kept.select("doc_id", "content", "embedding"))[1]
+    version = commits[-1]["version"] + 1
+    segment = _new_segment(path, version, _buckets(spark, size))
+    docs = _write_docs(spark, segment, kept, committed_files(spark, path))
+    _write_postings(spark, segment, docs)
+
+    def table(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{r['segment']}/{name}" for r in deltas])
+
+    (table("terms", TERMS).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
+     .write.parquet(f"{segment}/terms"))
+    (table("histogram", HISTOGRAM).groupBy("df").agg(F.sum("words").alias("words")).filter("words <> 0")
+     .write.parquet(f"{segment}/histogram"))
+    spark.read.schema(STATS).parquet(f"{deltas[-1]['segment']}/stats").coalesce(1).write.parquet(f"{segment}/stats")
+    _append_log(spark, path, version, segment, "merged", None, commits[-1]["last_seq"])
+
+
 def compact(spark: SparkSession, path: str) -> Index:
     """Fold all commits into a new base; deletions stay as entries without content."""
     commits = _commits(spark, path)
     entries = _entries(spark, _live(commits))
     newest = entries.groupBy("doc_id").agg(F.max("version").alias("version"))
     live = entries.join(newest, ["doc_id", "version"], "left_semi").drop("version")
-    return _write_base(spark, path, commits, live, None, None)
+    return _write_base(spark, path, commits, live, None, committed_files(spark, path))

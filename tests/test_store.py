@@ -50,6 +50,15 @@ def test_incremental_equals_rebuild(spark, path):
     assert state(index) == rebuilt(spark, [("a", "x y z"), ("b", "x x w"), ("c", "y q")])
 
     before = state(index)
+    assert len(index.lexical.postings) == 4
+    store.merge_commits(spark, path)
+    index = store.load_index(spark, path)
+    assert state(index) == before
+    assert len(index.lexical.postings) == 2
+    more = spark.createDataFrame([(9, "add", "e", "x q q"), (9, "delete", "c", None)], CHANGE)
+    index = store.commit_changes(spark, path, more)
+    before = rebuilt(spark, [("a", "x y z"), ("b", "x x w"), ("e", "x q q")])
+    assert state(index) == before
     index = store.compact(spark, path)
     assert state(index) == before
     assert len(index.lexical.postings) == 1
