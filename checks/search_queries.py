@@ -14,7 +14,7 @@ from corpusmill.plans import ingest as ingest_plan
 from corpusmill.plans import search as search_plan
 from corpusmill.runtime import scratch_dir
 from corpusmill.sources import corpus_json
-from corpusmill.sources.index_store import Index, as_corpus, load_index, save_index, stored_index
+from corpusmill.sources.index_store import Index, as_corpus, commit_changes, load_index, save_index, stored_index
 from corpusmill.streaming import jobs
 
 K = 5
@@ -195,7 +195,8 @@ SELECT count(DISTINCT e.query_id) AS queries, count(a.doc_id) AS found, count(*)
 FROM vector_list e LEFT JOIN approx a ON a.query_id = e.query_id AND a.doc_id = e.doc_id""")
 def approx_recall(t: Tables) -> DataFrame:
     asked, pool = questions(t), vector_corpus(t)
-    found = recall(vector.vector_topk_approx(asked, pool, N, TABLES, WIDTH), vector.vector_topk(asked, pool, N))
+    stored = vector.save_vector_buckets(pool, scratch_dir(t.spark, "buckets"), TABLES, WIDTH)
+    found = recall(vector.search_buckets(asked, stored, N), vector.vector_topk(asked, pool, N))
     return found.withColumn("recall", F.round("recall", 4))
 
 
@@ -353,8 +354,6 @@ def index_state(index: Index) -> DataFrame:
 def apply_changes(t: Tables) -> DataFrame:
     path = scratch_dir(t.spark, "store")
     save_index(documents_table(t), path)
-    from corpusmill.sources.index_store import commit_changes
-
     return index_state(commit_changes(t.spark, path, change_events(t).filter("seq > 1")))
 
 

@@ -11,18 +11,20 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scores
-from corpusmill.runtime import is_small, lookup_join, measure, top_per_group
+from corpusmill.runtime import is_small, lookup_join, measure, restrict, top_per_group
 
 MATRIX_BYTES = 64 << 20      # query vectors sent to the tasks
 PRODUCT_CELLS = 4_000_000    # scores held at once by a task
 CELL_ROWS = 4096             # queries of one block in the grid
+MAX_PARTS = 4096             # folders of stored vector buckets
 HIT_SCHEMA = "query_id long, doc_id string, score double"
 
 
@@ -193,20 +195,61 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm), F.lit(0.0))
 
 
-def vector_topk_approx(queries: DataFrame, corpus: DataFrame, n: int, tables: int = 16, width: int = 6) -> DataFrame:
+@dataclass(frozen=True)
+class VectorBuckets:
+    """Documents listed under one bucket per table: slot, doc_id, embedding, codes (and part, if stored)."""
+
+    entries: DataFrame
+    tables: int
+    width: int
+
+
+def _slots(coded: DataFrame, width: int) -> DataFrame:
+    """One row per table; ``slot`` numbers the buckets of all tables."""
+    listed = coded.select("*", F.posexplode("codes").alias("table_no", "bucket"))
+    return listed.withColumn("slot", F.col("table_no") * (1 << width) + F.col("bucket")).drop("bucket")
+
+
+def vector_buckets(corpus: DataFrame, tables: int = 16, width: int = 6) -> VectorBuckets:
+    coded = bucket_codes(corpus, "doc_id", "embedding", tables, width)
+    return VectorBuckets(_slots(coded, width).drop("table_no"), tables, width)
+
+
+def save_vector_buckets(corpus: DataFrame, path: str, tables: int = 16, width: int = 6) -> VectorBuckets:
+    """Store the bucket lists, so that searches neither compute codes nor read buckets nobody asks for.
+
+    Rows are range-partitioned by slot and document, so a bucket full of copies is written by many
+    tasks. ``width`` should grow with the logarithm of the corpus.
+    """
+    entries = vector_buckets(corpus, tables, width).entries
+    per_part = -(-(tables << width) // MAX_PARTS)
+    parted = entries.withColumn("part", F.floor(F.col("slot") / per_part).cast("int"))
+    parted.repartitionByRange("part", "slot", "doc_id").write.partitionBy("part").parquet(path)
+    return load_vector_buckets(corpus.sparkSession, path, tables, width)
+
+
+def load_vector_buckets(spark: SparkSession, path: str, tables: int = 16, width: int = 6) -> VectorBuckets:
+    schema = "slot long, doc_id string, embedding array<float>, codes array<long>, part int"
+    return VectorBuckets(spark.read.schema(schema).parquet(path), tables, width)
+
+
+def search_buckets(queries: DataFrame, buckets: VectorBuckets, n: int) -> DataFrame:
     """Nearest neighbours among documents sharing a bucket with the query, re-ranked exactly.
 
-    An equi-join on (table, bucket). A pair meeting in several tables is kept only in the first, so
-    no de-duplicating shuffle is needed. Bucketed queries are broadcast when measured small; beyond
+    An equi-join on the slot. A pair meeting in several tables is kept only in the first, so no
+    de-duplicating shuffle is needed. Bucketed queries are broadcast when measured small; beyond
     that, hot buckets are spread by document. Pairs stream into the top-n of each partition.
     """
-    asked = bucket_codes(queries, "query_id", "query_vec", tables, width)
-    having = bucket_codes(corpus, "doc_id", "embedding", tables, width)
-    probes = asked.select("query_id", "query_vec", F.col("codes").alias("query_codes"),
-                          F.posexplode("codes").alias("table_no", "bucket"))
-    entries = having.select("doc_id", "embedding", "codes", F.posexplode("codes").alias("table_no", "bucket"))
-    pairs = lookup_join(entries, probes, ["table_no", "bucket"], "inner", spread=["doc_id"],
-                        small=is_small(queries.select("query_id", "query_vec"), size=MATRIX_BYTES // (2 * tables)))
+    tables, width = buckets.tables, buckets.width
+    asked = _slots(bucket_codes(queries, "query_id", "query_vec", tables, width), width).withColumnRenamed(
+        "codes", "query_codes")
+    small = is_small(queries.select("query_id", "query_vec"), size=MATRIX_BYTES // (2 * tables))
+    entries = buckets.entries
+    if "part" in entries.columns:
+        per_part = -(-(tables << width) // MAX_PARTS)
+        parts = asked.select(F.floor(F.col("slot") / per_part).cast("int").alias("part"))
+        entries = restrict(entries, "part", parts).drop("part")
+    pairs = lookup_join(entries, asked, ["slot"], "inner", spread=["doc_id"], small=small)
     agreeing = F.zip_with("codes", "query_codes", lambda a, b: a == b)
     first = pairs.filter(F.array_position(agreeing, True) == F.col("table_no") + 1)
     scored = first.select("query_id", "doc_id",
@@ -215,6 +258,11 @@ def vector_topk_approx(queries: DataFrame, corpus: DataFrame, n: int, tables: in
     return top_per_group(scored, ["query_id"], order, n, ["doc_id"])
 
 
+def vector_topk_approx(queries: DataFrame, corpus: DataFrame, n: int, tables: int = 16, width: int = 6) -> DataFrame:
+    """Approximate search of a corpus without stored buckets."""
+    return search_buckets(queries, vector_buckets(corpus, tables, width), n)
+
+
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that the approximate search found: queries, found, expected, recall."""
     marks = approximate.select("query_id", "doc_id", F.lit(1).alias("hit"))

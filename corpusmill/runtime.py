@@ -24,14 +24,18 @@ SALTS = 64
 LITERAL_IDS = 512
 
 
+_LOCAL_BASE: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for intermediate tables, below the folder all executors share."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL_BASE.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="corpusmill-")
+        _LOCAL_BASE[context.applicationId] = base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

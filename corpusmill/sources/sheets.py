@@ -37,13 +37,18 @@ def unique_names(names: list[str]) -> list[str]:
 
 
 def read_products_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Flat sheet with one header row: every column as text, plus ``source_file`` and ``row_ordinal``."""
+    """Flat sheets with one header row: every column as text, plus ``source_file`` and ``row_ordinal``.
+
+    All sheets at ``path`` share a header; a sheet with another one is an error, not a silent mix-up.
+    """
     header = _cells(spark, path, multi_line, 1)
     if not header:
         raise ValueError(f"no sheet at {path}")
     names = unique_names([(c or "").lstrip("﻿") for c in header[0]])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    scan = _csv(spark, multi_line).option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    # Spark compares every sheet's header with the schema unless names had to be invented.
+    invented = names != header[0]
+    scan = _csv(spark, multi_line).option("header", True).option("enforceSchema", invented).schema(schema).csv(path)
     return file_ordinals(scan)
 
 

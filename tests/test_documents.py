@@ -101,6 +101,13 @@ def test_number_columns_are_judged_per_file(spark, tmp_path):
                    "D": "은행: D, m: 2.5"}
 
 
+def test_sheets_with_different_headers_are_refused(spark, tmp_path):
+    write(tmp_path / "a.csv", "은행,상품명\nA,x\n")
+    write(tmp_path / "b.csv", "상품명,은행\nx,A\n")
+    with pytest.raises(Exception, match="header"):
+        sheets.read_products_csv(spark, str(tmp_path)).collect()
+
+
 def test_missing_key_fields_and_columns(spark, tmp_path):
     write(tmp_path / "s.csv", "비고\n-\nNA\n")
     docs = documents.build_documents(sheets.read_products_csv(spark, str(tmp_path)), TIME_DEPOSIT).orderBy("id").collect()

@@ -1,11 +1,14 @@
 """What the plans must look like for large tables."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import collection
 from corpusmill.operators.lexical import bm25_topk, build_index, build_postings, document_frequencies, score_bm25
-from corpusmill.operators.vector import vector_topk, vector_topk_approx
+from corpusmill.operators.vector import save_vector_buckets, search_buckets, vector_topk, vector_topk_approx
+from corpusmill.runtime import scratch_dir
 from corpusmill.sources.index_store import as_corpus
 
 
@@ -71,8 +74,16 @@ def test_approximate_hits_are_exact_scores(table, asked):
     exact = {(r.query_id, r.doc_id): round(r.score, 9) for r in vector_topk(asked, corpus, 200).collect()}
     for r in vector_topk_approx(asked, corpus, 5, tables=6, width=2).collect():
         assert exact[r.query_id, r.doc_id] == round(r.score, 9)
-    monkey = vector_topk_approx(asked, corpus, 5, tables=6, width=1)
-    assert monkey.count() == 10
+    assert vector_topk_approx(asked, corpus, 5, tables=6, width=1).count() == 10
+
+
+def test_stored_buckets_give_the_same_hits_from_fewer_parts(spark, table, asked, tmp_path):
+    corpus = as_corpus(table)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id) for r in df.collect())
+    stored = save_vector_buckets(corpus, str(tmp_path / "b"), tables=4, width=4)
+    found = search_buckets(asked, stored, 5)
+    assert rows(found) == rows(vector_topk_approx(asked, corpus, 5, tables=4, width=4))
+    assert "PartitionFilters: [part" in plan(found)
 
 
 def test_shuffled_buckets_equal_broadcast_buckets(table, asked, monkeypatch):
@@ -82,3 +93,15 @@ def test_shuffled_buckets_equal_broadcast_buckets(table, asked, monkeypatch):
     monkeypatch.setattr("corpusmill.operators.vector.MATRIX_BYTES", 0)
     monkeypatch.setattr("corpusmill.runtime.HOT_ROWS", 20)
     assert rows(vector_topk_approx(asked, corpus, 5, tables=4, width=2)) == want
+
+
+def test_scratch_folder(spark):
+    def session(master, conf):
+        context = SimpleNamespace(getCheckpointDir=lambda: None, master=master, applicationId="app-1")
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: conf))
+
+    assert scratch_dir(session("yarn", "hdfs://shared/tmp/"), "x").startswith("hdfs://shared/tmp/x-")
+    with pytest.raises(ValueError):
+        scratch_dir(session("yarn", None), "x")
+    first, second = (scratch_dir(session("local[2]", None), "x") for _ in range(2))
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
