@@ -195,7 +195,7 @@ SELECT count(DISTINCT e.query_id) AS queries, count(a.doc_id) AS found, count(*)
 FROM vector_list e LEFT JOIN approx a ON a.query_id = e.query_id AND a.doc_id = e.doc_id""")
 def approx_recall(t: Tables) -> DataFrame:
     asked, pool = questions(t), vector_corpus(t)
-    stored = vector.save_vector_buckets(pool, scratch_dir(t.spark, "buckets"), TABLES, WIDTH)
+    stored = vector.save_vector_buckets(pool, scratch_dir(t.spark, "buckets"), TABLES, WIDTH, parts=16)
     found = recall(vector.search_buckets(asked, stored, N), vector.vector_topk(asked, pool, N))
     return found.withColumn("recall", F.round("recall", 4))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,6 @@ from corpusmill.runtime import is_small, lookup_join, measure, restrict, top_per
 MATRIX_BYTES = 64 << 20      # query vectors sent to the tasks
 PRODUCT_CELLS = 4_000_000    # scores held at once by a task
 CELL_ROWS = 4096             # queries of one block in the grid
-MAX_PARTS = 4096             # folders of stored vector buckets
 HIT_SCHEMA = "query_id long, doc_id string, score double"
 
 
@@ -127,14 +126,15 @@ def _scan_in_grid(queries: DataFrame, corpus: DataFrame, n: int, query_rows: int
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, n: int, matrix_bytes: int | None = None,
-                cell_rows: int = CELL_ROWS) -> DataFrame:
+                cell_rows: int = CELL_ROWS, measured: tuple[int, int] | None = None) -> DataFrame:
     """Best ``n`` documents per query by cosine similarity in [0, 1], ties by doc_id.
 
-    A query without a vector has no hits; a document without a vector is never one.
+    A query without a vector has no hits; a document without a vector is never one. ``measured``
+    (rows, bytes) of the queries saves measuring them again.
     """
     asked = queries.filter(F.col("query_vec").isNotNull()).select("query_id", "query_vec")
     having = corpus.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding")
-    rows, size = measure(asked)
+    rows, size = measured or measure(asked)
     if size <= (MATRIX_BYTES if matrix_bytes is None else matrix_bytes):
         hits = _scan_with_matrix(asked, having, n)
     else:
@@ -202,6 +202,11 @@ class VectorBuckets:
     entries: DataFrame
     tables: int
     width: int
+    parts: int = 1
+
+    @property
+    def slots_per_part(self) -> int:
+        return -(-(self.tables << self.width) // self.parts)
 
 
 def _slots(coded: DataFrame, width: int) -> DataFrame:
@@ -215,22 +220,24 @@ def vector_buckets(corpus: DataFrame, tables: int = 16, width: int = 6) -> Vecto
     return VectorBuckets(_slots(coded, width).drop("table_no"), tables, width)
 
 
-def save_vector_buckets(corpus: DataFrame, path: str, tables: int = 16, width: int = 6) -> VectorBuckets:
+def save_vector_buckets(corpus: DataFrame, path: str, tables: int = 16, width: int = 6,
+                        parts: int = 256) -> VectorBuckets:
     """Store the bucket lists, so that searches neither compute codes nor read buckets nobody asks for.
 
     Rows are range-partitioned by slot and document, so a bucket full of copies is written by many
-    tasks. ``width`` should grow with the logarithm of the corpus.
+    tasks. ``width`` should grow with the logarithm of the corpus, ``parts`` (folders) with its size.
     """
-    entries = vector_buckets(corpus, tables, width).entries
-    per_part = -(-(tables << width) // MAX_PARTS)
-    parted = entries.withColumn("part", F.floor(F.col("slot") / per_part).cast("int"))
+    listed = replace(vector_buckets(corpus, tables, width), parts=parts)
+    parted = listed.entries.withColumn("part", F.floor(F.col("slot") / listed.slots_per_part).cast("int"))
     parted.repartitionByRange("part", "slot", "doc_id").write.partitionBy("part").parquet(path)
-    return load_vector_buckets(corpus.sparkSession, path, tables, width)
+    return load_vector_buckets(corpus.sparkSession, path, tables, width, parts)
 
 
-def load_vector_buckets(spark: SparkSession, path: str, tables: int = 16, width: int = 6) -> VectorBuckets:
+def load_vector_buckets(spark: SparkSession, path: str, tables: int = 16, width: int = 6,
+                        parts: int = 256) -> VectorBuckets:
+    """Open stored bucket lists; ``tables``, ``width`` and ``parts`` as when saving."""
     schema = "slot long, doc_id string, embedding array<float>, codes array<long>, part int"
-    return VectorBuckets(spark.read.schema(schema).parquet(path), tables, width)
+    return VectorBuckets(spark.read.schema(schema).parquet(path), tables, width, parts)
 
 
 def search_buckets(queries: DataFrame, buckets: VectorBuckets, n: int) -> DataFrame:
@@ -246,8 +253,7 @@ def search_buckets(queries: DataFrame, buckets: VectorBuckets, n: int) -> DataFr
     small = is_small(queries.select("query_id", "query_vec"), size=MATRIX_BYTES // (2 * tables))
     entries = buckets.entries
     if "part" in entries.columns:
-        per_part = -(-(tables << width) // MAX_PARTS)
-        parts = asked.select(F.floor(F.col("slot") / per_part).cast("int").alias("part"))
+        parts = asked.select(F.floor(F.col("slot") / buckets.slots_per_part).cast("int").alias("part"))
         entries = restrict(entries, "part", parts).drop("part")
     pairs = lookup_join(entries, asked, ["slot"], "inner", spread=["doc_id"], small=small)
     agreeing = F.zip_with("codes", "query_codes", lambda a, b: a == b)

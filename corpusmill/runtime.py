@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 # A side is broadcast only when it was measured and is below both bounds.
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 << 20
+# So few narrow rows need no measuring.
+SMALL_ROWS = 50_000
 # Spark pushes a row_number() limit below the shuffle up to this many rows
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000

@@ -80,7 +80,7 @@ def test_approximate_hits_are_exact_scores(table, asked):
 def test_stored_buckets_give_the_same_hits_from_fewer_parts(spark, table, asked, tmp_path):
     corpus = as_corpus(table)
     rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id) for r in df.collect())
-    stored = save_vector_buckets(corpus, str(tmp_path / "b"), tables=4, width=4)
+    stored = save_vector_buckets(corpus, str(tmp_path / "b"), tables=4, width=4, parts=8)
     found = search_buckets(asked, stored, 5)
     assert rows(found) == rows(vector_topk_approx(asked, corpus, 5, tables=4, width=4))
     assert "PartitionFilters: [part" in plan(found)
