@@ -34,6 +34,7 @@ HISTOGRAM = "df long, words long"
 MERGE_AFTER = 16
 # Size of the documents of one bucket of a commit.
 BUCKET_BYTES = 128 << 20
+FILES = "file_name string"
 STATS = "n long, total_dl long, mean_idf double"
 
 
@@ -71,7 +72,7 @@ def in_memory_index(corpus: DataFrame) -> Index:
 def _commits(spark: SparkSession, path: str) -> list:
     """All commits in order: one small row each."""
     try:
-        return spark.read.schema(LOG).json(f"{path}/log").orderBy("version").collect()
+        return sorted(spark.read.schema(LOG).json(f"{path}/log").collect(), key=lambda r: r["version"])
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -92,15 +93,16 @@ def _append_log(spark: SparkSession, path: str, *row) -> None:
 
 
 def committed_files(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger of processed files: one row ``file_name`` per file of any commit.
+    """Ledger of processed files: one row ``file_name`` per file of any commit."""
+    return _ledger(spark, _commits(spark, path))
 
-    Base and merged segments hold the ledger up to their time.
-    """
-    commits = _commits(spark, path)
+
+def _ledger(spark: SparkSession, commits: list) -> DataFrame:
+    """Base and merged segments hold the ledger up to their time."""
     if not commits:
-        return spark.createDataFrame([], "file_name string")
+        return spark.createDataFrame([], FILES)
     last = max(i for i, r in enumerate(commits) if r["kind"] != "delta")
-    return spark.read.schema("file_name string").parquet(*[f"{r['segment']}/files" for r in commits[last:]]).distinct()
+    return spark.read.schema(FILES).parquet(*[f"{r['segment']}/files" for r in commits[last:]]).distinct()
 
 
 def _write_bucketed(df: DataFrame, folder: str, buckets: int) -> None:
@@ -148,11 +150,12 @@ def save_index(corpus: DataFrame, path: str, seq: int = 0) -> Index:
     shaped = as_corpus(corpus)
     docs = shaped.withColumns({"seq": F.lit(seq).cast("long"), "op": F.lit("add")})
     spark = corpus.sparkSession
-    return _write_base(spark, path, _commits(spark, path), docs, None, committed_files(spark, path))
+    commits = _commits(spark, path)
+    return _write_base(spark, path, commits, docs, None, _ledger(spark, commits), last_seq=seq)
 
 
 def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame, batch: str | None,
-                files: DataFrame | None) -> Index:
+                files: DataFrame | None, last_seq: int | None = None) -> Index:
     version = commits[-1]["version"] + 1 if commits else 0
     segment = _new_segment(path, version, _buckets(spark))
     stored_docs = _write_docs(spark, segment, docs, files)
@@ -165,7 +168,7 @@ def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame,
         "total_dl", postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).scalar())
     histogram = spark.read.schema(HISTOGRAM).parquet(f"{segment}/histogram")
     lexical.with_mean_idf(totals, histogram).coalesce(1).write.parquet(f"{segment}/stats")
-    _append_log(spark, path, version, segment, "base", batch, _last_seq(spark, segment, commits))
+    _append_log(spark, path, version, segment, "base", batch, _last_seq(spark, segment, commits, last_seq))
     return load_index(spark, path)
 
 
@@ -174,7 +177,7 @@ def _write_docs(spark: SparkSession, segment: str, entries: DataFrame, files: Da
     columns = [c.split()[0] for c in DOCS.split(", ")]
     buckets = _bucket_count(segment)
     _write_bucketed(entries.select(*columns).repartition(buckets, "doc_id"), f"{segment}/docs", buckets)
-    ledger = spark.createDataFrame([], "file_name string") if files is None else files.select("file_name")
+    ledger = spark.createDataFrame([], FILES) if files is None else files.select("file_name")
     ledger.write.parquet(f"{segment}/files")
     return _segment_docs(spark, segment).filter("op = 'add'")
 
@@ -185,10 +188,10 @@ def _write_postings(spark: SparkSession, segment: str, docs: DataFrame) -> DataF
     return _segment_postings(spark, segment)
 
 
-def _last_seq(spark: SparkSession, segment: str, commits: list) -> int:
-    own = _segment_docs(spark, segment).agg(F.max("seq").alias("s")).first()["s"]
-    before = commits[-1]["last_seq"] if commits else -1
-    return max(before, -1 if own is None else own)
+def _last_seq(spark: SparkSession, segment: str, commits: list, own: int | None = None) -> int:
+    if own is None:
+        own = _segment_docs(spark, segment).agg(F.max("seq").alias("s")).first()["s"]
+    return max(commits[-1]["last_seq"] if commits else -1, -1 if own is None else own)
 
 
 def _entries(spark: SparkSession, log: list) -> DataFrame:
@@ -342,7 +345,7 @@ def merge_commits(spark: SparkSession, path: str) -> None:
     size = measure(kept.select("doc_id", "content", "embedding"))[1]
     version = commits[-1]["version"] + 1
     segment = _new_segment(path, version, _buckets(spark, size))
-    docs = _write_docs(spark, segment, kept, committed_files(spark, path))
+    docs = _write_docs(spark, segment, kept, _ledger(spark, commits))
     _write_postings(spark, segment, docs)
 
     def table(name: str, schema: str) -> DataFrame:
@@ -362,4 +365,4 @@ def compact(spark: SparkSession, path: str) -> Index:
     entries = _entries(spark, _live(commits))
     newest = entries.groupBy("doc_id").agg(F.max("version").alias("version"))
     live = entries.join(newest, ["doc_id", "version"], "left_semi").drop("version")
-    return _write_base(spark, path, commits, live, None, committed_files(spark, path))
+    return _write_base(spark, path, commits, live, None, _ledger(spark, commits))
