@@ -9,9 +9,9 @@ from checks.registry import Tables, query
 from corpusmill.functions import text
 from corpusmill.operators import collection, documents, ordinals
 from corpusmill.runtime import scratch_dir
-from corpusmill.schema import DEMAND_DEPOSIT, MISSING, STRING_MAP, SheetSpec
+from corpusmill.schema import DEMAND_DEPOSIT, MISSING, STRING_MAP
 from corpusmill.sources import corpus_json, records, sheets
-from corpusmill.sources.index_store import as_corpus, load_index, save_index, scan_corpus
+from corpusmill.sources.index_store import load_index, save_index, scan_corpus
 
 KEYS = DEMAND_DEPOSIT.key_fields
 BASE, TOP = KEYS[2], KEYS[3]

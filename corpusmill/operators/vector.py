@@ -151,13 +151,8 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 3) -> DataFram
 # --- approximate search -------------------------------------------------------------------------
 
 
-def plane_sign(plane: Column, dim: Column) -> Column:
-    """+1/-1 entry of a random plane, by a rule any engine can repeat (Achlioptas 2003)."""
-    digit = F.conv(F.substring(F.md5(F.concat(plane.cast("string"), F.lit(":"), dim.cast("string"))), 1, 1), 16, 10)
-    return F.when(digit.cast("int") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-
-
 def plane_matrix(planes: int, dims: int) -> np.ndarray:
+    """Random planes of +1/-1 entries, by a rule any engine can repeat (Achlioptas 2003)."""
     signs = [[1.0 if int(hashlib.md5(f"{p}:{d}".encode()).hexdigest()[0], 16) % 2 == 0 else -1.0
               for d in range(dims)] for p in range(planes)]
     return np.array(signs)
@@ -168,11 +163,14 @@ def bucket_codes(df: DataFrame, key: str, vector: str, tables: int, width: int)
     planes = tables * width
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normals = None
         for batch in batches:
             matrix, rows = unit_rows(batch.column(1))
             if not len(rows):
                 continue
-            bits = (matrix @ plane_matrix(planes, matrix.shape[1]).T >= 0).reshape(len(rows), tables, width)
+            if normals is None:
+                normals = plane_matrix(planes, matrix.shape[1]).T
+            bits = (matrix @ normals >= 0).reshape(len(rows), tables, width)
             codes = (bits * (1 << np.arange(width))).sum(axis=2).astype(np.int64)
             offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables)
             lists = pa.ListArray.from_arrays(offsets, pa.array(codes.ravel(), pa.int64()))

@@ -33,7 +33,7 @@ HISTOGRAM = "df long, words long"
 # Deltas a reader has to put together before they are merged into one.
 MERGE_AFTER = 16
 # Size of the documents of one bucket of a commit.
-BUCKET_BYTES = 128 << 20
+BUCKET_BYTES = 4 << 20
 FILES = "file_name string"
 STATS = "n long, total_dl long, mean_idf double"
 
@@ -155,9 +155,9 @@ def save_index(corpus: DataFrame, path: str, seq: int = 0) -> Index:
 
 
 def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame, batch: str | None,
-                files: DataFrame | None, last_seq: int | None = None) -> Index:
+                files: DataFrame | None, last_seq: int | None = None, size: int | None = None) -> Index:
     version = commits[-1]["version"] + 1 if commits else 0
-    segment = _new_segment(path, version, _buckets(spark))
+    segment = _new_segment(path, version, _buckets(spark, size))
     stored_docs = _write_docs(spark, segment, docs, files)
     postings = _write_postings(spark, segment, stored_docs)
     postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{segment}/terms")
@@ -270,12 +270,12 @@ def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: st
         if name not in changes.columns:
             changes = changes.withColumn(name, F.lit(None).cast(CORPUS[name].dataType))
     wanted = stored(newest_change(changes), "changes")
+    rows, size = measure(wanted)
     if not commits:
-        return _write_base(spark, path, commits, _as_entries(wanted), batch, files)
+        return _write_base(spark, path, commits, _as_entries(wanted), batch, files, size=size)
 
     log = _live(commits)
     version = log[-1]["version"] + 1
-    rows, size = measure(wanted)
     small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     segment = _new_segment(path, version, _buckets(spark, size))
     narrow = _entries(spark, log).select("doc_id", "seq")

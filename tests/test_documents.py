@@ -71,6 +71,21 @@ def test_prompt_keeps_braces_of_the_texts(spark):
     assert "## User Query:\n    why {context}?\n" in prompt and "Product Data:\n    {question} data\n" in prompt
 
 
+def test_json_text_keeps_nulls_and_letters(spark):
+    df = spark.createDataFrame([("가", None, {"k": "값"})], "id string, bank string, metadata map<string,string>")
+    assert df.select(text.documents_json("id", "bank", "metadata")).first()[0] == '{"id":"가","bank":null,"metadata":{"k":"값"}}'
+
+
+def test_xml_text_to_columns(spark):
+    parsed = one(spark, "<item><a>1</a><b>x y</b></item>", lambda c: text.from_xml(c, "a string, b string, c string"))
+    assert parsed.asDict() == {"a": "1", "b": "x y", "c": None}
+
+
+def test_metadata_json(spark):
+    for raw, want in ((" ", {}), (None, {}), ('{"a": 1, "b": "x"}', {"a": "1", "b": "x"})):
+        assert one(spark, raw, text.metadata_from_json) == want
+
+
 def write(path, content):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(content, encoding="utf-8")
