@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.mixing import mix_sources
+from corpusmill.llm.ngram_join import near_duplicates
 from corpusmill.llm.packing import pack_documents
 from corpusmill.llm.secrets import BASE_KINDS, scan_secrets, spans_text
 
@@ -32,6 +33,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+NEAR_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END)) AS g FROM words),
+classes AS (
+  SELECT g, min(doc_id) AS copy_id, count(*) AS n_copies FROM sets GROUP BY g),
+grams AS (SELECT copy_id, n_copies, len(g) AS n, unnest(g) AS gram FROM classes),
+links AS MATERIALIZED (
+  SELECT a.copy_id AS a, b.copy_id AS b, any_value(b.n_copies) AS copies
+  FROM grams a JOIN grams b ON a.gram = b.gram AND a.copy_id <> b.copy_id
+  GROUP BY a.copy_id, b.copy_id
+  HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.8),
+reached AS (
+  SELECT copy_id AS node, copy_id AS label FROM classes
+  UNION
+  SELECT l.b, r.label FROM reached r JOIN links l ON l.a = r.node),
+labels AS (SELECT node, min(label) AS class_id FROM reached GROUP BY node),
+counts AS (SELECT a, sum(copies) AS n FROM links GROUP BY a)
+SELECT s.doc_id, l.class_id, CAST(coalesce(k.n, 0) + c.n_copies - 1 AS BIGINT) AS n_links, c.copy_id, c.n_copies
+FROM sets s JOIN classes c ON s.g = c.g JOIN labels l ON l.node = c.copy_id LEFT JOIN counts k ON k.a = c.copy_id
+"""
+
+
+@query(NEAR_SQL)
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
+
+
 @query()
 def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
