@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.fingerprints import edited_fingerprints
 from corpusmill.llm.mixing import mix_sources
 from corpusmill.llm.ngram_join import near_duplicates
 from corpusmill.llm.packing import pack_documents
@@ -70,6 +71,11 @@ def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+@query()
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source,
