@@ -12,7 +12,10 @@ from corpusmill.llm.fingerprints import edited_fingerprints
 from corpusmill.llm.mixing import mix_sources
 from corpusmill.llm.ngram_join import near_duplicates
 from corpusmill.llm.packing import pack_documents
+from corpusmill.llm.quality import score_quality, train_quality
 from corpusmill.llm.secrets import BASE_KINDS, scan_secrets, spans_text
+from corpusmill.llm.toxicity import score_toxicity, train_toxicity
+from corpusmill.llm.words import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,6 +67,13 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
 
 
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", "predicted")
+
+
 @query()
 def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -76,6 +86,13 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", "predicted")
+
+
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source,
