@@ -70,28 +70,49 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
+def without_copies(texts: list[np.ndarray], bands: int = 6, rows: int = 3) -> list[np.ndarray]:
+    """One text of each group of near copies, so that copied words don't count as many examples.
+
+    Texts whose MinHash values agree in a band are taken as near copies; the first one stays.
+    """
+    random = np.random.default_rng(11)
+    flip = random.integers(0, 1 << 32, (bands * rows, 1), np.uint32)
+    times = random.integers(0, 1 << 32, (bands * rows, 1), np.uint32) | np.uint32(1)
+    seen: set[tuple] = set()
+    kept = []
+    for text in texts:
+        if not len(text):
+            continue
+        least = ((text.astype(np.uint32)[None, :] ^ flip) * times).min(axis=1).reshape(bands, rows)
+        keys = [(i, *band) for i, band in enumerate(least.tolist())]
+        if seen.isdisjoint(keys):
+            kept.append(text)
+        seen.update(keys)
+    return kept
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300,
-             rate: float = 0.05, thin: float = 2e-4, least_texts: int = 3, least_precision: float = 0.3,
-             least_deviations: float = 4.0) -> LinearModel:
+             rate: float = 0.05, thin: float = 2e-4, least_texts: int = 3, least_share: float = 0.02,
+             least_precision: float = 0.5, least_deviations: float = 6.0) -> LinearModel:
     """Train a linear classifier on feature lists by the non-negative risk estimator.
 
     risk = prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]) with the logistic loss. While the
-    second part is negative, a step climbs it again instead. Of texts with equal features one is used.
-    Only features that point to the positive class are weighed: in ``least_texts`` positive texts or more,
-    with an estimated share of positives among the texts that hold them of ``least_precision`` or more,
+    second part is negative, a step climbs it again instead. Of near copies one is used.
+    Only features that point to the positive class are weighed: in ``least_texts`` positive texts and a
+    ``least_share`` of them or more, with an estimated share of positives among the texts that hold them of ``least_precision`` or more,
     and so many standard deviations more frequent than in unlabelled text.
     Without positive or unlabelled texts the model is the prior alone.
     """
     prior = float(np.clip(prior, 1e-3, 0.999))
     weights = np.zeros(SPACE + 1, np.float32)
     base = float(np.log(prior / (1 - prior)))
+    positive, unlabelled = without_copies(positive), without_copies(unlabelled)
     if not positive or not unlabelled:
         return LinearModel(weights, base)
-    positive, unlabelled = [list({t.tobytes(): t for t in side}.values()) for side in (positive, unlabelled)]
     counts = [np.bincount(np.concatenate(x), minlength=SPACE) for x in (positive, unlabelled)]
     often, usual = counts[0] / len(positive), (counts[1] + 0.5) / (len(unlabelled) + 1)
     deviations = (often - usual) / np.sqrt(usual / len(positive))
-    chosen = np.flatnonzero((counts[0] >= least_texts) & (prior * often >= least_precision * usual)
+    chosen = np.flatnonzero((counts[0] >= max(least_texts, least_share * len(positive))) & (prior * often >= least_precision * usual)
                             & (deviations >= least_deviations))
     place = np.full(SPACE + 1, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
