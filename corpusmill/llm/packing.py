@@ -15,7 +15,9 @@ from its input split with the same result.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,49 +28,69 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.words import Codes, slices, texts_of
 
-# One control character between chunks; a chunk holding it is encoded by itself.
-MARK = b"\x01"
+# Chunks of these characters are lower-cased and cut into pre-tokens here; any other chunk is encoded
+# by the tokenizer as it is. All of them are single, composed code points with one lower-case form.
+PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|"
+                        r"[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class ChunkTokenizer:
-    """Token ids of whole texts, encoding each distinct blank-free chunk once.
+    """Token ids of whole texts, encoding each distinct chunk between blanks, and each pre-token, once.
 
-    Equal to encoding the whole text for a tokenizer that drops white space and whose pre-tokens
-    never cross it. ``remembered`` bounds the chunks kept in memory.
+    Equal to encoding the whole text with a tokenizer that lower-cases, drops white space, cuts
+    pre-tokens by the pattern above with letters and digits of any script, and ends the last token of
+    each pre-token with a mark. ``remembered`` bounds the chunks kept in memory.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 600_000):
         self._tokenizer = tokenizers.Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = False
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._remembered = remembered
-        mark = self._tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
-        self._mark = mark[0] if len(mark) == 1 else None
         self._reset()
 
     def _reset(self):
         self._codes, self._known, self._used = Codes(), 0, 0
+        self._pre: dict[str, np.ndarray] = {}
         self._ids = np.zeros(1 << 16, np.uint32)
         self._start = np.zeros(1 << 16, np.int64)
         self._length = np.zeros(1 << 16, np.int64)
 
-    def _encode(self, chunk: bytes) -> np.ndarray:
-        return np.array(self._tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, np.uint32)
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _encode_pre(self, fresh: list[str]) -> None:
+        """Ids of pre-tokens, many in one call; the end marks tell them apart."""
+        for a in range(0, len(fresh), 8192):
+            part = fresh[a:a + 8192]
+            ids = self._encode(" ".join(part))
+            runs = np.split(ids, np.flatnonzero(self._ends[ids])[:-1] + 1)
+            self._pre.update(zip(part, runs if len(runs) == len(part) else map(self._encode, part)))
 
     def _learn(self):
         fresh = list(self._codes)[self._known:]
+        cut: list[list[str] | str] = []
+        new: dict[str, None] = {}
+        for chunk in map(bytes.decode, fresh):
+            if PLAIN.fullmatch(chunk) and "<|" not in chunk:
+                cut.append(PRE_TOKENS.findall(chunk.lower()))
+                new.update(dict.fromkeys(cut[-1]))
+            else:
+                cut.append(chunk)
+        self._encode_pre([p for p in new if p not in self._pre])
         ids: list[np.ndarray] = []
-        for a in range(0, len(fresh), 4096):
-            part = fresh[a:a + 4096]
-            joined = None
-            if self._mark is not None and not any(MARK in chunk for chunk in part):
-                joined = self._encode((b" " + MARK + b" ").join(part))
-                ends = np.flatnonzero(joined == self._mark)
-            if joined is None or len(ends) != len(part) - 1:
-                ids += map(self._encode, part)
+        ends = []
+        for pieces in cut:
+            if isinstance(pieces, str):
+                ids.append(self._encode(pieces))
             else:
-                ids += [run[1:] if i else run for i, run in enumerate(np.split(joined, ends))]
-        lengths = np.array([len(x) for x in ids], np.int64)
+                ids += [self._pre[p] for p in pieces]
+            ends.append(len(ids))
+        piece_ends = np.cumsum([len(x) for x in ids])
         flat = np.concatenate(ids)
+        lengths = np.diff(piece_ends[np.array(ends) - 1], prepend=0)
         while self._used + len(flat) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
         while len(self._codes) > len(self._start):
@@ -99,6 +121,12 @@ class ChunkTokenizer:
         return out
 
 
+@lru_cache(maxsize=2)
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    """One tokenizer per Python worker, so its chunks serve all tasks of the worker."""
+    return ChunkTokenizer(path)
+
+
 def assign(lengths: list[int], sizes: list[int], linear: float, quadratic: float) -> list[list[tuple[int, int, int, int]]]:
     """Deal pieces of the given lengths to sequences of the given sizes; both sum to the same.
 
@@ -150,7 +178,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
                         ("ids", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkTokenizer(tokenizer)
+        encode = chunk_tokenizer(tokenizer)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         waiting: list[tuple[object, int, int, np.ndarray]] = []  # (id, ids before, document's ids, ids)
         tokens = 0
