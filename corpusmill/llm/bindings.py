@@ -14,6 +14,7 @@ from corpusmill.llm.ngram_join import near_duplicates
 from corpusmill.llm.packing import pack_documents
 from corpusmill.llm.quality import score_quality, train_quality
 from corpusmill.llm.secrets import BASE_KINDS, scan_secrets, spans_text
+from corpusmill.llm.topk import sorted_vectors, top_products
 from corpusmill.llm.toxicity import score_toxicity, train_toxicity
 from corpusmill.llm.words import held_out
 
@@ -86,6 +87,26 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+TOPK_SQL = """
+WITH whole AS (
+  SELECT vec_id, row_number() OVER () AS r, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.r <> c.r),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query(TOPK_SQL)
+def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = sorted_vectors(table(spark, sf_dir, "embeddings"))
+    return top_products(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 @query()
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
