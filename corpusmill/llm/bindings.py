@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.fingerprints import edited_fingerprints
+from corpusmill.llm.language_model import score_documents
 from corpusmill.llm.mixing import mix_sources
 from corpusmill.llm.ngram_join import near_duplicates
 from corpusmill.llm.packing import pack_documents
@@ -107,6 +108,11 @@ def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
+@query()
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

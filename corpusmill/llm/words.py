@@ -49,20 +49,28 @@ class Codes(dict):
 
 
 class WordTable:
-    """Numbers words and keeps one value per distinct word, computed by ``value`` on first sight."""
+    """Numbers words and keeps one value per distinct word, computed by ``value`` on first sight.
+
+    After more than ``remembered`` distinct words it starts afresh at the next call.
+    """
 
     def __init__(self, value: Callable[[list[bytes]], np.ndarray], remembered: int = REMEMBERED):
         self._value, self._remembered = value, remembered
+        self._reset()
+
+    def _reset(self) -> None:
         self._codes, self._values, self._known = Codes(), None, 0
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Values of all words in order, and the number of words of each text."""
+    def codes(self, texts: list[bytes], end: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words in order, and the number of words of each text; ``end`` closes each text."""
         if len(self._codes) > self._remembered:
-            self._codes, self._values, self._known = Codes(), None, 0
+            self._reset()
         number = self._codes.__getitem__
         runs, lengths = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             words = text.split()
+            if end is not None:
+                words.append(end)
             lengths[i] = len(words)
             runs.append(np.fromiter(map(number, words), np.int64, len(words)))
         if len(self._codes) > self._known:
@@ -76,9 +84,22 @@ class WordTable:
                     self._values = room
                 self._values[self._known:len(self._codes)] = fresh
             self._known = len(self._codes)
-        codes = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-        values = np.zeros(0) if self._values is None else self._values[codes]
-        return values, lengths
+        return (np.concatenate(runs) if runs else np.zeros(0, np.int64)), lengths
+
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        return np.zeros(0) if self._values is None else self._values[codes]
+
+    def words(self) -> list[bytes]:
+        """All words by number."""
+        return list(self._codes)
+
+    def __len__(self) -> int:
+        return len(self._codes)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all words in order, and the number of words of each text."""
+        codes, lengths = self.codes(texts)
+        return self.values(codes), lengths
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
