@@ -15,6 +15,7 @@ from corpusmill.llm.ngram_join import near_duplicates
 from corpusmill.llm.packing import pack_documents
 from corpusmill.llm.quality import score_quality, train_quality
 from corpusmill.llm.secrets import BASE_KINDS, scan_secrets, spans_text
+from corpusmill.llm.token_counts import count_tokens
 from corpusmill.llm.topk import sorted_vectors, top_products
 from corpusmill.llm.toxicity import score_toxicity, train_toxicity
 from corpusmill.llm.words import held_out
@@ -39,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 NEAR_SQL = """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -71,7 +77,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", "predicted")
 

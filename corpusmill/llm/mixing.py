@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.llm.words import packed
 from corpusmill.runtime import lookup_join, stored
 
 # Weights of sources in code-point order, null last, repeated.
@@ -184,8 +185,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                              F.col("size").alias("_size"))
                .agg(F.max(copies).alias("_copies"))
                .filter(F.col("_copies") > 0))
-    rows = docs.withColumn("_words", word_count(text_col))
-    joined = rows.join(counted, rows[id_col].eqNullSafe(counted["_id"]) & (rows["_words"] == counted["_size"])
-                       & rows[source_col].eqNullSafe(counted["_source"]))
-    return (joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*[joined[c] for c in docs.columns]))
+    rows = packed(docs, id=F.col(id_col), source=F.col(source_col), words=word_count(text_col))
+    joined = rows.join(counted, rows["id"].eqNullSafe(counted["_id"]) & (rows["words"] == counted["_size"])
+                       & rows["source"].eqNullSafe(counted["_source"]))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc.*")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.components import components
-from corpusmill.llm.words import WordTable, mix, shingles, slices, starts_of, texts_of, word_hashes
+from corpusmill.llm.words import WordTable, mix, packed, shingles, slices, starts_of, texts_of, word_hashes
 from corpusmill.runtime import lookup_join, stored
 
 # A block of a bucket holds at most so many classes and about so many n-grams.
@@ -288,20 +288,19 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, re
     in a group the one with the smaller text hash stays. All columns are kept.
     """
     groups = _groups(docs, n, threshold, recall, id_col, text_col, BLOCK_CLASSES, BLOCK_GRAMS)
-    rows = stored(groups.groupBy("label", F.col("doc_id").isNull().alias("_none"),
-                                 F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("mark").alias("_mark"))
+    rows = stored(groups.groupBy("label", F.col("doc_id").isNull().alias("none"),
+                                 F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
                   .agg(F.count(F.lit(1)).alias("n")), "ngram-rows")
-    key = ["_none", "_id", "_mark"]
+    key = ["none", "id", "mark"]
     best = rows.groupBy("label").agg(F.min(F.struct(*key)).alias("best")).select("label", "best.*")
     dropped = stored(rows.join(best, ["label", *key], "left_anti").select(*key), "ngram-dropped")
-    keyed = (docs.withColumn("_none", F.col(id_col).isNull())
-             .withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-             .withColumn("_mark", F.xxhash64(text_col)))
-    kept = lookup_join(keyed, dropped, key, "left_anti", spread=["_mark"])
+    keyed = packed(docs, none=F.col(id_col).isNull(), id=F.coalesce(F.col(id_col).cast("long"), F.lit(0)),
+                   mark=F.xxhash64(text_col))
+    kept = lookup_join(keyed, dropped, key, "left_anti", spread=["mark"])
     repeated = rows.filter("n > 1").select(*key)
     if repeated.isEmpty():
-        return kept.select(*[kept[c] for c in docs.columns])
+        return kept.select("doc.*")
     # rows repeated in full: one of them stays
     once = kept.join(repeated, key, "left_anti")
     many = kept.join(repeated, key, "left_semi").dropDuplicates(key)
-    return once.unionByName(many).select(*[f"`{c}`" for c in docs.columns])
+    return once.unionByName(many).select("doc.*")

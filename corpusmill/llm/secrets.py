@@ -16,9 +16,11 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm.words import slices
 
@@ -34,8 +36,6 @@ ENDPOINT = re.compile(r"""(?:https?|s3|postgres(?:ql)?|mysql|redis|mongodb|amqp)
 # A text holding none of these in lower case holds no assignment.
 NAMES = ("passw", "secret", "token", "api_key", "apikey")
 
-SPAN = "array<struct<kind:string,start:long,end:long>>"
-
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base kinds."""
@@ -85,40 +85,51 @@ def find_spans(text: str, reach: int) -> list[tuple[int, int, int]]:
     return sorted(base + linked)
 
 
-def scan_secrets(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text",
-                 keep_text: bool = False) -> DataFrame:
-    """Spans of secrets of every whole text: ``doc_id, spans`` (kind, start, end in code points).
+SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
+                                  T.StructField("end", T.LongType())]))
+ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    ``spans`` is sorted by start, then by kind as listed; a null or empty text has none. With
-    ``keep_text`` the row keeps all its columns and gets ``spans`` and ``redacted``, the text in which
-    each stretch of reported spans is replaced by ``[SECRET]``.
 
-    Repeated rows are scanned each; a null id stays null; an empty table gives no rows. Rows stay
-    where they are: no shuffle.
-    """
+def _spans(found: list[list[tuple[int, int, int]]]) -> pa.Array:
     kinds = BASE_KINDS + LINKED_KINDS
-    spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    return pa.array([[{"kind": kinds[k], "start": s, "end": e} for s, k, e in f] for f in found], ARROW_SPANS)
+
+
+def scan_secrets(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Spans of secrets of every whole text: ``doc_id, spans`` (kind, start, end in code points).
+
+    ``spans`` is sorted by start, then by kind as listed; a null or empty text has none. Repeated rows are
+    scanned each; a null id stays null; an empty table gives no rows. Other columns are not read. Rows
+    stay where they are: no shuffle.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, "_text" if keep_text else "text"):
-            texts = [t or "" for t in rows.column("_text" if keep_text else "text").to_pylist()]
-            found = [find_spans(t, reach) for t in texts]
-            spans = pa.array([[{"kind": kinds[k], "start": s, "end": e} for s, k, e in f] for f in found], spans_type)
-            if keep_text:
-                texts = rows.column("_text").to_pylist()
-                clean = pa.array([redact(t, f) if f else t for t, f in zip(texts, found)], pa.string())
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], spans, clean],
-                                                 [*rows.schema.names[:-1], "spans", "redacted"])
-            else:
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), spans], ["doc_id", "spans"])
-
-    if keep_text:
-        kept = docs.drop("spans", "redacted")
-        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
-        return (kept.withColumn("_text", F.col(text_col))
-                .mapInArrow(scan, ", ".join([*fields, f"spans {SPAN}", "redacted string"])))
+        for rows in slices(batches, "text"):
+            found = [find_spans(t or "", reach) for t in rows.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), _spans(found)], ["doc_id", "spans"])
+
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(scan, f"doc_id long, spans {SPAN}")
+    return source.mapInArrow(scan, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", SPANS)]))
+
+
+def redact_secrets(docs: DataFrame, reach: int = 200, text_col: str = "text", length_col: str | None = None,
+                   mark: str = "[SECRET]") -> DataFrame:
+    """All rows and columns of ``docs``, with ``mark`` in place of each stretch of reported spans.
+
+    ``length_col`` names a column to set to the new number of code points. A null text stays null.
+    """
+
+    @F.pandas_udf("string")
+    def clean(column: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or not (found := find_spans(t, reach)) else redact(t, found, mark)
+                          for t in column], dtype=object)
+
+    new = {text_col: clean(F.col(f"`{text_col}`"))}
+    out = docs.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    if length_col is None:
+        return out
+    size = F.length(F.col(f"`{text_col}`")).cast(docs.schema[length_col].dataType)
+    return out.select(*[(size if c == length_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]") -> str:

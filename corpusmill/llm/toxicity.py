@@ -16,11 +16,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.samples import first_by_hash, known_labels, with_texts
-from corpusmill.llm.words import WordTable, held_out, slices, starts_of, texts_of
+from corpusmill.llm.words import SLICE_BYTES, WordTable, held_out, packed, slices, starts_of, texts_of
 
 SPACE = 1 << 20  # hashed features
 BEGINNINGS = (4, 5, 6)
@@ -173,14 +173,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 4000,
     return fit_nnpu(*sides, prior=share or 0.0)
 
 
-def score_toxicity(docs: DataFrame, model: LinearModel, threshold: float = 0.5, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` up).
-
-    Only the text is an input. A null or empty text scores the model's bias. Columns called score or
-    predicted are replaced. No shuffle; the model is of fixed size.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: LinearModel):
+    """The model as a column function from text to score; the model is of fixed size."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -190,18 +185,31 @@ def score_toxicity(docs: DataFrame, model: LinearModel, threshold: float = 0.5,
             out, at = [], 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size < 4 << 20):
+                while end < len(texts) and (end == at or size < SLICE_BYTES):
                     size += len(texts[end])
                     end += 1
                 out.append(sigmoid(known.logits(table, texts[at:end])))
                 at = end
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    scored = docs.drop("score", "predicted").withColumn("score", score(F.col(text_col)))
+    return score
+
+
+def score_toxicity(docs: DataFrame, model: LinearModel, threshold: float = 0.5, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """``doc_id, score, predicted``: a score of 0 to 1 for every whole text, and 1 from ``threshold`` up.
+
+    Only the text is an input. A null or empty text scores the model's bias; repeated rows are scored
+    each; a null id stays null; an empty table gives no rows. No shuffle.
+    """
+    score = scorer(docs.sparkSession, model)
+    scored = docs.select(F.col(id_col).alias("doc_id"), score(F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs`` that the trained classifier doesn't call toxic, with the columns of ``docs``."""
-    scored = score_toxicity(docs, train_toxicity(docs, labels, **options), threshold)
-    return scored.filter("predicted = 0").select(*[f"`{c}`" for c in docs.columns])
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id",
+               text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that the trained classifier doesn't call toxic, with all their columns."""
+    model = train_toxicity(docs, labels, id_col=id_col, text_col=text_col, **options)
+    rows = packed(docs, text=F.col(text_col))
+    return rows.filter(scorer(docs.sparkSession, model)("text") < threshold).select("doc.*")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts are taken from an Arrow batch in slices of about so many bytes (one text at least).
@@ -140,6 +140,12 @@ def shingles(hashes: np.ndarray, lengths: np.ndarray, n: int = 5) -> tuple[np.nd
         return mix(total), counts
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """All columns as one struct ``doc`` beside key columns, so that no names can clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(whole.alias("doc"), *[c.alias(name) for name, c in keys.items()])
+
+
 def held_out(doc_id: Column | str, remainder: int, parts: int = 5) -> Column:
     """Whether crc32 of the id as text leaves ``remainder`` (a null id never does)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
