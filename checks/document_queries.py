@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from checks.registry import Tables, query
 from corpusmill.functions import text
 from corpusmill.operators import collection, documents, ordinals
+from corpusmill.plans import ingest
 from corpusmill.runtime import scratch_dir
-from corpusmill.schema import DEMAND_DEPOSIT, MISSING, STRING_MAP
+from corpusmill.schema import DEMAND_DEPOSIT, MISSING, SOLDIER_SAVINGS, STRING_MAP, TIME_DEPOSIT
 from corpusmill.sources import corpus_json, records, sheets
 from corpusmill.sources.index_store import load_index, save_index, scan_corpus
 
@@ -154,6 +155,77 @@ def json_corpus_roundtrip(t: Tables) -> DataFrame:
     return corpus_json.read_written_json(t.spark, path).select("id", "bank", "product_name", "content", "key_summary", "file")
 
 
+TIME = TIME_DEPOSIT.key_fields
+
+
+@query(f"""SELECT printf('정기예금_product_%03d', row_number() OVER (ORDER BY p_partkey) - 1) AS doc_id,
+'은행: ' || p_brand || chr(10) || '상품명: ' || p_name || chr(10) || '{TIME[2]}: ' || p_size || chr(10) || '{TIME[3]}: ' || CAST(p_retailprice AS VARCHAR)
+|| chr(10) || '{TIME[4]}: 정보 없음' || chr(10) || '우대조건: ' || p_type || chr(10) || p_name AS content,
+'은행: ' || p_brand || ', 상품명: ' || p_name || ', {TIME[2]}: ' || p_size || ', {TIME[3]}: ' || CAST(p_retailprice AS VARCHAR) AS key_summary,
+p_brand AS bank FROM part""")
+def time_deposit_ingest(t: Tables) -> DataFrame:
+    """Sheets with line breaks inside cells, as documents, through the store."""
+    path = scratch_dir(t.spark, "sheets")
+    sheet = t.part.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").select(
+        F.col("p_brand").alias("은행"), F.col("p_name").alias("상품명"), F.col("p_size").cast("string").alias(TIME[2]),
+        F.col("p_retailprice").cast("string").alias(TIME[3]), F.lit(None).cast("string").alias(TIME[4]),
+        F.concat_ws("\n", "p_type", "p_name").alias("우대조건"))
+    records.write_records_csv(sheet, path)
+    return through_store(t, ingest.sheet_documents(t.spark, path, TIME_DEPOSIT))
+
+
+def through_store(t: Tables, docs: DataFrame) -> DataFrame:
+    store = scratch_dir(t.spark, "store")
+    index = ingest.commit_documents(t.spark, store, docs.withColumn("file_name", F.lit("sheet")))
+    return index.corpus.select("doc_id", "content", text.meta_get("metadata", "key_summary").alias("key_summary"),
+                               text.meta_get("metadata", "은행", F.lit(MISSING)).alias("bank"))
+
+
+@query("""SELECT printf('military_product_%03d', row_number() OVER (ORDER BY c_custkey) - 1) AS doc_id,
+'은행: ' || c_name || chr(10) || '제공 금리(%) 1개월 이상 ~ 3개월 미만: ' || c_nationkey || chr(10) || '1년 6개월 이상 ~ 만기: ' || c_custkey || chr(10)
+|| '우대금리 조건: ' || c_mktsegment || ' 이체' AS content,
+'은행: ' || c_name || ', 제공 금리(%) 1개월 이상 ~ 3개월 미만: ' || c_nationkey || ', 1년 6개월 이상 ~ 만기: ' || c_custkey
+|| ', 우대금리 조건: ' || c_mktsegment || ' 이체' AS key_summary, c_name AS bank FROM customer""")
+def soldier_savings_ingest(t: Tables) -> DataFrame:
+    """A sheet with two header rows and marked-up cells, as documents, through the store."""
+    path = scratch_dir(t.spark, "two-level")
+    heads = t.spark.createDataFrame([(-2, "은행,제공 금리(%),,우대금리 조건"), (-1, ",1개월 이상 ~ 3개월 미만,1년 6개월 이상 ~ 만기,")],
+                                    "place long, value string")
+    body = t.customer.select(F.col("c_custkey").cast("long").alias("place"), F.concat_ws(
+        ",", "c_name", F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string"),
+        F.concat(F.lit("▷"), "c_mktsegment", F.lit("<br />이체"))).alias("value"))
+    # one sheet is one file
+    heads.unionByName(body).repartition(1).sortWithinPartitions("place").select("value").write.text(path)
+    return through_store(t, ingest.sheet_documents(t.spark, path, SOLDIER_SAVINGS))
+
+
+@query("""SELECT CAST(item_id AS VARCHAR) AS id, text AS content, 'item ' || item_id AS name FROM benchmark""")
+def json_multi_line_scan(t: Tables) -> DataFrame:
+    """One indented file per item."""
+    path = scratch_dir(t.spark, "indented")
+    doc = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("content"),
+                   F.create_map(F.lit("name"), F.concat(F.lit("item "), "item_id")).alias("metadata"))
+    t.benchmark.select("item_id", F.array(doc).alias("documents")).write.partitionBy("item_id").option(
+        "pretty", "true").json(path)
+    read = corpus_json.read_corpus_json(t.spark, path)
+    return read.select("id", "content", text.meta_get("metadata", "name").alias("name"))
+
+
+@query("""SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","segment":' ||
+CASE WHEN c_mktsegment <> 'BUILDING' THEN '"' || c_mktsegment || '"' ELSE 'null' END || '}' AS json FROM customer""")
+def documents_json(t: Tables) -> DataFrame:
+    rows = t.customer.withColumn("segment", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")))
+    return rows.select("c_custkey", text.documents_json("c_custkey", "c_name", "segment").alias("json"))
+
+
+@query("""SELECT c_custkey, c_name AS name, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS segment FROM customer""")
+def from_xml(t: Tables) -> DataFrame:
+    segment = F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("<segment>"), "c_mktsegment", F.lit("</segment>"))).otherwise("")
+    xml = F.concat(F.lit("<item><name>"), "c_name", F.lit("</name>"), segment, F.lit("</item>"))
+    rows = t.customer.select("c_custkey", xml.alias("xml")).withColumn("item", text.from_xml("xml", "name string, segment string"))
+    return rows.select("c_custkey", "item.name", "item.segment")
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def csv_roundtrip(t: Tables) -> DataFrame:
     path = scratch_dir(t.spark, "csv-out")
@@ -322,10 +394,18 @@ def category_documents(t: Tables) -> DataFrame:
     return docs.withColumn("entries", F.size("metadata").cast("long")).drop("metadata")
 
 
+@query(f"""WITH {CATEGORY_SQL}, {CATEGORY_NUMBER_SQL}
+SELECT printf('military_desc_%03d', ordinal) AS doc_id, '카테고리: ' || category || chr(10) || string_agg(item || ': ' || value, chr(10) ORDER BY turn) AS content
+FROM rows JOIN numbers USING (category) GROUP BY category, ordinal""")
+def category_ingest(t: Tables) -> DataFrame:
+    """Every line of every category comes back from the store."""
+    return through_store(t, documents.category_documents(category_rows(t))).select("doc_id", "content")
+
+
 @query(f"""WITH {CATEGORY_SQL} SELECT category, item, CAST(0 AS BIGINT) AS part, string_agg(value, ' / ' ORDER BY turn) AS value
 FROM rows GROUP BY category, item""")
 def category_metadata(t: Tables) -> DataFrame:
-    return documents.category_metadata(category_rows(t))
+    return documents.category_metadata(documents.with_part(category_rows(t), None))
 
 
 @query(f"WITH {CATEGORY_SQL}, {CATEGORY_SUMMARY_SQL} SELECT category, key_summary FROM summary")

@@ -14,7 +14,8 @@ from corpusmill.plans import ingest as ingest_plan
 from corpusmill.plans import search as search_plan
 from corpusmill.runtime import scratch_dir
 from corpusmill.sources import corpus_json
-from corpusmill.sources.index_store import Index, as_corpus, commit_changes, load_index, save_index, stored_index
+from corpusmill.sources.index_store import (Index, as_corpus, commit_changes, committed_files, load_index, save_index,
+                                            stored_index)
 from corpusmill.streaming import jobs
 
 K = 5
@@ -52,10 +53,10 @@ corpus AS (SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, d.text AS content, substr
 questions AS (SELECT b.item_id AS query_id, b.text AS query, CAST(e.embedding AS DOUBLE[]) AS query_vec
               FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"""
 TERMS_SQL = """
-words AS (SELECT doc_id, unnest(string_split(content, ' ')) AS term FROM corpus),
-lengths AS (SELECT doc_id, count(*) AS dl FROM words GROUP BY doc_id),
-postings AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
-dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+words AS MATERIALIZED (SELECT doc_id, unnest(string_split(content, ' ')) AS term FROM corpus),
+lengths AS MATERIALIZED (SELECT doc_id, count(*) AS dl FROM words GROUP BY doc_id),
+postings AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM postings GROUP BY term),
 totals AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf0 FROM dfs, totals),
 mean AS (SELECT avg(idf0) AS mean_idf FROM raw),
@@ -155,20 +156,21 @@ def bm25_topk(t: Tables) -> DataFrame:
 VECTORS_SQL = "having AS (SELECT CAST(vec_id AS VARCHAR) AS doc_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"
 
 
-@query(f"WITH {CORPUS_SQL}, {vector_sql(N)} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM vector_list")
+POOL_SQL = VECTORS_SQL.replace("having", "pool")
+
+
+@query(f"WITH {CORPUS_SQL}, {POOL_SQL}, {vector_sql(N, having='pool')} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM vector_list")
 def vector_topk(t: Tables) -> DataFrame:
-    return shown(vector.vector_topk(questions(t), corpus(t), N))
+    return shown(vector.vector_topk(questions(t), vector_corpus(t), N))
 
 
 def shown(found: DataFrame) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", scores.round4(F.col("score")).alias("score"))
 
 
-@query(f"""WITH {VECTORS_SQL.replace('having', 'pool')}, asked AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query_vec FROM embeddings),
-{vector_sql(3, asked='asked', having='pool')} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM vector_list""")
+@query(f"WITH {CORPUS_SQL}, {POOL_SQL}, {vector_sql(3, having='pool')} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM vector_list")
 def vector_search(t: Tables) -> DataFrame:
-    asked = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return shown(vector.vector_search(asked, vector_corpus(t)))
+    return shown(vector.vector_search(questions(t), vector_corpus(t)))
 
 
 TABLES, WIDTH = 16, 6
@@ -212,11 +214,11 @@ def hash_embed(t: Tables) -> DataFrame:
 # --- fusion ----------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {CORPUS_SQL}, {vector_sql(N)} SELECT query_id, doc_id,
+@query(f"""WITH {CORPUS_SQL}, {POOL_SQL}, {vector_sql(N, having='pool')} SELECT query_id, doc_id,
 round((score - min(score) OVER (PARTITION BY query_id)) / (max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id) + 1e-6), 4) AS norm
 FROM vector_list""")
 def minmax_normalize(t: Tables) -> DataFrame:
-    found = fusion.minmax_normalize(vector.vector_topk(questions(t), corpus(t), N))
+    found = fusion.minmax_normalize(vector.vector_topk(questions(t), vector_corpus(t), N))
     return found.select("query_id", "doc_id", scores.round4(F.col("norm")).alias("norm"))
 
 
@@ -280,20 +282,29 @@ def recommend_best(t: Tables) -> DataFrame:
 FIELDS = {"bank": "source", "product": "lang", "base_rate": "n_chars", "top_rate": "quality", "conditions": "none"}
 
 
-@query(f"""{HITS_SQL}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, rank) AS b FROM hits WHERE quality IS NOT NULL) WHERE b = 1)
+STRUCTURED_SQL = f"""{HITS_SQL}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, rank) AS b FROM hits WHERE quality IS NOT NULL) WHERE b = 1)
 SELECT query_id, source AS bank, lang AS product, CAST(n_chars AS VARCHAR) AS base_rate, CAST(quality AS VARCHAR) AS top_rate,
 CASE WHEN source IS NOT NULL THEN '정보 없음' END AS conditions, '최고 금리 ' || quality AS reason,
 coalesce('bank: ' || source || chr(10) || 'product: ' || lang || chr(10) || 'base_rate: ' || n_chars || chr(10) || 'top_rate: ' || quality || chr(10) || 'conditions: 정보 없음' || chr(10) || 'reason: 최고 금리 ' || quality, '모르겠습니다') AS answer
-FROM questions LEFT JOIN best USING (query_id)""")
+FROM questions LEFT JOIN best USING (query_id)"""
+
+
+@query(STRUCTURED_SQL)
 def structured_answer(t: Tables) -> DataFrame:
     rate = text.meta_get("metadata", "quality").try_cast("double")
     return answers.structured_answers(questions(t), hits(t), rate, FIELDS)
 
 
-@query("SELECT doc_id AS query_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+@query(STRUCTURED_SQL)
+def recommend(t: Tables) -> DataFrame:
+    return search_plan.recommend(questions(t), stored_index(corpus(t)), FIELDS, K)
+
+
+@query("""SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT 1000000 + page_id FROM pages""")
 def zero_hit_queries(t: Tables) -> DataFrame:
-    asked = t.documents.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("query_vec")), "doc_id", "left")
-    asked = asked.select(F.col("doc_id").alias("query_id"), "query_vec")
+    bare = t.pages.select((F.col("page_id") + 1_000_000).alias("query_id"), F.lit(None).cast("array<float>").alias("query_vec"))
+    asked = questions(t).select("query_id", "query_vec").unionByName(bare)
     return answers.zero_hit_queries(asked, vector.vector_topk(asked, vector_corpus(t), 1))
 
 
@@ -357,17 +368,31 @@ def apply_changes(t: Tables) -> DataFrame:
     return index_state(commit_changes(t.spark, path, change_events(t).filter("seq > 1")))
 
 
-@query(f"""{CHANGED_SQL}, live_df AS (SELECT term, count(DISTINCT doc_id) AS df FROM live_words GROUP BY term),
-live_totals AS (SELECT count(*) AS n, CAST(sum(tokens) AS BIGINT) AS total_dl FROM state)
-SELECT n, total_dl, round(avg(ln(n - df + 0.5) - ln(df + 0.5)), 4) AS mean_idf FROM live_df, live_totals GROUP BY n, total_dl""")
+@query(f"{CHANGED_SQL} SELECT doc_id, content, tokens, terms FROM live JOIN state USING (doc_id)")
 def stream_changes(t: Tables) -> DataFrame:
     events = scratch_dir(t.spark, "events")
     # One file set per round, so rounds may arrive in any order.
     change_events(t).withColumn("round", F.col("seq")).write.partitionBy("round").parquet(events)
     store, checkpoint = scratch_dir(t.spark, "store"), scratch_dir(t.spark, "checkpoint")
-    run = jobs.stream_changes(t.spark, events, store, checkpoint, max_files=4)
-    finish(run)
-    return load_index(t.spark, store).lexical.stats.withColumn("mean_idf", F.round("mean_idf", 4))
+    finish(jobs.stream_changes(t.spark, events, store, checkpoint, max_files=4))
+    return index_state(load_index(t.spark, store))
+
+
+@query(f"""{CHANGED_SQL}, live_df AS (SELECT term, count(DISTINCT doc_id) AS df FROM live_words GROUP BY term),
+live_totals AS (SELECT count(*) AS n, CAST(sum(tokens) AS BIGINT) AS total_dl FROM state)
+SELECT n, total_dl, round(avg(ln(n - df + 0.5) - ln(df + 0.5)), 4) AS mean_idf FROM live_df, live_totals GROUP BY n, total_dl""")
+def changed_statistics(t: Tables) -> DataFrame:
+    store = scratch_dir(t.spark, "store")
+    save_index(documents_table(t), store)
+    index = commit_changes(t.spark, store, change_events(t).filter("seq > 1"))
+    return index.lexical.stats.withColumn("mean_idf", F.round("mean_idf", 4))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS content, len(string_split(text, ' ')) AS tokens,
+len(list_distinct(string_split(text, ' '))) AS terms FROM documents""")
+def index_duplicate_ids(t: Tables) -> DataFrame:
+    path = scratch_dir(t.spark, "store")
+    return index_state(save_index(documents_table(t).unionByName(documents_table(t)), path))
 
 
 def finish(run) -> None:
@@ -392,7 +417,35 @@ def ingest_files(t: Tables) -> DataFrame:
     files, store = scratch_dir(t.spark, "files"), scratch_dir(t.spark, "store")
     corpus_json.write_document_files(source_documents(t), files, "source")
     ingest_plan.ingest(t.spark, files, store, multi_line=False)
-    return ingested(ingest_plan.ingest(t.spark, files, store, multi_line=False))  # the second run adds nothing
+    return ingested(ingest_plan.ingest(t.spark, files, store, multi_line=False).index)  # the second run adds nothing
+
+
+@query(INGEST_SQL)
+def ingest_subfolders(t: Tables) -> DataFrame:
+    """Two runs; both land files of equal base names in several folders."""
+    files, store = scratch_dir(t.spark, "files"), scratch_dir(t.spark, "store")
+    docs = source_documents(t)
+    for i, lands in enumerate((F.col("type") == "en", F.col("type") != "en")):
+        corpus_json.write_document_files(docs.filter(lands), f"{files}/run{i}", "source")
+        index = ingest_plan.ingest(t.spark, files, store, multi_line=False).index
+    return ingested(index)
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS name, 'document' AS kind FROM documents WHERE lang <> 'es'
+UNION ALL SELECT source, 'unreadable' FROM documents WHERE lang = 'es'
+UNION ALL SELECT DISTINCT source, 'processed' FROM documents WHERE lang <> 'es'""")
+def ingest_quarantine(t: Tables) -> DataFrame:
+    """Spanish documents land as records of another shape."""
+    files, store = scratch_dir(t.spark, "files"), scratch_dir(t.spark, "store")
+    corpus_json.write_document_files(source_documents(t).filter("type <> 'es'"), f"{files}/good", "source")
+    torn = t.documents.filter("lang = 'es'").select(F.substring("text", 1, 20).alias("documents"), "source")
+    torn.write.partitionBy("source").json(f"{files}/torn")
+    index, unreadable = ingest_plan.ingest(t.spark, files, store, multi_line=False)
+    source = F.regexp_extract("file_name", "source=([^/]*)/", 1)
+    rows = [index.corpus.select(F.col("doc_id").alias("name"), F.lit("document").alias("kind")),
+            unreadable.select(source, F.lit("unreadable")),
+            committed_files(t.spark, store).select(source).distinct().withColumn("kind", F.lit("processed"))]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 @query(INGEST_SQL)
@@ -400,7 +453,7 @@ def stream_ingest(t: Tables) -> DataFrame:
     files = scratch_dir(t.spark, "files")
     corpus_json.write_document_files(source_documents(t), files, "source")
     store, checkpoint = scratch_dir(t.spark, "store"), scratch_dir(t.spark, "checkpoint")
-    finish(jobs.stream_ingest(t.spark, files, store, checkpoint, multi_line=False))
+    finish(jobs.stream_ingest(t.spark, files, store, checkpoint, multi_line=False, max_files=8))
     return ingested(load_index(t.spark, store))
 
 

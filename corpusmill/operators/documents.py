@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text
-from corpusmill.operators.ordinals import first_n, key_ordinal, ordered_concat
+from corpusmill.operators.ordinals import first_n, key_ordinal, ordered_concat, row_ordinal
 from corpusmill.runtime import lookup_join, stored
 from corpusmill.schema import MISSING, MISSING_CELLS, SOLDIER_SAVINGS_GUIDE, STRING_MAP, SheetSpec
 
@@ -52,10 +52,10 @@ def render_numbers(df: DataFrame, columns: list[str], file_col: str | None = "so
         number = q(c).try_cast("double").isNotNull() & ~q(c).rlike(r"[dDfF]\s*\z")
         facts += [F.bool_and(q(c).isNull() | number).alias(f"_num{i}"),
                   F.bool_and(F.coalesce(q(c).rlike(integral), F.lit(False))).alias(f"_int{i}")]
-    if file_col is None:
-        df, file_col = df.withColumn("_file", F.lit(0)), "_file"
-    flags = stored(df.groupBy(file_col).agg(*facts), "column-kinds")
-    joined = lookup_join(df, flags, [file_col], "inner", spread=[c for c in columns])
+    file = F.lit(None).cast("string") if file_col is None else q(file_col)
+    df = df.withColumns({"_no_file": file.isNull(), "_file": F.coalesce(file.cast("string"), F.lit(""))})
+    flags = stored(df.groupBy("_no_file", "_file").agg(*facts), "column-kinds")
+    joined = lookup_join(df, flags, ["_no_file", "_file"], "inner", spread=list(columns))
     shown = {}
     for i, c in enumerate(columns):
         whole = q(c).try_cast("decimal(38,0)").cast("string")
@@ -63,7 +63,7 @@ def render_numbers(df: DataFrame, columns: list[str], file_col: str | None = "so
                     .when(F.col(f"_num{i}"), text.python_float(q(c).try_cast("double")))
                     .otherwise(q(c)))
     helpers = [f"_{kind}{i}" for kind in ("num", "int") for i in range(len(columns))]
-    return joined.withColumns(shown).drop(*helpers, "_file")
+    return joined.withColumns(shown).drop(*helpers, "_no_file", "_file")
 
 
 def narrative(columns: list[str]) -> Column:
@@ -127,52 +127,57 @@ def clean_category_rows(df: DataFrame) -> DataFrame:
     return clean_columns(fill_missing(missing_cells(df, texts), columns=texts), texts)
 
 
-def category_content(rows: DataFrame, part_rows: int = 100_000) -> DataFrame:
+def with_part(rows: DataFrame, lines_per_document: int | None) -> DataFrame:
+    """Add ``part``: 0, or the number of the run of ``lines_per_document`` rows a row is in."""
+    if lines_per_document is None:
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    numbered = row_ordinal(rows, "category", ["row_ordinal"], "_line")
+    return numbered.withColumn("part", F.floor(F.col("_line") / lines_per_document).cast("long")).drop("_line")
+
+
+def category_content(parted: DataFrame) -> DataFrame:
     """category, part, content: the category line and one ``item: value`` line per row."""
-    lines = rows.select("category", "row_ordinal", F.concat("item", F.lit(": "), "value").alias("line"))
-    body = ordered_concat(lines, ["category"], "row_ordinal", "line", "\n", part_rows, "body")
-    head = F.when(F.col("part") == 0, F.concat(F.lit("카테고리: "), F.col("category"), F.lit("\n"))).otherwise(F.lit(""))
+    lines = parted.select("category", "part", "row_ordinal", F.concat("item", F.lit(": "), "value").alias("line"))
+    body = ordered_concat(lines, ["category", "part"], "row_ordinal", "line", "\n", "body")
+    head = F.concat(F.lit("카테고리: "), F.col("category"), F.lit("\n"))
     return body.select("category", "part", F.concat(head, F.col("body")).alias("content"))
 
 
-def category_metadata(rows: DataFrame, part_rows: int = 100_000) -> DataFrame:
-    """category, item, part, value: values of a repeated item joined by `` / `` in row order."""
-    return ordered_concat(rows.select("category", "item", "row_ordinal", "value"), ["category", "item"],
-                          "row_ordinal", "value", " / ", part_rows, "value")
+def category_metadata(parted: DataFrame) -> DataFrame:
+    """category, part, item, value: values of a repeated item joined by `` / `` in row order."""
+    cells = parted.select("category", "part", "item", "row_ordinal", "value")
+    return ordered_concat(cells, ["category", "part", "item"], "row_ordinal", "value", " / ", "value")
 
 
-def category_summary(rows: DataFrame, n: int = 2, width: int = 50) -> DataFrame:
+def category_summary(rows: DataFrame, n: int = 2, width: int = 50, by: tuple[str, ...] = ("category",)) -> DataFrame:
     """category, key_summary: the first rows of the category, values shortened."""
-    top = first_n(rows, ["category"], [F.col("row_ordinal")], n)
+    top = first_n(rows, list(by), [F.col("row_ordinal")], n)
     item = F.concat("item", F.lit(": "), text.ellipsis("value", width))
-    listed = top.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("place", item.alias("s")))).alias("l"))
-    return listed.select("category", F.array_join(F.transform("l", lambda x: x["s"]), ", ").alias("key_summary"))
+    listed = top.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("place", item.alias("s")))).alias("l"))
+    return listed.select(*by, F.array_join(F.transform("l", lambda x: x["s"]), ", ").alias("key_summary"))
 
 
 def category_documents(rows: DataFrame, spec: SheetSpec = SOLDIER_SAVINGS_GUIDE,
-                       part_rows: int = 100_000) -> DataFrame:
-    """One document per category, numbered by sorted category.
+                       lines_per_document: int | None = None) -> DataFrame:
+    """One document per category, numbered by sorted category, whatever its size.
 
-    ``part`` is 0 except for a category of more than ``part_rows`` rows, whose content comes in parts;
-    its metadata then holds the items whose first part lies in that row.
+    With ``lines_per_document`` a category comes as several documents of that many rows, each made from
+    its own rows as a category would be. The first keeps the category's id, the others add their number
+    to it, so no two documents share an id. ``part`` is that number.
     """
-    content = category_content(rows, part_rows)
-    summary = category_summary(rows)
+    parted = with_part(rows, lines_per_document)
+    key = ["category", "part"]
+    summary = category_summary(parted, by=tuple(key))
     numbers = key_ordinal(rows, "category", "ordinal")
-    items = category_metadata(rows, part_rows)
     entry = F.struct(F.col("item").alias("key"), F.col("value").alias("value"))
-    # Items of a category are dealt to its parts, so no map grows with the category.
-    counts = content.groupBy("category").agg(F.count(F.lit(1)).alias("parts"))
-    dealt = lookup_join(items, counts, ["category"], "inner", spread=["item"])
-    slot = F.pmod(F.xxhash64("item", "part"), F.col("parts")).cast("long")
-    suffixed = F.when(F.col("part") == 0, F.col("item")).otherwise(F.concat("item", F.lit(" #"), "part"))
-    maps = (dealt.withColumns({"slot": slot, "item": suffixed}).filter(F.col("item") != "key_summary")
-            .groupBy("category", F.col("slot").alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("m")))
+    maps = (category_metadata(parted).filter(F.col("item") != "key_summary").groupBy(*key)
+            .agg(F.map_from_entries(F.collect_list(entry)).alias("m")))
     empty = F.create_map().cast(STRING_MAP)
-    joined = (content.join(summary, "category").join(numbers, "category")
-              .join(maps, ["category", "part"], "left"))
+    joined = category_content(parted).join(summary, key).join(numbers, "category").join(maps, key, "left")
     own = F.create_map(F.lit("key_summary"), F.col("key_summary"))
+    first = text.doc_id(spec.id_prefix, F.col("ordinal"))
+    doc_id = F.when(F.col("part") == 0, first).otherwise(F.concat(first, F.lit("_"), F.col("part").cast("string")))
     return joined.select(
-        text.doc_id(spec.id_prefix, F.col("ordinal")).alias("id"), F.lit(MISSING).alias("bank"),
-        F.col("category").alias("product_name"), F.lit(spec.doc_type).alias("type"), "part", "content", "key_summary",
+        doc_id.alias("id"), F.lit(MISSING).alias("bank"), F.col("category").alias("product_name"),
+        F.lit(spec.doc_type).alias("type"), "part", "content", "key_summary",
         F.map_concat(F.coalesce("m", empty), own).alias("metadata"))

@@ -1,11 +1,13 @@
 """Lexical side of the search: postings, statistics, BM25 scores.
 
-Postings stay partitioned by document. A query batch is small and is sent to them, so the sum over
-the terms of a document needs no shuffle; only the best rows per query and partition travel.
+Stored postings lie in folders by a hash of the term, sorted by term. The terms of a query batch are
+given to the scan, which reads only where they lie; what they match is summed per query and document
+in one shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scores, text
-from corpusmill.runtime import is_small, lookup_join, top_per_group
+from corpusmill.runtime import few_values, is_small, lookup_join, stored, top_per_group
 
 
 @dataclass(frozen=True)
@@ -21,9 +23,10 @@ class LexicalIndex:
     """``postings`` come in parts holding different documents; ``terms`` rows of one term add up."""
 
     docs: DataFrame                   # doc_id: every live document, matched or not
-    postings: tuple[DataFrame, ...]   # doc_id, term, tf, dl; each partitioned by doc_id
-    terms: DataFrame                  # term, df
+    postings: tuple[DataFrame, ...]   # doc_id, term, tf, dl (and folder, if stored)
+    terms: DataFrame                  # term, df (and folder, if stored)
     stats: DataFrame                  # one row: n, total_dl, mean_idf
+    folders: int | None = None        # number of folders that terms are hashed to, if stored
 
     @cached_property
     def totals(self) -> Row:
@@ -36,14 +39,14 @@ def lexical_tokens(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", text.tokens(text.lexical_text("metadata", "content")).alias("tokens"))
 
 
-def build_postings(corpus: DataFrame, placed: bool = False) -> DataFrame:
+def build_postings(corpus: DataFrame) -> DataFrame:
     """Term frequencies and length per document.
 
-    The narrow text rows are shuffled once by document, unless they are ``placed`` so already. That
-    is less data than exploded tokens and leaves every later per-document step without a shuffle.
+    The narrow text rows are shuffled once by document, which is less data than exploded tokens and
+    leaves the counting without a shuffle.
     """
-    rows = corpus.select("doc_id", text.lexical_text("metadata", "content").alias("text"))
-    rows = (rows if placed else rows.repartition("doc_id")).select("doc_id", text.tokens("text").alias("tokens"))
+    rows = corpus.select("doc_id", text.lexical_text("metadata", "content").alias("text")).repartition("doc_id")
+    rows = rows.select("doc_id", text.tokens("text").alias("tokens"))
     exploded = rows.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     return exploded.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).select(
         "doc_id", "term", "tf", "dl")
@@ -93,14 +96,29 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def where_terms_lie(words: DataFrame, index: LexicalIndex) -> Callable[[DataFrame], DataFrame]:
+    """Reduce stored tables to the folders of the given terms, and to the terms if they are few."""
+    if index.folders is None:
+        return lambda table: table
+    asked = words.select("term", F.pmod(F.xxhash64("term"), F.lit(index.folders)).cast("int").alias("folder"))
+    folders, terms = few_values(asked, "folder"), few_values(asked, "term")
+
+    def reduced(table: DataFrame) -> DataFrame:
+        table = table if folders is None else table.filter(F.col("folder").isin(folders))
+        return (table if terms is None else table.filter(F.col("term").isin(terms))).drop("folder")
+
+    return reduced
+
+
 def query_weights(queries: DataFrame, index: LexicalIndex, epsilon: float = scores.EPSILON,
-                  small: bool | None = None) -> DataFrame:
+                  small: bool | None = None, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """idf x multiplicity per query term; terms the corpus lacks weigh nothing and are dropped."""
     words = query_terms(queries)
     if small if small is not None else is_small(words):
-        known = index.terms.join(F.broadcast(words), "term")
+        known = (near or where_terms_lie(words, index))(index.terms).join(F.broadcast(words), "term")
     else:  # a term may occur in most queries: spread those, copy its one row of the index
-        known = lookup_join(words, index.terms, ["term"], "inner", spread=["query_id"], small=False)
+        known = lookup_join(words, index.terms.select("term", "df"), ["term"], "inner", spread=["query_id"],
+                            small=False)
     known = known.groupBy("query_id", "term", "qtf").agg(F.sum("df").alias("df")).filter(F.col("df") > 0)
     raw = scores.raw_idf(F.lit(index.totals["n"]), F.col("df"))
     idf = scores.floored_idf(raw, F.lit(index.totals["mean_idf"]), epsilon)
@@ -112,17 +130,20 @@ def score_bm25(queries: DataFrame, index: LexicalIndex, k1: float = scores.K1, b
     """BM25 per query and matched document: query_id, doc_id, score."""
     if small is None:
         small = is_small(query_terms(queries))
-    weights = query_weights(queries, index, epsilon, small)
+    near = where_terms_lie(query_terms(queries), index) if small else lambda table: table
+    weights = query_weights(queries, index, epsilon, small, near if small else None)
     avgdl = F.lit(index.totals["total_dl"] / max(index.totals["n"], 1))
     summand = F.col("weight") * scores.term_weight(F.col("tf"), F.col("dl"), avgdl, k1, b)
 
     counts = index.terms.groupBy("term").agg(F.sum("df").alias("n"))
 
     def score(postings: DataFrame) -> DataFrame:
-        matched = lookup_join(postings, weights, ["term"], "inner", spread=["doc_id"], small=small, counts=counts)
-        return matched.groupBy("query_id", "doc_id").agg(F.sum(summand).alias("score"))
+        matched = lookup_join(near(postings), weights, ["term"], "inner", spread=["doc_id"], small=small, counts=counts)
+        return matched.select("query_id", "doc_id", summand.alias("score"))
 
-    return reduce(DataFrame.unionByName, map(score, index.postings))
+    # a document's postings are all in one part
+    matched = reduce(DataFrame.unionByName, map(score, index.postings))
+    return matched.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
 def bm25_topk(queries: DataFrame, index: LexicalIndex, n: int, k1: float = scores.K1, b: float = scores.B,
@@ -133,30 +154,33 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex, n: int, k1: float = score
     documents that are not among fewer than ``n`` positive ones, so only those are offered as padding.
 
     Where the mean idf is negative, the floored terms weigh less than nothing and zeros outrank the
-    documents they occur in. A query with a negative score has a term found in over half of all
-    documents; for such queries every document is offered, at most twice what matched anyway.
+    documents they occur in. Then as many of the smallest ids are offered as hold ``n`` unmatched ones
+    for every query.
     """
     order = [scores.order_score(F.col("score")).desc(), F.col("doc_id")]
     scored = score_bm25(queries, index, k1, b, epsilon, small)
-    padding = index.docs.orderBy("doc_id").limit(2 * n).agg(F.collect_list("doc_id").alias("ids")).scalar()
-    zeros = queries.select("query_id", F.explode(padding).alias("doc_id"), F.lit(0.0).alias("score"))
     if (index.totals["mean_idf"] or 0) < 0:
-        negative = scored.filter(scores.order_score(F.col("score")) < 0).select("query_id").distinct()
-        zeros = zeros.unionByName(_every_document(index.docs, negative))
-        best = scored
+        best = scored = stored(scored, "scored")
+        offered_ids = _smallest_ids(index.docs, scored, n, index.totals["n"])
     else:
         best = top_per_group(scored.filter(scores.order_score(F.col("score")) > 0), ["query_id"], order, n, ["doc_id"])
+        offered_ids = index.docs.orderBy("doc_id").limit(2 * n)
+    padding = offered_ids.agg(F.collect_list("doc_id").alias("ids")).scalar()
+    zeros = queries.select("query_id", F.explode(padding).alias("doc_id"), F.lit(0.0).alias("score"))
     # A zero offered for a matched document adds nothing to its score.
     offered = best.select("query_id", "doc_id", "score").unionByName(zeros)
     summed = offered.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     return top_per_group(summed, ["query_id"], order, n, ["doc_id"])
 
 
-def _every_document(docs: DataFrame, queries: DataFrame, list_size: int = 10_000) -> DataFrame:
-    """A zero score for each document and each query; the query ids travel in bounded lists."""
-    slots = max(1, -(-queries.count() // list_size))
-    lists = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(slots)).alias("slot")).agg(
-        F.collect_list("query_id").alias("ids"))
-    offered = docs.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    joined = lookup_join(offered, lists, ["slot"], "inner", spread=["doc_id"])
-    return joined.select(F.explode("ids").alias("query_id"), "doc_id", F.lit(0.0).alias("score"))
+def _smallest_ids(docs: DataFrame, scored: DataFrame, n: int, total: int) -> DataFrame:
+    """The smallest document ids, so many that every query leaves ``n`` of them unmatched."""
+    wanted = 4 * n
+    while True:
+        ids = stored(docs.select("doc_id").orderBy("doc_id").limit(wanted), "smallest-ids")
+        if wanted >= total:
+            return ids
+        matched = lookup_join(scored, ids, ["doc_id"], "left_semi", spread=["query_id"]).groupBy("query_id").count()
+        if (matched.agg(F.max("count")).first()[0] or 0) <= wanted - n:
+            return ids
+        wanted *= 4

@@ -10,19 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import is_small, lookup_join, scratch_dir, stored
+from corpusmill.runtime import lookup_join, scratch_dir, stored
 
 
 def file_ordinals(scan: DataFrame, name: str = "row_ordinal") -> DataFrame:
     """Number the rows of each file of a file scan from 0, in file order, without a shuffle.
 
-    ``scan`` must be a plain file read. Rows of a split are numbered by their place in it; the row
-    counts of a file's earlier splits are added. Adds ``source_file`` (the path) too.
+    ``scan`` must be a plain file read. It is read once and written with each row's split and place, so
+    both passes below agree however the files are split among tasks. Rows of a split are numbered by
+    their place in it; the row counts of a file's earlier splits are added. Adds ``source_file`` (the
+    path) too.
     """
-    placed = scan.select(
+    placed = stored(scan.select(
         "*", F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_place"))
+        F.monotonically_increasing_id().alias("_place")), "numbered")
     blocks = placed.groupBy("source_file", "_block").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
     earlier = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,13 +46,13 @@ def global_ordinals(df: DataFrame, order: list[str], name: str = "position") ->
     path = scratch_dir(spark, "ordered")
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
-    placed = stored.select("*", F.col("_metadata.file_name").alias("_file"),
-                           F.col("_metadata.row_index").alias("_index"))
-    # One row per written file, at most the number of shuffle partitions.
+    # Files are named by their partition's number, of five digits or more.
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    placed = stored.select("*", number.alias("_file"), F.col("_metadata.row_index").alias("_index"))
     sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    joined = placed.join(F.broadcast(offsets), "_file")
+    joined = lookup_join(placed, offsets, ["_file"], "inner", spread=["_index"])
     return joined.withColumn(name, F.col("_index") + F.col("_offset")).drop("_file", "_index", "_offset")
 
 
@@ -78,23 +80,11 @@ def first_n(df: DataFrame, by: list[str], order: list[Column], n: int, name: str
     return numbered.filter(F.col(name) <= n)
 
 
-def ordered_concat(df: DataFrame, by: list[str], order: str, value: str, sep: str,
-                   part_rows: int = 100_000, name: str = "text") -> DataFrame:
-    """Concatenate ``value`` per group in row order: ``by``, ``part``, ``name``.
+def ordered_concat(df: DataFrame, by: list[str], order: str, value: str, sep: str, name: str = "text") -> DataFrame:
+    """Concatenate ``value`` per group in row order: ``by``, ``name``.
 
-    A text is built in one place, so its size must be bounded. Groups of up to ``part_rows`` rows give
-    one row with ``part`` 0. A larger group gives consecutive parts of that many rows; joined by
-    ``sep`` in part order they are the whole text. Nothing is cut off.
+    The text is one cell of the result, so a group's values meet in one task. Callers bound groups
+    where they may be large.
     """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
-    merged = F.array_join(ordered, sep).alias(name)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    hot = stored(sizes.filter(F.col("_n") > part_rows).select(*by), "large-groups")
-    if hot.isEmpty():
-        return df.groupBy(*by).agg(merged).select(*by, F.lit(0).cast("long").alias("part"), name)
-    small = is_small(hot)
-    plain = lookup_join(df, hot, by, "left_anti", spread=[order], small=small)
-    large = row_ordinal(lookup_join(df, hot, by, "left_semi", spread=[order], small=small), by, [order], "_row")
-    cut = large.withColumn("part", F.floor(F.col("_row") / part_rows).cast("long"))
-    return (plain.groupBy(*by).agg(merged).select(*by, F.lit(0).cast("long").alias("part"), name)
-            .unionByName(cut.groupBy(*by, "part").agg(merged)))
+    return df.groupBy(*by).agg(F.array_join(ordered, sep).alias(name))

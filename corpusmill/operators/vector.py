@@ -2,8 +2,7 @@
 
 Exact search is a scan of the corpus vectors. A query batch of checked size is sent to every
 partition, where one matrix product per Arrow batch replaces row-wise arithmetic, and only the best
-rows per query leave the partition. A larger query set is cut into blocks that meet the corpus in a
-grid of cells, each cell doing the same product on a bounded block.
+rows per query leave the partition. A larger query set comes in chunks of that size.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +23,23 @@ from corpusmill.runtime import is_small, lookup_join, measure, restrict, top_per
 
 MATRIX_BYTES = 64 << 20      # query vectors sent to the tasks
 PRODUCT_CELLS = 4_000_000    # scores held at once by a task
-CELL_ROWS = 4096             # queries of one block in the grid
 HIT_SCHEMA = "query_id long, doc_id string, score double"
 
 
-def unit_rows(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of a list column as a matrix, and the positions of the rows that have one."""
+def unit_rows(vectors: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of a list column as a matrix, and the positions of the rows that have one.
+
+    Vectors of different dimensions, or of others than ``width``, are an error.
+    """
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     valid = np.flatnonzero(~np.asarray(vectors.is_null()))
     if not len(valid):
         return np.zeros((0, 0)), valid
     dense = vectors.take(pa.array(valid))
+    sizes = np.unique(np.asarray(dense.value_lengths()))
+    if len(sizes) > 1 or width is not None and sizes[0] != width:
+        raise ValueError(f"vectors of {sizes.tolist()} dimensions where {width or int(sizes[0])} are wanted")
     flat = dense.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(len(valid), -1)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -84,61 +89,30 @@ def _scan_with_matrix(queries: DataFrame, corpus: DataFrame, n: int) -> DataFram
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_matrix = shared.value
         for batch in batches:
-            docs, rows = unit_rows(batch.column(1))
+            docs, rows = unit_rows(batch.column(1), query_matrix.shape[1] if len(query_ids) else None)
             if len(rows) and len(query_ids):
                 yield from _scored(batch.column(0).take(pa.array(rows)), docs, query_ids, query_matrix, n)
 
     return corpus.select("doc_id", "embedding").mapInArrow(scan, HIT_SCHEMA)
 
 
-def _scan_in_grid(queries: DataFrame, corpus: DataFrame, n: int, query_rows: int, corpus_rows: int,
-                  cell_rows: int) -> DataFrame:
-    """Both sides cut by hash into blocks; each (query block, corpus block) cell is one bounded task.
-
-    Rows are copied once per block of the other side, which is the least any exact method can move.
-    """
-    query_blocks = max(1, math.ceil(query_rows / cell_rows))
-    corpus_blocks = max(1, math.ceil(corpus_rows / (8 * cell_rows)))
-
-    def cut(key: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-    def copies(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = (queries.select("query_id", "query_vec", cut("query_id", query_blocks).alias("qb"))
-            .withColumn("cb", copies(corpus_blocks)))
-    right = (corpus.select("doc_id", "embedding", cut("doc_id", corpus_blocks).alias("cb"))
-             .withColumn("qb", copies(query_blocks)))
-
-    def cell(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
-        block, valid = unit_rows(left_rows.column("query_vec"))
-        docs, rows = unit_rows(right_rows.column("embedding"))
-        ids = np.asarray(left_rows.column("query_id"))[valid]
-        parts = []
-        if len(valid) and len(rows):
-            doc_ids = right_rows.column("doc_id").combine_chunks().take(pa.array(rows))
-            parts = list(_scored(doc_ids, docs, ids, block, n))
-        schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.string()), ("score", pa.float64())])
-        return pa.Table.from_batches(parts, schema=schema)
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(cell, HIT_SCHEMA)
-
-
 def vector_topk(queries: DataFrame, corpus: DataFrame, n: int, matrix_bytes: int | None = None,
-                cell_rows: int = CELL_ROWS, measured: tuple[int, int] | None = None) -> DataFrame:
+                measured: tuple[int, int] | None = None) -> DataFrame:
     """Best ``n`` documents per query by cosine similarity in [0, 1], ties by doc_id.
 
+    Queries beyond ``matrix_bytes`` come in chunks of that size; each chunk reads the corpus where it
+    lies, and no corpus row is copied or shuffled.
+
     A query without a vector has no hits; a document without a vector is never one. ``measured``
     (rows, bytes) of the queries saves measuring them again.
     """
     asked = queries.filter(F.col("query_vec").isNotNull()).select("query_id", "query_vec")
     having = corpus.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding")
-    rows, size = measured or measure(asked)
-    if size <= (MATRIX_BYTES if matrix_bytes is None else matrix_bytes):
-        hits = _scan_with_matrix(asked, having, n)
-    else:
-        hits = _scan_in_grid(asked, having, n, rows, having.count(), cell_rows)
+    size = (measured or measure(asked))[1]
+    chunks = max(1, math.ceil(size / (MATRIX_BYTES if matrix_bytes is None else matrix_bytes)))
+    chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks))
+    hits = reduce(DataFrame.unionByName, [
+        _scan_with_matrix(asked.filter(chunk == i) if chunks > 1 else asked, having, n) for i in range(chunks)])
     order = [scores.order_score(F.col("score")).desc(), F.col("doc_id")]
     return top_per_group(hits, ["query_id"], order, n, ["doc_id"])
 

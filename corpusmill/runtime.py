@@ -88,8 +88,8 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     limit = HOT_ROWS if hot_rows is None else hot_rows
     rows = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     hot = stored(rows.filter(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).alias("_tasks")), "hot-keys")
-    if hot.isEmpty():
-        return left.join(right, on, how)
+    if hot.isEmpty() or not is_small(hot):
+        return left.join(right, on, how)  # beyond that many hot keys none holds much of the table
     tasks = F.coalesce("_tasks", F.lit(1))
     salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), tasks))
     copies = right.join(F.broadcast(hot), on, "left").withColumn(
@@ -97,14 +97,20 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     return salted.drop("_tasks").join(copies.drop("_tasks"), [*on, "_salt"], how).drop("_salt")
 
 
+def few_values(df: DataFrame, key: str, limit: int = LITERAL_IDS) -> list | None:
+    """The distinct values of a column if there are at most ``limit``."""
+    values = [r[0] for r in df.select(key).distinct().limit(limit + 1).collect()]
+    return values if len(values) <= limit else None
+
+
 def restrict(df: DataFrame, key: str, wanted: DataFrame, limit: int = LITERAL_IDS) -> DataFrame:
     """``df`` reduced to the keys occurring in ``wanted`` when these are few, else ``df`` as it is.
 
-    The keys become a literal list, so a table bucketed by ``key`` is read only in the buckets that
-    hold them. Only a saving: callers still join.
+    The keys become a literal list, so a table in folders by ``key`` is read only in those that hold
+    them. Only a saving: callers still join.
     """
-    keys = [r[0] for r in wanted.select(key).distinct().limit(limit + 1).collect()]
-    return df.filter(F.col(key).isin(keys)) if len(keys) <= limit else df
+    keys = few_values(wanted, key, limit)
+    return df if keys is None else df.filter(F.col(key).isin(keys))
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int,

@@ -1,39 +1,39 @@
 """The stored corpus with its lexical index, kept in step commit by commit.
 
-A store is a folder of immutable segments and a small commit log, written by one job at a time. The
-first segment (the base) holds the corpus as built; each later one (a delta) holds the documents one
-commit added, replaced or deleted, so a commit costs what it changes, not what is stored. Readers
-take, for each id, its newest entry. After some commits their deltas are merged into one. Term counts
-are kept as signed differences that add up, which makes every statistic exact. Segments are bucketed
-by document, so building and scoring postings needs no shuffle.
+A store is a folder of Parquet tables, written by one job at a time. A commit writes one segment: the
+documents it adds, replaces or deletes, their postings, and signed changes of the term counts; a line
+in the log makes it count. Readers take, for each id, its newest entry; ``newest`` lists those that are
+not in the first segment. Folding all segments into one is ``compact``.
+
+Documents lie in folders by a hash of their id, postings and term counts in folders by a hash of the
+term, sorted by term, so few ids or few terms are read without the rest. The number of folders is a
+parameter of the store.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 from corpusmill.operators import lexical
 from corpusmill.operators.lexical import LexicalIndex
-from corpusmill.runtime import BROADCAST_BYTES, BROADCAST_ROWS, is_small, lookup_join, measure, scratch_dir, stored
+from corpusmill.runtime import (BROADCAST_BYTES, BROADCAST_ROWS, is_small, lookup_join, measure, restrict, scratch_dir,
+                                stored)
 from corpusmill.schema import CORPUS, STRING_MAP
 
-LOG = "version long, segment string, kind string, batch string, last_seq long"
+LOG = "segment string, kind string, batch string, last_seq long, folders int, version long"
 DOCS = ("doc_id string, doc_key string, seq long, op string, content string, "
-        "metadata map<string,string>, embedding array<float>")
-POSTINGS = "doc_id string, term string, tf long, dl long"
-TERMS = "term string, df long"
+        "metadata map<string,string>, embedding array<float>, folder int")
+POSTINGS = "doc_id string, term string, tf long, dl long, folder int"
+TERMS = "term string, df long, folder int"
 HISTOGRAM = "df long, words long"
-# Deltas a reader has to put together before they are merged into one.
-MERGE_AFTER = 16
-# Size of the documents of one bucket of a commit.
-BUCKET_BYTES = 4 << 20
+NEWEST = "doc_id string, version long"
 FILES = "file_name string"
 STATS = "n long, total_dl long, mean_idf double"
 
@@ -42,10 +42,14 @@ STATS = "n long, total_dl long, mean_idf double"
 class Index:
     corpus: DataFrame       # doc_id, doc_key, content, metadata, embedding: live documents
     lexical: LexicalIndex
+    folders: int | None = None  # of a stored corpus, which then has the column ``folder`` too
 
 
 def as_corpus(df: DataFrame) -> DataFrame:
-    """Bring documents to the corpus shape: drop those without content, fill the rest."""
+    """Bring documents to the corpus shape: drop those without content, fill the rest.
+
+    A document without an id is known by its key.
+    """
     have = df.columns
     if "doc_id" not in have and "id" in have:
         df = df.withColumnRenamed("id", "doc_id")
@@ -55,9 +59,9 @@ def as_corpus(df: DataFrame) -> DataFrame:
         df = df.withColumn("embedding", F.lit(None).cast("array<float>"))
     empty = F.create_map().cast(STRING_MAP)
     kept = df.filter(F.col("content").isNotNull()).withColumn("metadata", F.coalesce("metadata", empty))
-    return kept.select(F.col("doc_id").cast("string").alias("doc_id"),
-                       text.doc_key("metadata", "content").alias("doc_key"), "content", "metadata",
-                       F.col("embedding").cast("array<float>").alias("embedding"))
+    key = text.doc_key("metadata", "content")
+    return kept.select(F.coalesce(F.col("doc_id").cast("string"), key).alias("doc_id"), key.alias("doc_key"), "content",
+                       "metadata", F.col("embedding").cast("array<float>").alias("embedding"))
 
 
 def in_memory_index(corpus: DataFrame) -> Index:
@@ -70,26 +74,27 @@ def in_memory_index(corpus: DataFrame) -> Index:
 
 
 def _commits(spark: SparkSession, path: str) -> list:
-    """All commits in order: one small row each."""
+    """The commits since the last base, in order: one small row each."""
     try:
-        return sorted(spark.read.schema(LOG).json(f"{path}/log").collect(), key=lambda r: r["version"])
+        rows = spark.read.schema(LOG).json(f"{path}/log").collect()
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return []
+    rows.sort(key=lambda r: r["version"])
+    bases = [i for i, r in enumerate(rows) if r["kind"] == "base"]
+    return rows[bases[-1]:] if bases else rows
 
 
-def _live(commits: list) -> list:
-    """The newest base, the newest merge of deltas after it, and the deltas after that."""
-    bases = [i for i, r in enumerate(commits) if r["kind"] == "base"]
-    rows = commits[bases[-1]:] if bases else commits
-    merges = [i for i, r in enumerate(rows) if r["kind"] == "merged"]
-    return [rows[0], *rows[merges[-1]:]] if merges else rows
+def _append_log(spark: SparkSession, path: str, version: int, segment: str, kind: str, batch: str | None,
+                last_seq: int, folders: int) -> None:
+    """The commit itself. A version that another writer has taken meanwhile is refused."""
+    row = spark.createDataFrame([(segment, kind, batch, last_seq, folders)], LOG.rsplit(",", 1)[0])
+    row.coalesce(1).write.mode("errorifexists").json(f"{path}/log/version={version}")
 
 
-def _append_log(spark: SparkSession, path: str, *row) -> None:
-    """The commit itself: a segment counts once its line is in the log."""
-    spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").json(f"{path}/log")
+def _table(spark: SparkSession, commits: list, name: str, schema: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(f"{r['segment']}/{name}") for r in commits])
 
 
 def committed_files(spark: SparkSession, path: str) -> DataFrame:
@@ -98,137 +103,121 @@ def committed_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _ledger(spark: SparkSession, commits: list) -> DataFrame:
-    """Base and merged segments hold the ledger up to their time."""
-    if not commits:
-        return spark.createDataFrame([], FILES)
-    last = max(i for i, r in enumerate(commits) if r["kind"] != "delta")
-    return spark.read.schema(FILES).parquet(*[f"{r['segment']}/files" for r in commits[last:]]).distinct()
-
-
-def _write_bucketed(df: DataFrame, folder: str, buckets: int) -> None:
-    """Bucketed files at ``folder``; the table name is only needed while writing."""
-    name = f"writing_{uuid.uuid4().hex}"
-    (df.write.format("parquet").bucketBy(buckets, "doc_id").sortBy("doc_id")
-     .option("path", folder).saveAsTable(name))
-    df.sparkSession.sql(f"DROP TABLE {name}")  # external: the files stay
-
+    return _table(spark, commits, "files", FILES).distinct() if commits else spark.createDataFrame([], FILES)
 
-def _read_bucketed(spark: SparkSession, folder: str, schema: str, buckets: int) -> DataFrame:
-    name = f"segment_{hashlib.md5(folder.encode()).hexdigest()}"
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY (doc_id) SORTED BY (doc_id) "
-              f"INTO {buckets} BUCKETS LOCATION '{folder}'")
-    return spark.table(name)
 
+def folder_of(key: str, folders: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")
 
-def _buckets(spark: SparkSession, size: int | None = None) -> int:
-    """Buckets of a segment: the shuffle partitions, fewer for a segment of known small size."""
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return most if size is None else max(1, min(most, -(-size // BUCKET_BYTES)))
 
+def near(df: DataFrame, key: str, wanted: DataFrame, folders: int) -> DataFrame:
+    """``df`` reduced to the folders, and if few the keys, that ``wanted`` names; only a saving."""
+    asked = wanted.select(key, folder_of(key, folders).alias("folder"))
+    return restrict(restrict(df, "folder", asked), key, asked)
 
-def _new_segment(path: str, version: int, buckets: int) -> str:
-    return f"{path}/segment-{version:08d}-{uuid.uuid4().hex}-b{buckets}"
 
-
-def _bucket_count(segment: str) -> int:
-    return int(segment.rsplit("-b", 1)[1])
-
-
-def _segment_postings(spark: SparkSession, segment: str) -> DataFrame:
-    return _read_bucketed(spark, f"{segment}/postings", POSTINGS, _bucket_count(segment))
-
-
-def _segment_docs(spark: SparkSession, segment: str) -> DataFrame:
-    return _read_bucketed(spark, f"{segment}/docs", DOCS, _bucket_count(segment))
+def _write_by_folder(df: DataFrame, key: str, path: str, folders: int, order: list[str]) -> None:
+    """Folders by a hash of ``key``, files sorted; rows of one key may span files."""
+    parted = df.withColumn("folder", folder_of(key, folders))
+    (parted.repartitionByRange("folder", *order).sortWithinPartitions("folder", *order)
+     .write.partitionBy("folder").parquet(path))
 
 
 # --- build and load -----------------------------------------------------------------------------
 
 
-def save_index(corpus: DataFrame, path: str, seq: int = 0) -> Index:
-    """Write a corpus as the base segment of a store and open it."""
-    shaped = as_corpus(corpus)
-    docs = shaped.withColumns({"seq": F.lit(seq).cast("long"), "op": F.lit("add")})
+def save_index(corpus: DataFrame, path: str, seq: int = 0, folders: int | None = None) -> Index:
+    """Write a corpus as the first segment of a store and open it.
+
+    ``folders`` is kept with the store; it should let a folder's documents be read by a few tasks, and
+    defaults to the shuffle partitions. Of documents with one id one stays, as in a commit.
+    """
+    changes = as_corpus(corpus).withColumns({"seq": F.lit(seq).cast("long"), "op": F.lit("add")})
     spark = corpus.sparkSession
     commits = _commits(spark, path)
-    return _write_base(spark, path, commits, docs, None, _ledger(spark, commits), last_seq=seq)
+    return _write_base(spark, path, commits, _as_entries(newest_change(changes)), None, _ledger(spark, commits),
+                       folders, seq)
 
 
 def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame, batch: str | None,
-                files: DataFrame | None, last_seq: int | None = None, size: int | None = None) -> Index:
+                files: DataFrame | None, folders: int | None, last_seq: int | None = None) -> Index:
     version = commits[-1]["version"] + 1 if commits else 0
-    segment = _new_segment(path, version, _buckets(spark, size))
-    stored_docs = _write_docs(spark, segment, docs, files)
-    postings = _write_postings(spark, segment, stored_docs)
-    postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{segment}/terms")
+    if folders is None:
+        folders = commits[-1]["folders"] if commits else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    segment = f"{path}/segment-{version:08d}-{uuid.uuid4().hex}"
+    added = _write_docs(spark, segment, docs, files, folders)
+    postings = _write_postings(spark, segment, added, folders)
+    _write_by_folder(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", f"{segment}/terms", folders,
+                     ["term"])
     terms = spark.read.schema(TERMS).parquet(f"{segment}/terms")
     lexical.df_histogram(terms).write.parquet(f"{segment}/histogram")
+    spark.createDataFrame([], NEWEST).write.parquet(f"{segment}/newest")
     # Every token is counted in exactly one posting, so the tf add up to the total length.
-    totals = stored_docs.agg(F.count(F.lit(1)).alias("n")).withColumn(
+    totals = added.agg(F.count(F.lit(1)).alias("n")).withColumn(
         "total_dl", postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).scalar())
     histogram = spark.read.schema(HISTOGRAM).parquet(f"{segment}/histogram")
     lexical.with_mean_idf(totals, histogram).coalesce(1).write.parquet(f"{segment}/stats")
-    _append_log(spark, path, version, segment, "base", batch, _last_seq(spark, segment, commits, last_seq))
+    _append_log(spark, path, version, segment, "base", batch, _last_seq(spark, segment, commits, last_seq), folders)
     return load_index(spark, path)
 
 
-def _write_docs(spark: SparkSession, segment: str, entries: DataFrame, files: DataFrame | None) -> DataFrame:
+def _write_docs(spark: SparkSession, segment: str, entries: DataFrame, files: DataFrame | None,
+                folders: int) -> DataFrame:
     """Write a segment's entries and file names; returns the added documents as stored."""
-    columns = [c.split()[0] for c in DOCS.split(", ")]
-    buckets = _bucket_count(segment)
-    _write_bucketed(entries.select(*columns).repartition(buckets, "doc_id"), f"{segment}/docs", buckets)
+    columns = [c.split()[0] for c in DOCS.split(", ") if not c.startswith("folder")]
+    _write_by_folder(entries.select(*columns), "doc_id", f"{segment}/docs", folders, ["doc_id"])
     ledger = spark.createDataFrame([], FILES) if files is None else files.select("file_name")
     ledger.write.parquet(f"{segment}/files")
-    return _segment_docs(spark, segment).filter("op = 'add'")
+    return spark.read.schema(DOCS).parquet(f"{segment}/docs").filter("op = 'add'")
 
 
-def _write_postings(spark: SparkSession, segment: str, docs: DataFrame) -> DataFrame:
-    """Postings of a segment's documents. These are bucketed by document, so nothing is shuffled."""
-    _write_bucketed(lexical.build_postings(docs, placed=True), f"{segment}/postings", _bucket_count(segment))
-    return _segment_postings(spark, segment)
+def _write_postings(spark: SparkSession, segment: str, docs: DataFrame, folders: int) -> DataFrame:
+    _write_by_folder(lexical.build_postings(docs), "term", f"{segment}/postings", folders, ["term", "doc_id"])
+    return spark.read.schema(POSTINGS).parquet(f"{segment}/postings")
 
 
 def _last_seq(spark: SparkSession, segment: str, commits: list, own: int | None = None) -> int:
     if own is None:
-        own = _segment_docs(spark, segment).agg(F.max("seq").alias("s")).first()["s"]
+        own = spark.read.schema(DOCS).parquet(f"{segment}/docs").agg(F.max("seq").alias("s")).first()["s"]
     return max(commits[-1]["last_seq"] if commits else -1, -1 if own is None else own)
 
 
-def _entries(spark: SparkSession, log: list) -> DataFrame:
+def _entries(spark: SparkSession, commits: list) -> DataFrame:
     """All stored document entries of the given commits with their version."""
-    parts = [_segment_docs(spark, r["segment"]).withColumn("version", F.lit(r["version"])) for r in log]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    return reduce(DataFrame.unionByName, [
+        _table(spark, [r], "docs", DOCS).withColumn("version", F.lit(r["version"])) for r in commits])
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
     """Open a store: live documents and their lexical index."""
-    log = _live(_commits(spark, path))
-    if not log:
+    commits = _commits(spark, path)
+    if not commits:
         raise FileNotFoundError(f"no committed index at {path}")
-    base, deltas = log[0], log[1:]
-    columns = ["doc_id", "doc_key", "content", "metadata", "embedding"]
-    base_docs = _entries(spark, [base]).filter("op = 'add'")
-    postings = [_segment_postings(spark, base["segment"])]
-    terms = spark.read.schema(TERMS).parquet(*[f"{r['segment']}/terms" for r in log])
-    stats = spark.read.schema(STATS).parquet(f"{log[-1]['segment']}/stats")
-    corpus = base_docs.select(*columns)
-    if deltas:
-        newest = _entries(spark, deltas).groupBy("doc_id").agg(F.max("version").alias("version"))
+    return _open(spark, commits)
+
+
+def _open(spark: SparkSession, commits: list) -> Index:
+    base, *later = commits
+    columns = ["doc_id", "doc_key", "content", "metadata", "embedding", "folder"]
+    corpus = _entries(spark, [base]).filter("op = 'add'").select(*columns)
+    postings = [_table(spark, [base], "postings", POSTINGS)]
+    if later:
+        newest = _table(spark, commits[-1:], "newest", NEWEST)
         small = is_small(newest)
         changed = newest.select("doc_id")
         corpus = lookup_join(corpus, changed, ["doc_id"], "left_anti", small=small)
         postings = [lookup_join(postings[0], changed, ["doc_id"], "left_anti", small=small)]
-        live = lookup_join(_entries(spark, deltas).filter("op = 'add'"), newest, ["doc_id", "version"],
-                           "left_semi", small=small)
+        live = lookup_join(_entries(spark, later).filter("op = 'add'"), newest, ["doc_id", "version"], "left_semi",
+                           small=small)
         corpus = corpus.unionByName(live.select(*columns))
-        for r in deltas:
+        for r in later:
             own = newest.filter(F.col("version") == r["version"]).select("doc_id")
-            postings.append(lookup_join(_segment_postings(spark, r["segment"]), own, ["doc_id"],
-                                        "left_semi", small=small))
-    return Index(corpus, LexicalIndex(corpus.select("doc_id"), tuple(postings), terms, stats))
+            postings.append(lookup_join(_table(spark, [r], "postings", POSTINGS), own, ["doc_id"], "left_semi",
+                                        small=small))
+    terms = _table(spark, commits, "terms", TERMS)
+    stats = _table(spark, commits[-1:], "stats", STATS)
+    folders = base["folders"]
+    return Index(corpus, LexicalIndex(corpus.select("doc_id"), tuple(postings), terms, stats, folders), folders)
 
 
 def scan_corpus(index: Index) -> DataFrame:
@@ -245,10 +234,15 @@ def stored_index(corpus: DataFrame) -> Index:
 
 
 def newest_change(changes: DataFrame) -> DataFrame:
-    """Last change per id; partial maxima combine before the shuffle, so a hot id is no problem."""
+    """Last change per id; partial maxima combine before the shuffle, so a hot id is no problem.
+
+    Changes with equal ``seq`` go by the column ``place`` if there is one (the later place wins), then
+    by a hash of what they hold, so the choice is the same on every run.
+    """
     fields = [f for f in ("op", "content", "metadata", "embedding") if f in changes.columns]
-    latest = changes.groupBy("doc_id").agg(
-        F.max("seq").alias("seq"), F.max_by(F.struct(*fields), F.col("seq")).alias("c"))
+    held = [F.to_json(F.struct(f)) if f == "metadata" else F.col(f).cast("string") for f in fields]
+    order = F.struct("seq", *[c for c in ("place",) if c in changes.columns], F.xxhash64(*held))
+    latest = changes.groupBy("doc_id").agg(F.max("seq").alias("seq"), F.max_by(F.struct(*fields), order).alias("c"))
     return latest.select("doc_id", "seq", "c.*")
 
 
@@ -259,6 +253,9 @@ def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: st
     A change older than what is stored for its id is ignored, also an add after a later delete.
     Changes without ``seq`` get ``seq``, or the next one after all stored. A batch name that was
     committed before is skipped, so a replay changes nothing. ``files`` joins the ledger with it.
+
+    Of what is stored, the folders of the changed ids are read, and the term counts in the folders of
+    the terms that come or go. Those that go come from the replaced texts; postings are not read.
     """
     commits = _commits(spark, path)
     if batch is not None and batch in {r["batch"] for r in commits}:
@@ -270,54 +267,52 @@ def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: st
         if name not in changes.columns:
             changes = changes.withColumn(name, F.lit(None).cast(CORPUS[name].dataType))
     wanted = stored(newest_change(changes), "changes")
-    rows, size = measure(wanted)
     if not commits:
-        return _write_base(spark, path, commits, _as_entries(wanted), batch, files, size=size)
+        return _write_base(spark, path, commits, _as_entries(wanted), batch, files, None)
 
-    log = _live(commits)
-    version = log[-1]["version"] + 1
+    rows, size = measure(wanted)
     small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
-    segment = _new_segment(path, version, _buckets(spark, size))
-    narrow = _entries(spark, log).select("doc_id", "seq")
-    known = lookup_join(narrow, wanted.select("doc_id"), ["doc_id"], "left_semi", small=small).groupBy("doc_id").agg(
+    folders, version = commits[-1]["folders"], commits[-1]["version"] + 1
+    segment = f"{path}/segment-{version:08d}-{uuid.uuid4().hex}"
+    ids = wanted.select("doc_id")
+    stored_entries = near(_entries(spark, commits).select("doc_id", "seq", "folder"), "doc_id", ids, folders)
+    known = lookup_join(stored_entries, ids, ["doc_id"], "left_semi", small=small).groupBy("doc_id").agg(
         F.max("seq").alias("known_seq"))
     fresh = wanted.join(known, "doc_id", "left").filter(F.col("seq") > F.coalesce("known_seq", F.lit(-1)))
-    _write_docs(spark, segment, _as_entries(fresh.drop("known_seq")), files)
-
-    before = load_index(spark, path)
-    written = _segment_docs(spark, segment)
-    added = _write_postings(spark, segment, written.filter("op = 'add'"))
-    touched = written.select("doc_id")
-    removed = None
-    for part in before.lexical.postings:
-        gone = lookup_join(part, touched, ["doc_id"], "left_semi", small=small)
-        removed = gone if removed is None else removed.unionByName(gone)
-    signed = added.select("term", "tf", F.lit(1).alias("sign")).unionByName(
-        removed.select("term", "tf", F.lit(-1).alias("sign")))
-    signed.groupBy("term").agg(F.sum("sign").alias("df")).filter("df <> 0").write.parquet(f"{segment}/terms")
-
-    moved = spark.read.schema(TERMS).parquet(f"{segment}/terms").withColumnRenamed("df", "change")
-    old = lookup_join(before.lexical.terms, moved, ["term"], "inner").groupBy("term", "change").agg(
-        F.sum("df").alias("old"))
+    added = _write_docs(spark, segment, _as_entries(fresh.drop("known_seq")), files, folders)
+    touched = spark.read.schema(DOCS).parquet(f"{segment}/docs").select("doc_id")
+    older = lookup_join(_table(spark, commits[-1:], "newest", NEWEST), touched, ["doc_id"], "left_anti", small=small)
+    older.unionByName(touched.withColumn("version", F.lit(version).cast("long"))).write.parquet(f"{segment}/newest")
+
+    before = _open(spark, commits)
+    replaced = stored(lookup_join(near(before.corpus, "doc_id", touched, folders), touched, ["doc_id"], "left_semi",
+                                  small=small).select("doc_id", "content", "metadata"), "replaced")
+    gone = lexical.build_postings(replaced)
+    signed = stored(_write_postings(spark, segment, added, folders).select("term", "tf", F.lit(1).alias("sign"))
+                    .unionByName(gone.select("term", "tf", F.lit(-1).alias("sign")))
+                    .groupBy("term").agg(F.sum("sign").alias("df"), F.sum(F.col("tf") * F.col("sign")).alias("tf")),
+                    "moved-terms")
+    _write_by_folder(signed.filter("df <> 0").select("term", "df"), "term", f"{segment}/terms", folders, ["term"])
+
+    moved = signed.filter("df <> 0").select("term", F.col("df").alias("change"))
+    old = lookup_join(near(before.lexical.terms, "term", moved, folders).drop("folder"), moved, ["term"], "inner"
+                      ).groupBy("term", "change").agg(F.sum("df").alias("old"))
     both = moved.join(old.select("term", "old"), "term", "left").withColumn("old", F.coalesce("old", F.lit(0)))
     steps = both.select(F.explode(F.array(
         F.struct(F.col("old").alias("df"), F.lit(-1).alias("words")),
         F.struct((F.col("old") + F.col("change")).alias("df"), F.lit(1).alias("words")))).alias("s")).select("s.*")
     steps.filter("df > 0").groupBy("df").agg(F.sum("words").alias("words")).write.parquet(f"{segment}/histogram")
 
-    old_docs = lookup_join(before.corpus.select("doc_id"), touched, ["doc_id"], "left_semi", small=small)
     old_totals = before.lexical.totals
-    totals = written.filter("op = 'add'").agg(F.count(F.lit(1)).alias("added")).select(
-        (F.lit(old_totals["n"]) + F.col("added") - old_docs.agg(F.count(F.lit(1)).alias("c")).scalar()).alias("n"))
-    length = signed.agg(F.coalesce(F.sum(F.col("tf") * F.col("sign")), F.lit(0)).alias("t")).scalar()
+    totals = added.agg(F.count(F.lit(1)).alias("added")).select(
+        (F.lit(old_totals["n"]) + F.col("added") - replaced.agg(F.count(F.lit(1)).alias("c")).scalar()).alias("n"))
+    length = signed.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).scalar()
     totals = totals.withColumn("total_dl", F.lit(old_totals["total_dl"]) + length)
-    histogram = spark.read.schema(HISTOGRAM).parquet(*[f"{r['segment']}/histogram" for r in log],
-                                                     f"{segment}/histogram")
+    histogram = _table(spark, commits, "histogram", HISTOGRAM).unionByName(
+        spark.read.schema(HISTOGRAM).parquet(f"{segment}/histogram"))
     merged = histogram.groupBy("df").agg(F.sum("words").alias("words"))
     lexical.with_mean_idf(totals, merged).coalesce(1).write.parquet(f"{segment}/stats")
-    _append_log(spark, path, version, segment, "delta", batch, _last_seq(spark, segment, commits))
-    if len(log) >= MERGE_AFTER:
-        merge_commits(spark, path)
+    _append_log(spark, path, version, segment, "delta", batch, _last_seq(spark, segment, commits), folders)
     return load_index(spark, path)
 
 
@@ -332,37 +327,10 @@ def _as_entries(changes: DataFrame) -> DataFrame:
                        F.when(add, F.col("embedding")).alias("embedding"))
 
 
-def merge_commits(spark: SparkSession, path: str) -> None:
-    """Merge the deltas after the base into one; the base is not read."""
-    commits = _commits(spark, path)
-    base, *deltas = _live(commits)
-    if len(deltas) < 2:
-        return
-    entries = _entries(spark, deltas)
-    newest = stored(entries.groupBy("doc_id").agg(F.max("version").alias("version")), "newest")
-    small = is_small(newest)
-    kept = lookup_join(entries, newest, ["doc_id", "version"], "left_semi", small=small).drop("version")
-    size = measure(kept.select("doc_id", "content", "embedding"))[1]
-    version = commits[-1]["version"] + 1
-    segment = _new_segment(path, version, _buckets(spark, size))
-    docs = _write_docs(spark, segment, kept, _ledger(spark, commits))
-    _write_postings(spark, segment, docs)
-
-    def table(name: str, schema: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(*[f"{r['segment']}/{name}" for r in deltas])
-
-    (table("terms", TERMS).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
-     .write.parquet(f"{segment}/terms"))
-    (table("histogram", HISTOGRAM).groupBy("df").agg(F.sum("words").alias("words")).filter("words <> 0")
-     .write.parquet(f"{segment}/histogram"))
-    spark.read.schema(STATS).parquet(f"{deltas[-1]['segment']}/stats").coalesce(1).write.parquet(f"{segment}/stats")
-    _append_log(spark, path, version, segment, "merged", None, commits[-1]["last_seq"])
-
-
-def compact(spark: SparkSession, path: str) -> Index:
-    """Fold all commits into a new base; deletions stay as entries without content."""
+def compact(spark: SparkSession, path: str, folders: int | None = None) -> Index:
+    """Fold all commits into a new first segment; deletions stay as entries without content."""
     commits = _commits(spark, path)
-    entries = _entries(spark, _live(commits))
+    entries = _entries(spark, commits).drop("folder")
     newest = entries.groupBy("doc_id").agg(F.max("version").alias("version"))
     live = entries.join(newest, ["doc_id", "version"], "left_semi").drop("version")
-    return _write_base(spark, path, commits, live, None, _ledger(spark, commits))
+    return _write_base(spark, path, commits, live, None, _ledger(spark, commits), folders)

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 from corpusmill.operators import documents, ordinals
-from corpusmill.plans.ingest import ingest, sheet_documents
+from corpusmill.plans.ingest import commit_documents, ingest, sheet_documents
 from corpusmill.runtime import lookup_join, scratch_dir, top_per_group
 from corpusmill.schema import (
     DEMAND_DEPOSIT, MISSING, SOLDIER_SAVINGS, SOLDIER_SAVINGS_GUIDE, TIME_DEPOSIT, SheetSpec,
 )
 from corpusmill.sources import corpus_json, records, sheets
+from corpusmill.sources.index_store import committed_files, load_index
 
 
 def one(spark, value, function):
@@ -116,13 +117,43 @@ def test_number_columns_are_judged_per_file(spark, tmp_path):
                    "D": "은행: D, m: 2.5"}
 
 
-def test_sheets_with_different_headers_are_refused(spark, tmp_path):
+def test_sheets_bind_columns_by_their_own_header(spark, tmp_path):
     write(tmp_path / "a.csv", "은행,상품명\nA,x\n")
-    write(tmp_path / "b.csv", "상품명,은행\nx,A\n")
-    with pytest.raises(Exception, match="header"):
+    write(tmp_path / "b.csv", "상품명,은행\ny,B\n")
+    rows = sheets.read_products_csv(spark, str(tmp_path)).orderBy("은행").collect()
+    assert [(r["은행"], r["상품명"], r.row_ordinal) for r in rows] == [("A", "x", 0), ("B", "y", 0)]
+
+
+@pytest.mark.parametrize("header", ["은행,이름", "은행", "은행,상품명,금리"])
+def test_sheets_with_different_headers_are_refused(spark, tmp_path, header):
+    write(tmp_path / "a.csv", "은행,상품명\nA,x\n")
+    write(tmp_path / "b.csv", header + "\nx,A,1\n")
+    with pytest.raises(ValueError, match="header|columns"):
         sheets.read_products_csv(spark, str(tmp_path)).collect()
 
 
+def test_two_level_sheets_of_different_column_order(spark, tmp_path):
+    write(tmp_path / "a.csv", "은행,금리,\n,단기,장기\nA,1,2\n")
+    write(tmp_path / "b.csv", "금리,,은행\n단기,장기,\n3,4,B\n")
+    rows = sheets.read_two_level_csv(spark, str(tmp_path)).orderBy("은행").collect()
+    assert [(r["은행"], r["금리 단기"], r["장기"]) for r in rows] == [("A", "1", "2"), ("B", "3", "4")]
+
+
+def test_category_sheet_of_another_column_order(spark, tmp_path):
+    write(tmp_path / "a.csv", "내용,카테고리,세부 항목\nv,c,i\n")
+    row = sheets.read_category_csv(spark, str(tmp_path)).first()
+    assert (row.category, row["item"], row.value) == ("c", "i", "v")
+    write(tmp_path / "b" / "b.csv", "내용,카테고리\nv,c\n")
+    with pytest.raises(ValueError, match="세부 항목"):
+        sheets.read_category_csv(spark, str(tmp_path / "b"))
+
+
+def test_rows_without_a_file_are_kept(spark):
+    rows = spark.createDataFrame([("1.50", None), ("2", "f"), ("x", "")], "rate string, source_file string")
+    shown = documents.render_numbers(rows, ["rate"]).collect()
+    assert {(r.rate, r.source_file) for r in shown} == {("1.5", None), ("2", "f"), ("x", "")}
+
+
 def test_missing_key_fields_and_columns(spark, tmp_path):
     write(tmp_path / "s.csv", "비고\n-\nNA\n")
     docs = documents.build_documents(sheets.read_products_csv(spark, str(tmp_path)), TIME_DEPOSIT).orderBy("id").collect()
@@ -169,15 +200,25 @@ def test_category_sheet(spark, tmp_path):
     assert second.id == "military_desc_001" and second.key_summary == "x: 1"
 
 
-def test_large_category_comes_in_whole_parts(spark):
-    rows = spark.range(25).select(F.lit("가").alias("category"), (F.col("id") % 3).cast("string").alias("item"),
-                                  F.col("id").cast("string").alias("value"), F.col("id").alias("row_ordinal"))
-    parts = documents.category_content(rows, part_rows=10).orderBy("part").collect()
-    assert [p.part for p in parts] == [0, 1, 2]
-    assert "\n".join(p.content for p in parts) == "카테고리: 가\n" + "\n".join(f"{i % 3}: {i}" for i in range(25))
-    docs = documents.category_documents(rows, part_rows=10).collect()
-    items = {k: v for d in docs for k, v in d.metadata.items() if k != "key_summary"}
-    assert items == {str(m): " / ".join(str(i) for i in range(25) if i % 3 == m) for m in range(3)}
+def category_rows(spark, n):
+    return spark.range(n).select(F.lit("가").alias("category"), (F.col("id") % 3).cast("string").alias("item"),
+                                 F.col("id").cast("string").alias("value"), F.col("id").alias("row_ordinal"))
+
+
+def test_large_category_is_one_document(spark):
+    doc = documents.category_documents(category_rows(spark, 2500)).collect()
+    assert len(doc) == 1 and doc[0].part == 0
+    assert doc[0].content == "카테고리: 가\n" + "\n".join(f"{i % 3}: {i}" for i in range(2500))
+
+
+def test_category_in_several_documents_loses_nothing_in_the_store(spark, tmp_path):
+    docs = documents.category_documents(category_rows(spark, 25), lines_per_document=10)
+    commit_documents(spark, str(tmp_path / "s"), docs.withColumn("file_name", F.lit("f")))
+    kept = load_index(spark, str(tmp_path / "s")).corpus.orderBy("doc_id").collect()
+    assert [d.doc_id for d in kept] == ["military_desc_000", "military_desc_000_1", "military_desc_000_2"]
+    lines = [line for d in kept for line in d.content.split("\n")[1:]]
+    assert lines == [f"{i % 3}: {i}" for i in range(25)]
+    assert kept[1].metadata["0"] == "12 / 15 / 18" and kept[1].metadata["key_summary"] == "1: 10, 2: 11"
 
 
 def test_row_ordinals_over_many_partitions(spark):
@@ -228,14 +269,38 @@ def test_bad_files_are_set_aside(spark, tmp_path):
     assert [r.source_file.rsplit("/", 1)[1] for r in bad.collect()] == ["bad.json"]
 
     store = scratch_dir(spark, "store")
-    index = ingest(spark, str(tmp_path), store)
+    index, unreadable = ingest(spark, str(tmp_path), store)
+    assert [r.file_name for r in unreadable.collect()] == ["bad.json"]
     assert [(r.doc_id, r.metadata) for r in index.corpus.collect()] == [("a", {"rate": "2.5", "name": "n"})]
     # the same file name is not read again, a new one is
     doc["content"] = "changed"
     write(tmp_path / "good.json", json.dumps({"documents": [doc]}))
-    assert ingest(spark, str(tmp_path), store).corpus.first().content == "c"
+    assert ingest(spark, str(tmp_path), store).index.corpus.first().content == "c"
     write(tmp_path / "newer.json", json.dumps({"documents": [doc]}))
-    assert ingest(spark, str(tmp_path), store).corpus.first().content == "changed"
+    assert ingest(spark, str(tmp_path), store).index.corpus.first().content == "changed"
+    # a mended file is read
+    write(tmp_path / "bad.json", json.dumps({"documents": [doc | {"id": "b"}]}))
+    assert {r.doc_id for r in ingest(spark, str(tmp_path), store).index.corpus.collect()} == {"a", "b"}
+
+
+def test_equal_base_names_and_half_broken_files(spark, tmp_path):
+    line = lambda i: json.dumps({"documents": [{"id": i, "content": f"text {i}"}]}) + "\n"
+    store = scratch_dir(spark, "store")
+    write(tmp_path / "f1" / "part.json", line("a"))
+    ingest(spark, str(tmp_path), store, multi_line=False)
+    write(tmp_path / "f2" / "part.json", line("b") + '{"documents": [\n' + line("c"))
+    index, unreadable = ingest(spark, str(tmp_path), store, multi_line=False)
+    assert {r.doc_id for r in index.corpus.collect()} == {"a", "b", "c"}
+    assert [r.file_name for r in unreadable.collect()] == ["f2/part.json"]
+    assert {r.file_name for r in committed_files(spark, store).collect()} == {"f1/part.json"}
+
+
+def test_last_place_of_an_id_counts(spark, tmp_path):
+    doc = lambda text: {"id": "a", "content": text}
+    write(tmp_path / "1.json", json.dumps({"documents": [doc("z"), doc("y")]}))
+    write(tmp_path / "0.json", json.dumps({"documents": [doc("zz")]}))
+    index = ingest(spark, str(tmp_path), scratch_dir(spark, "store")).index
+    assert [r.content for r in index.corpus.collect()] == ["y"] and index.lexical.totals["n"] == 1
 
 
 def test_xml_pages(spark, tmp_path):

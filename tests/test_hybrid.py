@@ -84,15 +84,22 @@ def test_one_document_and_no_document(spark, query):
     assert none == []
 
 
-def test_grid_search_equals_scan(spark):
+def test_chunked_queries_equal_one_scan(spark):
     docs = spark.range(60).select(
         F.col("id").cast("string").alias("doc_id"), F.lit("x").alias("content"),
         F.array(*[F.sin(F.col("id") * (i + 1)).cast("float") for i in range(8)]).alias("embedding"))
     queries = docs.select(F.col("doc_id").cast("long").alias("query_id"), F.col("embedding").alias("query_vec"))
     scan = vector_topk(queries, docs, 3)
-    grid = vector_topk(queries, docs, 3, matrix_bytes=0, cell_rows=7)
+    chunks = vector_topk(queries, docs, 3, matrix_bytes=900)
     got = lambda df: [(r.query_id, r["rank"], r.doc_id) for r in df.orderBy("query_id", "rank").collect()]
-    assert got(scan) == got(grid)
+    assert got(scan) == got(chunks)
+
+
+def test_vectors_of_different_dimensions_are_refused(spark):
+    docs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 1.0, 0.0])], "doc_id string, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id long, query_vec array<float>")
+    with pytest.raises(Exception, match="dimensions"):
+        vector_topk(asked, docs, 1).collect()
 
 
 def test_fusion_uses_last_score_of_a_repeated_key(spark):
