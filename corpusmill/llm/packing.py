@@ -17,7 +17,6 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,7 @@ class ChunkTokenizer:
     each pre-token with a mark. ``remembered`` bounds the chunks kept in memory.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         self._tokenizer = tokenizers.Tokenizer.from_file(path)
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -121,12 +120,6 @@ class ChunkTokenizer:
         return out
 
 
-@lru_cache(maxsize=2)
-def chunk_tokenizer(path: str) -> ChunkTokenizer:
-    """One tokenizer per Python worker, so its chunks serve all tasks of the worker."""
-    return ChunkTokenizer(path)
-
-
 def assign(lengths: list[int], sizes: list[int], linear: float, quadratic: float) -> list[list[tuple[int, int, int, int]]]:
     """Deal pieces of the given lengths to sequences of the given sizes; both sum to the same.
 
@@ -178,7 +171,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
                         ("ids", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_tokenizer(tokenizer)
+        encode = ChunkTokenizer(tokenizer)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         waiting: list[tuple[object, int, int, np.ndarray]] = []  # (id, ids before, document's ids, ids)
         tokens = 0

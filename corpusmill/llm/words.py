@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 # Texts are taken from an Arrow batch in slices of about so many bytes (one text at least).
 SLICE_BYTES = 4 << 20
 # Distinct words that a task remembers before it starts afresh; only a saving.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
