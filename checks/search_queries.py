@@ -236,6 +236,18 @@ def hybrid_search(t: Tables) -> DataFrame:
     return hits(t).withColumn("n_chars", text.meta_get("metadata", "n_chars").cast("long")).drop("metadata")
 
 
+APPROX_HITS_SQL = f"""WITH {CORPUS_SQL}, {TERMS_SQL}, {BM25_SQL}, {APPROX_SQL.replace(
+    "JOIN embeddings y ON y.vec_id = hit)", "JOIN embeddings y ON y.vec_id = hit WHERE hit IN (SELECT doc_id FROM documents))")},
+vector_list AS (SELECT query_id, doc_id, rank, score FROM approx), {FUSION_SQL}"""
+
+
+@query(f"{APPROX_HITS_SQL} SELECT query_id, rank, doc_id, combined_score, vector_score, bm25_score FROM hits")
+def hybrid_search_approx(t: Tables) -> DataFrame:
+    index = stored_index(corpus(t), vector_width=WIDTH)
+    found = search_plan.search(questions(t), index, K, approximate=True)
+    return found.select("query_id", "rank", "doc_id", "combined_score", "vector_score", "bm25_score")
+
+
 # --- answers ---------------------------------------------------------------------------------------
 
 CONTEXT_SQL = "contexts AS (SELECT query_id, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id)"

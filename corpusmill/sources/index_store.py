@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text
 from corpusmill.operators import lexical
 from corpusmill.operators.lexical import LexicalIndex
+from corpusmill.operators.vector import VectorBuckets, read_bucket_lists, vector_buckets, write_bucket_lists
 from corpusmill.runtime import (BROADCAST_BYTES, BROADCAST_ROWS, is_small, lookup_join, measure, restrict, scratch_dir,
                                 stored)
 from corpusmill.schema import CORPUS, STRING_MAP
 
-LOG = "segment string, kind string, batch string, last_seq long, folders int, version long"
+LOG = "segment string, kind string, batch string, last_seq long, folders int, width int, version long"
 DOCS = ("doc_id string, doc_key string, seq long, op string, content string, "
         "metadata map<string,string>, embedding array<float>, folder int")
 POSTINGS = "doc_id string, term string, tf long, dl long, folder int"
@@ -36,6 +37,8 @@ HISTOGRAM = "df long, words long"
 NEWEST = "doc_id string, version long"
 FILES = "file_name string"
 STATS = "n long, total_dl long, mean_idf double"
+# Hash tables of stored vector buckets.
+VECTOR_TABLES = 16
 
 
 @dataclass(frozen=True)
@@ -43,6 +46,7 @@ class Index:
     corpus: DataFrame       # doc_id, doc_key, content, metadata, embedding: live documents
     lexical: LexicalIndex
     folders: int | None = None  # of a stored corpus, which then has the column ``folder`` too
+    buckets: VectorBuckets | None = None  # for approximate vector search, if the store keeps them
 
 
 def as_corpus(df: DataFrame) -> DataFrame:
@@ -87,9 +91,9 @@ def _commits(spark: SparkSession, path: str) -> list:
 
 
 def _append_log(spark: SparkSession, path: str, version: int, segment: str, kind: str, batch: str | None,
-                last_seq: int, folders: int) -> None:
+                last_seq: int, folders: int, width: int | None) -> None:
     """The commit itself. A version that another writer has taken meanwhile is refused."""
-    row = spark.createDataFrame([(segment, kind, batch, last_seq, folders)], LOG.rsplit(",", 1)[0])
+    row = spark.createDataFrame([(segment, kind, batch, last_seq, folders, width)], LOG.rsplit(",", 1)[0])
     row.coalesce(1).write.mode("errorifexists").json(f"{path}/log/version={version}")
 
 
@@ -126,9 +130,13 @@ def _write_by_folder(df: DataFrame, key: str, path: str, folders: int, order: li
 # --- build and load -----------------------------------------------------------------------------
 
 
-def save_index(corpus: DataFrame, path: str, seq: int = 0, folders: int | None = None) -> Index:
+def save_index(corpus: DataFrame, path: str, seq: int = 0, folders: int | None = None,
+               vector_width: int | None = None) -> Index:
     """Write a corpus as the first segment of a store and open it.
 
+    With ``vector_width`` the store also keeps lists of vector buckets of so many bits, in step with all
+    commits, for approximate search; it should grow with the logarithm of the corpus.
+
     ``folders`` is kept with the store; it should let a folder's documents be read by a few tasks, and
     defaults to the shuffle partitions. Of documents with one id one stays, as in a commit.
     """
@@ -136,16 +144,18 @@ def save_index(corpus: DataFrame, path: str, seq: int = 0, folders: int | None =
     spark = corpus.sparkSession
     commits = _commits(spark, path)
     return _write_base(spark, path, commits, _as_entries(newest_change(changes)), None, _ledger(spark, commits),
-                       folders, seq)
+                       folders, seq, vector_width)
 
 
 def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame, batch: str | None,
-                files: DataFrame | None, folders: int | None, last_seq: int | None = None) -> Index:
+                files: DataFrame | None, folders: int | None, last_seq: int | None = None,
+                width: int | None = None) -> Index:
     version = commits[-1]["version"] + 1 if commits else 0
+    width = commits[-1]["width"] if commits and width is None else width
     if folders is None:
         folders = commits[-1]["folders"] if commits else int(spark.conf.get("spark.sql.shuffle.partitions"))
     segment = f"{path}/segment-{version:08d}-{uuid.uuid4().hex}"
-    added = _write_docs(spark, segment, docs, files, folders)
+    added = _write_docs(spark, segment, docs, files, folders, width)
     postings = _write_postings(spark, segment, added, folders)
     _write_by_folder(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", f"{segment}/terms", folders,
                      ["term"])
@@ -157,18 +167,22 @@ def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame,
         "total_dl", postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).scalar())
     histogram = spark.read.schema(HISTOGRAM).parquet(f"{segment}/histogram")
     lexical.with_mean_idf(totals, histogram).coalesce(1).write.parquet(f"{segment}/stats")
-    _append_log(spark, path, version, segment, "base", batch, _last_seq(spark, segment, commits, last_seq), folders)
+    _append_log(spark, path, version, segment, "base", batch, _last_seq(spark, segment, commits, last_seq), folders,
+                width)
     return load_index(spark, path)
 
 
 def _write_docs(spark: SparkSession, segment: str, entries: DataFrame, files: DataFrame | None,
-                folders: int) -> DataFrame:
+                folders: int, width: int | None) -> DataFrame:
     """Write a segment's entries and file names; returns the added documents as stored."""
     columns = [c.split()[0] for c in DOCS.split(", ") if not c.startswith("folder")]
     _write_by_folder(entries.select(*columns), "doc_id", f"{segment}/docs", folders, ["doc_id"])
     ledger = spark.createDataFrame([], FILES) if files is None else files.select("file_name")
     ledger.write.parquet(f"{segment}/files")
-    return spark.read.schema(DOCS).parquet(f"{segment}/docs").filter("op = 'add'")
+    added = spark.read.schema(DOCS).parquet(f"{segment}/docs").filter("op = 'add'")
+    if width is not None:
+        write_bucket_lists(vector_buckets(added, VECTOR_TABLES, width), f"{segment}/buckets", folders)
+    return added
 
 
 def _write_postings(spark: SparkSession, segment: str, docs: DataFrame, folders: int) -> DataFrame:
@@ -201,6 +215,8 @@ def _open(spark: SparkSession, commits: list) -> Index:
     columns = ["doc_id", "doc_key", "content", "metadata", "embedding", "folder"]
     corpus = _entries(spark, [base]).filter("op = 'add'").select(*columns)
     postings = [_table(spark, [base], "postings", POSTINGS)]
+    width = base["width"]
+    lists = [] if width is None else [read_bucket_lists(spark, f"{r['segment']}/buckets") for r in commits]
     if later:
         newest = _table(spark, commits[-1:], "newest", NEWEST)
         small = is_small(newest)
@@ -210,14 +226,20 @@ def _open(spark: SparkSession, commits: list) -> Index:
         live = lookup_join(_entries(spark, later).filter("op = 'add'"), newest, ["doc_id", "version"], "left_semi",
                            small=small)
         corpus = corpus.unionByName(live.select(*columns))
-        for r in later:
+        lists = [lookup_join(part, changed, ["doc_id"], "left_anti", small=small) for part in lists[:1]] + lists[1:]
+        for i, r in enumerate(later, 1):
             own = newest.filter(F.col("version") == r["version"]).select("doc_id")
+            if lists:
+                lists[i] = lookup_join(lists[i], own, ["doc_id"], "left_semi", small=small)
             postings.append(lookup_join(_table(spark, [r], "postings", POSTINGS), own, ["doc_id"], "left_semi",
                                         small=small))
     terms = _table(spark, commits, "terms", TERMS)
     stats = _table(spark, commits[-1:], "stats", STATS)
     folders = base["folders"]
-    return Index(corpus, LexicalIndex(corpus.select("doc_id"), tuple(postings), terms, stats, folders), folders)
+    buckets = None if width is None else VectorBuckets(
+        reduce(DataFrame.unionByName, lists), corpus.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding"),
+        VECTOR_TABLES, width, folders)
+    return Index(corpus, LexicalIndex(corpus.select("doc_id"), tuple(postings), terms, stats, folders), folders, buckets)
 
 
 def scan_corpus(index: Index) -> DataFrame:
@@ -225,9 +247,9 @@ def scan_corpus(index: Index) -> DataFrame:
     return index.corpus.select("doc_id", "content", "metadata")
 
 
-def stored_index(corpus: DataFrame) -> Index:
+def stored_index(corpus: DataFrame, vector_width: int | None = None) -> Index:
     """Store a corpus in the shared scratch folder and open it: each text is read and tokenised once."""
-    return save_index(corpus, scratch_dir(corpus.sparkSession, "index"))
+    return save_index(corpus, scratch_dir(corpus.sparkSession, "index"), vector_width=vector_width)
 
 
 # --- commits ------------------------------------------------------------------------------------
@@ -279,7 +301,8 @@ def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: st
     known = lookup_join(stored_entries, ids, ["doc_id"], "left_semi", small=small).groupBy("doc_id").agg(
         F.max("seq").alias("known_seq"))
     fresh = wanted.join(known, "doc_id", "left").filter(F.col("seq") > F.coalesce("known_seq", F.lit(-1)))
-    added = _write_docs(spark, segment, _as_entries(fresh.drop("known_seq")), files, folders)
+    width = commits[-1]["width"]
+    added = _write_docs(spark, segment, _as_entries(fresh.drop("known_seq")), files, folders, width)
     touched = spark.read.schema(DOCS).parquet(f"{segment}/docs").select("doc_id")
     older = lookup_join(_table(spark, commits[-1:], "newest", NEWEST), touched, ["doc_id"], "left_anti", small=small)
     older.unionByName(touched.withColumn("version", F.lit(version).cast("long"))).write.parquet(f"{segment}/newest")
@@ -312,7 +335,7 @@ def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: st
         spark.read.schema(HISTOGRAM).parquet(f"{segment}/histogram"))
     merged = histogram.groupBy("df").agg(F.sum("words").alias("words"))
     lexical.with_mean_idf(totals, merged).coalesce(1).write.parquet(f"{segment}/stats")
-    _append_log(spark, path, version, segment, "delta", batch, _last_seq(spark, segment, commits), folders)
+    _append_log(spark, path, version, segment, "delta", batch, _last_seq(spark, segment, commits), folders, width)
     return load_index(spark, path)
 
 

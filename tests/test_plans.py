@@ -90,7 +90,8 @@ def test_shuffled_buckets_equal_broadcast_buckets(table, asked, monkeypatch):
     corpus = as_corpus(table)
     rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id) for r in df.collect())
     want = rows(vector_topk_approx(asked, corpus, 5, tables=4, width=2))
-    monkeypatch.setattr("corpusmill.operators.vector.MATRIX_BYTES", 0)
+    monkeypatch.setattr("corpusmill.operators.vector.MATRIX_BYTES", 40)  # two chunks
+    monkeypatch.setattr("corpusmill.runtime.BROADCAST_ROWS", 0)
     monkeypatch.setattr("corpusmill.runtime.HOT_ROWS", 20)
     assert rows(vector_topk_approx(asked, corpus, 5, tables=4, width=2)) == want
 

@@ -101,7 +101,7 @@ def test_a_version_is_written_once(spark):
     folder = scratch_dir(spark, "store")
     store.save_index(spark.createDataFrame([("a", "x")], "doc_id string, content string"), folder)
     with pytest.raises(Exception, match="already exists"):
-        store._append_log(spark, folder, 0, "elsewhere", "delta", None, 0, 1)
+        store._append_log(spark, folder, 0, "elsewhere", "delta", None, 0, 1, None)
 
 
 def test_zeros_outrank_negative_scores(spark):
@@ -117,3 +117,18 @@ def test_zeros_outrank_negative_scores(spark):
     scores = {r.doc_id: r.score for r in score_bm25(query, index.lexical).collect()}
     want = sorted(((d, scores.get(d, 0.0)) for d, _ in docs), key=lambda r: (-round(r[1], 9), r[0]))[:5]
     assert [d for d, _ in found] == [d for d, _ in want]
+
+
+def test_vector_buckets_follow_commits(spark):
+    folder = scratch_dir(spark, "store")
+    schema = "doc_id string, content string, embedding array<float>"
+    base = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("b", "y", [0.0, 1.0]), ("c", "z", None)], schema)
+    store.save_index(base, folder, vector_width=1)
+    changes = spark.createDataFrame([("b", "y", [1.0, 0.1]), ("d", "w", [0.9, 0.0])], schema)
+    store.commit_changes(spark, folder, changes.withColumn("op", F.lit("add")))
+    gone = spark.createDataFrame([("a",)], "doc_id string").withColumn("op", F.lit("delete"))
+    index = store.commit_changes(spark, folder, gone)
+    query = spark.createDataFrame([(1, "none", [1.0, 0.0])], "query_id long, query string, query_vec array<float>")
+    exact, near = (sorted(map(tuple, search(query, index, 2, approximate=a).drop("metadata").collect())) for a in (False, True))
+    assert exact == near and {r[2] for r in near} == {"b", "d"}
+    assert store.compact(spark, folder).buckets.entries.select("doc_id").distinct().count() == 2
