@@ -146,7 +146,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return LinearModel(weights, float(b))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 12000,
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 8000,
                    remainder: int = 0, id_col: str = "doc_id", text_col: str = "text") -> LinearModel:
     """Fit on a bounded sample: at most ``max_positive`` confirmed toxic and ``max_unlabelled`` other texts.
 
