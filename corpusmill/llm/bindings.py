@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.fingerprints import edited_fingerprints
 from corpusmill.llm.language_model import score_documents
-from corpusmill.llm.mixing import mix_sources
+from corpusmill.llm.mixing import in_order, mix_sources
 from corpusmill.llm.ngram_join import near_duplicates
 from corpusmill.llm.packing import pack_documents
 from corpusmill.llm.quality import score_quality, train_quality
@@ -167,9 +167,9 @@ FROM mixed
 
 @query(MIX_SQL)
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken",
-                        F.round(F.get("positions", F.lit(0)), 9).alias("first_position"))
+    mixed = mix_sources(table(spark, sf_dir, "documents")).withColumn("position", F.get("positions", F.lit(0)))
+    return in_order(mixed).select("doc_id", "size", "source_size", "target", "taken",
+                        F.round("position", 9).alias("first_position"))
 
 
 @query()

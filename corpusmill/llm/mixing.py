@@ -164,28 +164,36 @@ def _key(source: str) -> Column:
     return F.struct(F.col(source).isNull().alias("none"), F.coalesce(F.col(source), F.lit("")).alias("name"))
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows range-sorted by ``position``, equal ones by id and source; rows without a position come last."""
+    order = [F.col(c).asc_nulls_last() for c in ("position", "doc_id", "source")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def training_order(taken: DataFrame) -> DataFrame:
     """One row per copy in training order: range-sorted by ``position``, equal ones by id and source."""
-    order = ["position", "doc_id", "source"]
-    return (taken.withColumn("position", F.explode("positions")).drop("positions")
-            .repartitionByRange(*order).sortWithinPartitions(*order))
+    return in_order(taken.withColumn("position", F.explode("positions")).drop("positions"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     **options) -> DataFrame:
-    """The documents of the mix: whole copies, each document as often as the mix takes it, to the nearest.
+    """The documents of the mix in training order: whole copies, each as often as the mix takes it, to the nearest.
 
     All columns of ``docs`` are kept. A copy taken in part counts if at least half of it is taken; a
-    document without words costs nothing and is kept once.
+    document without words costs nothing and is kept once, at a time given by a hash of its id.
+    Partitions, and files written from them, follow each other in the order of the copies' times.
     """
     taken = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     copies = (F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5))
               .cast("int"))
     counted = (taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
                              F.col("size").alias("_size"))
-               .agg(F.max(copies).alias("_copies"))
+               .agg(F.max(copies).alias("_copies"), F.max("positions").alias("_positions"))  # equal in a group
                .filter(F.col("_copies") > 0))
     rows = packed(docs, id=F.col(id_col), source=F.col(source_col), words=word_count(text_col))
     joined = rows.join(counted, rows["id"].eqNullSafe(counted["_id"]) & (rows["words"] == counted["_size"])
                        & rows["source"].eqNullSafe(counted["_source"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc.*")
+    anywhere = F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 20)) / float(1 << 20)
+    times = F.when(F.col("words") == 0, F.array(anywhere)).otherwise(F.slice("_positions", F.lit(1), F.col("_copies")))
+    copies = joined.select("doc", F.col("id").alias("doc_id"), "source", times.alias("positions"))
+    return training_order(copies).select("doc.*")

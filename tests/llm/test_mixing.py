@@ -123,6 +123,26 @@ def test_whole_copies(make_docs, rows, messy):
     assert len(blank) == 4  # texts without words stay
 
 
+def test_copies_stand_in_training_order(make_docs, rows, spark, tmp_path):
+    docs = make_docs(rows)
+    due = {r.doc_id: r.positions[:int(r.taken / r.size + 0.5)] for r in mixed(docs)}
+    want = [d for _, d in sorted((p, d) for d, times in due.items() for p in times)]
+    got = [r.doc_id for r in mixed_documents(docs).collect()]
+    assert got == want and max(due.values(), key=len)[1:]
+    mixed_documents(docs).write.parquet(str(tmp_path / "mix"))
+    files = sorted((tmp_path / "mix").glob("part-*.parquet"))
+    assert [r.doc_id for f in files for r in spark.read.parquet(str(f)).collect()] == want
+
+
+def test_the_query_follows_training_order(spark, make_docs, rows, tmp_path):
+    from corpusmill.llm.bindings import QUERIES
+
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    times = [r.first_position for r in QUERIES["op9_mix_sources"](spark, str(tmp_path)).collect()]
+    known = [t for t in times if t is not None]
+    assert len(times) == len(rows) and known == sorted(known) and times[:len(known)] == known
+
+
 def test_no_python_in_the_plan(make_docs, rows):
     plan = mix_sources(make_docs(rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
