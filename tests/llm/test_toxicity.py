@@ -49,6 +49,25 @@ def test_near_copies_count_once():
     assert len(without_copies([base, *copies, *others])) == 11
 
 
+def test_only_near_copies_go():
+    """Texts of likeness 0.3 to 0.7 stay, however many there are, and the order they come in changes nothing."""
+    rng = np.random.default_rng(5)
+    common = np.arange(240)
+    texts = [np.sort(np.concatenate([rng.choice(common, 160, replace=False),
+                                     1000 + rng.choice(100_000, 40, replace=False)])).astype("<i4") for _ in range(400)]
+    copies = [np.sort(np.append(t, 200_000 + i)).astype("<i4") for i, t in enumerate(texts[:100])]
+    kept = without_copies([*texts, *copies])
+    assert len(kept) == 400
+
+    def jaccard(a, b):
+        both = len(np.intersect1d(a, b))
+        return both / (len(a) + len(b) - both)
+
+    assert max(jaccard(a, b) for i, a in enumerate(kept[:150]) for b in kept[:i]) < 0.8
+    again = without_copies([*copies, *texts][::-1])
+    assert sorted(t.tobytes() for t in again) == sorted(t.tobytes() for t in kept)
+
+
 def test_nothing_to_learn_from_gives_the_prior():
     assert abs(1 / (1 + np.exp(-fit_nnpu([], [], 0.25).bias)) - 0.25) < 1e-9
 
