@@ -113,15 +113,15 @@ def _alike(a: np.ndarray, b: np.ndarray, likeness: float) -> bool:
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300,
-             rate: float = 0.05, thin: float = 2e-4, least_texts: int = 3, least_share: float = 0.02,
+             rate: float = 0.05, thin: float = 2e-4, least_texts: int = 3,
              least_precision: float = 0.5, least_deviations: float = 6.0) -> LinearModel:
     """Train a linear classifier on feature lists by the non-negative risk estimator.
 
     risk = prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]) with the logistic loss. While the
     second part is negative, a step climbs it again instead. Of near copies one is used.
-    Only features that point to the positive class are weighed: in ``least_texts`` positive texts and a
-    ``least_share`` of them or more, with an estimated share of positives among the texts that hold them of ``least_precision`` or more,
-    and so many standard deviations more frequent than in unlabelled text.
+    Only features that point to the positive class are weighed: in ``least_texts`` positive texts or more,
+    whatever share of them that is, with an estimated share of positives among the texts that hold them of
+    ``least_precision`` or more, and so many standard deviations more frequent than in unlabelled text.
     Without positive or unlabelled texts the model is the prior alone.
     """
     prior = float(np.clip(prior, 1e-3, 0.999))
@@ -133,7 +133,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     counts = [np.bincount(np.concatenate(x), minlength=SPACE) for x in (positive, unlabelled)]
     often, usual = counts[0] / len(positive), (counts[1] + 0.5) / (len(unlabelled) + 1)
     deviations = (often - usual) / np.sqrt(usual / len(positive))
-    chosen = np.flatnonzero((counts[0] >= max(least_texts, least_share * len(positive))) & (prior * often >= least_precision * usual)
+    chosen = np.flatnonzero((counts[0] >= least_texts) & (prior * often >= least_precision * usual)
                             & (deviations >= least_deviations))
     place = np.full(SPACE + 1, -1, np.int64)
     place[chosen] = np.arange(len(chosen))

@@ -68,6 +68,18 @@ def test_only_near_copies_go():
     assert sorted(t.tobytes() for t in again) == sorted(t.tobytes() for t in kept)
 
 
+def test_a_term_of_few_positive_texts_is_weighed():
+    rng = np.random.default_rng(6)
+
+    def text(*more):
+        return np.unique([*rng.choice(np.arange(100, 50_000), 30, replace=False), *more]).astype("<i4")
+
+    positive = [text(7 if i < 12 else 9) for i in range(1200)]  # a hundredth holds 7
+    unlabelled = [text(*[9] * (i % 10 == 0)) for i in range(2000)]
+    model = fit_nnpu(positive, unlabelled, prior=0.1)
+    assert model.weights[7] > 0.5 and model.weights[9] > 0.5
+
+
 def test_nothing_to_learn_from_gives_the_prior():
     assert abs(1 / (1 + np.exp(-fit_nnpu([], [], 0.25).bias)) - 0.25) < 1e-9
 
