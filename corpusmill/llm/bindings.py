@@ -8,6 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.centroids import cluster_vectors
+from corpusmill.llm.chosen_path import linked_components
+from corpusmill.llm.conversations import damaged_and_repaired
 from corpusmill.llm.fingerprints import edited_fingerprints
 from corpusmill.llm.language_model import score_documents
 from corpusmill.llm.mixing import in_order, mix_sources
@@ -183,3 +186,165 @@ def op10_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count(kind) for kind in BASE_KINDS]
     return scan_secrets(table(spark, sf_dir, "documents")).select(
         "doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
+
+
+COMPONENT_SQL = """
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE [z[1] || ' ' || z[2] || ' ' || z[3] for z in list_zip(w[:len(w) - 2], w[2:len(w) - 1], w[3:])] END)) AS g
+  FROM words),
+classes AS (SELECT g, min(r) AS class, min(doc_id) AS least, len(any_value(g)) AS n FROM sets WHERE len(g) > 0 GROUP BY g),
+grams AS MATERIALIZED (SELECT class, n, gram FROM (SELECT class, n, unnest(g) AS gram FROM classes)
+                       QUALIFY count(*) OVER (PARTITION BY gram) > 1),
+above AS (
+  SELECT a.class AS a, b.class AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.class < b.class
+    AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.class, b.class
+  HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+links AS MATERIALIZED (SELECT a, b FROM above UNION ALL SELECT b, a FROM above),
+reached AS (
+  SELECT class AS node, class AS label FROM classes
+  UNION
+  SELECT l.b, r.label FROM reached r JOIN links l ON l.a = r.node),
+components AS (
+  SELECT r.node, min(c.least) AS component_id FROM reached r JOIN classes c ON c.class = r.label GROUP BY r.node),
+found AS (
+  SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles,
+         CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE k.component_id END AS component_id
+  FROM sets s LEFT JOIN classes c ON s.g = c.g LEFT JOIN components k ON k.node = c.class)
+SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM found
+"""
+
+
+@query(COMPONENT_SQL)
+def op11_linked_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_components(table(spark, sf_dir, "documents"))
+
+
+def _cluster_sql(n_centroids: int = 40, rounds: int = 5) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+assigned{i} AS (
+  SELECT k.r, any_value(k.vec_id) AS vec_id, any_value(k.v) AS v, min({{'d': list_inner_product(k.v, k.v)
+    + list_inner_product(c.c, c.c) - 2 * list_inner_product(k.v, c.c), 'n': c.cluster}}) AS best
+  FROM kept k CROSS JOIN centroids{i} c GROUP BY k.r)""")
+        if i < rounds:
+            steps.append(f"""
+means{i} AS (
+  SELECT cluster, list(mean ORDER BY pos) AS c FROM (
+    SELECT best.n AS cluster, pos, floor(sum(x) / count(*)) AS mean
+    FROM (SELECT best, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM assigned{i}) GROUP BY ALL) GROUP BY cluster),
+centroids{i + 1} AS (
+  SELECT o.cluster, coalesce(m.c, o.c) AS c FROM centroids{i} o LEFT JOIN means{i} m ON m.cluster = o.cluster)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+centroids0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS INTEGER) AS cluster, v AS c
+  FROM kept QUALIFY cluster < {n_centroids}),{",".join(steps)},
+measured AS (SELECT vec_id, best.n AS cluster, CAST(best.d AS BIGINT) AS distance FROM assigned{rounds})
+SELECT m.vec_id, m.cluster, m.distance, CAST(sum(m.distance) OVER (PARTITION BY m.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(m.distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string([x::BIGINT for x in c.c], ',')) AS centroid_sha256
+FROM measured m JOIN centroids{rounds} c ON c.cluster = m.cluster
+"""
+
+
+@query(_cluster_sql())
+def op12_cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# Per role state: the audits and texts of inserts that may come before a row, and the state after them.
+_INSERTS = {
+    "''": [("", "", "''"), ("I", "user:\n", "'u'"), ("II", "user:\nassistant:\n", "'a'")],
+    "'s'": [("", "", "'s'"), ("I", "user:\n", "'u'"), ("II", "user:\nassistant:\n", "'a'")],
+    "'u'": [("", "", "'u'"), ("I", "assistant:\n", "'a'")],
+    "'a'": [("", "", "'a'"), ("I", "user:\n", "'u'")],
+}
+_FOLLOWS = {"''": "su", "'s'": "u", "'u'": "a", "'a'": "u"}
+
+
+def _repair_moves() -> str:
+    """VALUES rows: state, edits, inserted text, cost, initial kept, role given, state after."""
+    rows = []
+    for state, inserts in _INSERTS.items():
+        rows.append(f"({state}, 'D', '', 2, NULL, NULL, {state})")
+        for edits, text, then in inserts:
+            given = "assistant" if then == "'u'" else "user"
+            rows.append(f"({state}, '{edits}R', '{text}', {5 * len(edits) + 1}, NULL, '{given}', '{given[0]}')")
+            rows += [f"({state}, '{edits}K', '{text}', {5 * len(edits)}, '{r}', NULL, '{r}')" for r in _FOLLOWS[then]]
+    return ", ".join(rows)
+
+
+REPAIR_SQL = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT)) ORDER BY i) AS t
+  FROM range(256) r(i)),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+faults AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(
+    list_prepend(4294967295::UBIGINT, [ord(c)::UBIGINT for c in string_split(key, '')]),
+    lambda x, y: xor(x >> 8, t[CAST(xor(x & 255, y) AS BIGINT) + 1])), 4294967295::UBIGINT) % 20 AS fault
+  FROM keyed CROSS JOIN crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM faults WHERE fault <> 0),
+placed AS (
+  SELECT *, row_number() OVER w AS i, left(role, 1) AS r, left(lag(role) OVER w, 1) AS r_before,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+rows AS MATERIALIZED (
+  SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND cut AS truncated,
+         i > 1 AND r_before || r NOT IN ('su', 'ua', 'au') AS illegal
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM placed)),
+moves(state, edits, inserted, cost, keeps, gives, next_state) AS (VALUES {_repair_moves()}),
+steps AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS state, {{'cost': 0, 'audit': '', 'text': ''}} AS best FROM rows
+  UNION ALL
+  SELECT s.conv_id, s.i + 1, m.next_state, min({{
+    'cost': s.best.cost + m.cost + CASE WHEN w.truncated AND m.edits <> 'D' THEN 5 ELSE 0 END,
+    'audit': s.best.audit || m.edits,
+    'text': s.best.text || m.inserted || CASE WHEN m.edits = 'D' THEN '' ELSE coalesce(m.gives, w.role) || ':' || w.text
+                                         || chr(10) END}})
+  FROM steps s JOIN rows w ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND w.i = s.i + 1
+  JOIN moves m ON m.state = s.state AND (m.edits = 'D' OR NOT (w.blank OR w.duplicate))
+    AND (m.keeps IS NULL OR m.keeps = w.r)
+  GROUP BY s.conv_id, s.i, m.next_state),
+sizes AS (
+  SELECT conv_id, max(i) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, sum(blank::INT) AS blank,
+         sum(duplicate::INT) AS duplicate, sum(truncated::INT) AS truncated, sum(illegal::INT) AS illegal
+  FROM rows GROUP BY conv_id),
+ends AS (
+  SELECT s.conv_id, min({{
+    'cost': s.best.cost + CASE s.state WHEN 's' THEN 10 WHEN 'u' THEN 5 ELSE 0 END,
+    'audit': s.best.audit || CASE s.state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END,
+    'text': s.best.text || CASE s.state WHEN 's' THEN 'user:' || chr(10) || 'assistant:' || chr(10)
+                                        WHEN 'u' THEN 'assistant:' || chr(10) ELSE '' END}}) AS best
+  FROM steps s JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM s.conv_id AND z.n = s.i GROUP BY s.conv_id)
+SELECT c.conv_id, CAST(coalesce(z.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(z.blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(z.duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(z.truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(z.illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(e.best.cost, 0) AS BIGINT) AS cost,
+       coalesce(e.best.audit, '') AS audit,
+       sha256(coalesce(left(e.best.text, length(e.best.text) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query(REPAIR_SQL)
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
