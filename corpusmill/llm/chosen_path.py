@@ -6,14 +6,16 @@
    path, 1.3 on average, and sends each class to the child named by the class's value (Christiani and
    Pagh 2017). Two sets of similarity s meet in a chosen child with probability s, so above 1/1.3 their
    common paths don't die out; ``tree_recall`` gives the share of trees that keep a pair together for
-   ever, and the number of trees follows from a target recall.
-3. Nodes of one class go. Small nodes are compared exhaustively: by sketch first, whose bound loses a
-   pair with probability 1e-6, then on full sets. What one task finds alike by sketch goes on under a
-   fingerprint of its members, so a group that many nodes find is verified once.
-4. Large nodes branch again. From the third level on they are dense, and each is first compared with one
-   of its sets, the pivot. Sets linked to it are one component, so pairs among them need no comparison.
+   ever, and the number of trees follows from a target recall. So nodes may branch several levels at a
+   time, and only then are they counted.
+3. Nodes of one class go, and of small nodes with the same members one is kept. Small nodes are compared
+   exhaustively: by sketch first, whose bound loses a pair with probability 1e-6, then on full sets. What
+   is alike by sketch goes on under a fingerprint of its members, so a group that many nodes find is
+   verified once.
+4. Large nodes are first compared by sketch with one of their sets, the pivot. If many may be linked to it,
+   these are verified. Sets linked to the pivot are one component, so pairs among them need no comparison.
    A set y can only be linked to one of them if its similarity with the pivot is 2 * threshold - 1 or more, as
-   1 - Jaccard is a metric; those are compared with them in blocks. All sets not linked to the pivot branch on.
+   1 - Jaccard is a metric; those are compared with them in blocks. All other sets branch on.
 5. Linked classes are joined to components by their smallest id.
 
 Rows that travel grow in proportion to classes, but for the sets in the shell around a hot pivot.
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -39,13 +41,16 @@ HASHES = 128
 # Share of nodes that choose two values; the others choose one.
 TWO = 0.3
 # A node is small up to so many sets with so many n-grams in all; so few sets are small whatever their size.
-SMALL_SETS = 256
+SMALL_SETS = 1024
 SMALL_GRAMS = 4_000_000
 FEW_SETS = 4
-# From this level on a large node is compared with a pivot before it branches.
-DENSE_LEVEL = 3
-# Beyond so many levels a large node is compared in pairs of blocks.
-MAX_LEVELS = 64
+# Levels that nodes branch before they are counted, from the root and then each time.
+FIRST_LEVELS = 2
+MORE_LEVELS = 4
+# After so many counts large nodes are compared in pairs of blocks.
+MOST_COUNTS = 24
+# A node is dense if so large a share of it may be linked to its pivot.
+DENSE = 0.1
 PIVOT_BLOCK = 1024
 SKETCH_SIGMAS = 4.75
 # Sketch pairs and cells of an incidence matrix held at once.
@@ -128,26 +133,43 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
 # --- trees ----------------------------------------------------------------------------------------
 
 
-def _children(rows: DataFrame, root: bool) -> DataFrame:
-    """``path, grams, n_grams`` of the children that each row's class goes to."""
-    first = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(HASHES))
-    second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(HASHES - 1)), F.lit(HASHES))
+def _branch(root: bool) -> Callable[[Column], Column]:
+    return lambda path: _chosen(path, root)
+
+
+def _chosen(path: Column, root: bool) -> Column:
+    """Paths of the children that a class goes to from a node, as an array."""
+    first = F.pmod(F.xxhash64(path, F.lit(1)), F.lit(HASHES))
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64(path, F.lit(2)), F.lit(HASHES - 1)), F.lit(HASHES))
     if root:  # trees differ in their first values
-        first, second = F.pmod(2 * F.col("path"), F.lit(HASHES)), F.pmod(2 * F.col("path") + 1, F.lit(HASHES))
-    both = F.pmod(F.xxhash64("path", F.lit(3)), F.lit(1000)) < int(1000 * TWO)
-    chosen = rows.withColumn("at", F.explode(F.when(both, F.array(first, second)).otherwise(F.array(first))))
-    value = F.substring("path_values", (2 * F.col("at") + 1).cast("int"), F.lit(2))
-    return chosen.select(F.xxhash64("path", "at", value).alias("path"), "grams", "n_grams")
+        first, second = F.pmod(2 * path, F.lit(HASHES)), F.pmod(2 * path + 1, F.lit(HASHES))
+
+    def child(at: Column) -> Column:
+        value = F.substring("path_values", (2 * at + 1).cast("int"), F.lit(2))
+        return F.xxhash64(path, at, value)
+
+    both = F.pmod(F.xxhash64(path, F.lit(3)), F.lit(1000)) < int(1000 * TWO)
+    return F.when(both, F.array(child(first), child(second))).otherwise(F.array(child(first)))
 
 
-def _sized(rows: DataFrame, limit: int, purpose: str) -> DataFrame:
-    """Rows of nodes with more than one class, with ``n`` and whether the node is ``small``."""
-    nodes = stored(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("weight"))
-                   .filter("n > 1").select("path", "n", ((F.col("n") <= FEW_SETS) | (F.col("n") <= limit)
-                                                         & (F.col("weight") <= SMALL_GRAMS)).alias("small")),
-                   f"{purpose}-nodes")
-    return stored(lookup_join(rows, nodes, ["path"], spread=["grams"]).select("path", "grams", "n_grams", "n", "small"),
-                  purpose)
+def _descend(rows: DataFrame, start: Column, root: bool, levels: int) -> DataFrame:
+    """``path, grams, n_grams`` of the nodes that rows reach from the nodes ``start`` after some levels."""
+    paths = start
+    for level in range(levels):
+        paths = F.flatten(F.transform(paths, _branch(root and level == 0)))
+    return rows.select(F.explode(paths).alias("path"), "grams", "n_grams")
+
+
+def _counted(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows of nodes with more than one class, and whether the node is ``small``; small ones with new members only."""
+    own = [F.bit_xor(F.xxhash64(F.lit(i), "grams")).alias(f"x{i}") for i in (1, 2)]
+    nodes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("weight"), *own).filter("n > 1")
+    small = (F.col("n") <= FEW_SETS) | (F.col("n") <= limit) & (F.col("weight") <= SMALL_GRAMS)
+    members = [F.when(small, F.col(f"x{i}")).otherwise(F.xxhash64(F.lit(i), "path")).alias(f"x{i}") for i in (1, 2)]
+    kept = stored(nodes.select("path", "n", small.alias("small"), *members).groupBy("n", "small", "x1", "x2")
+                  .agg(F.min("path").alias("path")).select("path", "small"), "path-nodes")
+    return stored(lookup_join(rows, kept, ["path"], spread=["grams"]).select("path", "grams", "n_grams", "small"),
+                  "path-members")
 
 
 def _in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -281,27 +303,32 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator
                                              ["a", "b"])
 
 
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of equal places of two sketches."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES)
+                for c in ("sketch", "other"))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("path"), batch.column("grams"), batch.column("pivot"), pa.array((a == b).sum(axis=1), pa.int32())],
+            ["path", "grams", "pivot", "agree"])
+
+
 def _against_pivot(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Whether each set is linked to the pivot, which comes first in its block, or could be linked to one that is."""
+    """The sets linked to the pivot, which comes first in its block."""
     sets_of = Sets(n)
-    key, pivot, name = None, None, None
+    key, pivot = None, None
     for batch in slices(batches, "text", 1 << 20):
         sets = sets_of(texts_of(batch.column("text")))
         out = []
-        for own, path, block, first, grams, n_grams in zip(
-                sets, *[batch.column(c).to_pylist() for c in ("path", "block", "first", "grams", "n_grams")]):
-            if (path, block) != key:
-                key, pivot, name = (path, block), own, grams
-            if first:
-                continue
+        for own, name, block, first, grams in zip(
+                sets, *[batch.column(c).to_pylist() for c in ("pivot", "block", "first", "grams")]):
+            if (name, block) != key:
+                key, pivot = (name, block), own
             common = len(np.intersect1d(own, pivot, assume_unique=True))
-            union = len(own) + len(pivot) - common
-            out.append((path, grams, n_grams, name, 100 * common >= percent * union,
-                        100 * common >= (2 * percent - 100) * union))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in out], t) for i, t in enumerate(
-                [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_()])],
-            ["path", "grams", "n_grams", "pivot", "hit", "near"])
+            if not first and 100 * common >= percent * (len(own) + len(pivot) - common):
+                out.append((name, grams))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary()) for i in (0, 1)],
+                                         ["pivot", "grams"])
 
 
 class _Texts:
@@ -342,56 +369,65 @@ def _sides(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:
     return cells(left, "l", "r", 0).unionByName(cells(right, "r", "l", 1))
 
 
-def _pivot_step(rows: DataFrame, texts: _Texts, n: int, percent: int, level: int, limit: int
+def _pivot_step(rows: DataFrame, texts: _Texts, n: int, percent: int, limit: int
                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compare dense nodes with a pivot each: edges to it, cells for its shell, and the rows that branch on."""
-    pivots = stored(rows.groupBy("path").agg(
-        F.min_by(F.struct("grams", "n_grams"), F.xxhash64(F.lit(level), "grams")).alias("p"),
-        _block(F.count(F.lit(1)), PIVOT_BLOCK).alias("blocks")), "path-pivots")
-    members = lookup_join(rows, pivots.select("path", "blocks"), ["path"], spread=["grams"]).select(
-        "path", F.pmod(F.xxhash64(F.lit(4), "grams"), F.col("blocks")).alias("block"), F.lit(False).alias("first"),
-        "grams", "n_grams")
-    copies = pivots.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-                           F.lit(True).alias("first"), "p.*")
-    compared = stored(texts.join(members.unionByName(copies)).repartition("path", "block")
-                      .sortWithinPartitions("path", "block", F.col("first").desc())
-                      .mapInArrow(lambda b: _against_pivot(b, n, percent),
-                                  "path long, grams binary, n_grams long, pivot binary, hit boolean, near boolean"),
-                      "path-compared")
-    edges = compared.filter(F.col("hit") & (F.col("grams") != F.col("pivot"))).select(
-        F.col("grams").alias("a"), F.col("pivot").alias("b"))
-    cells = _sides(compared.filter("hit"), compared.filter("near and not hit"), limit)
-    return edges, cells, compared.filter("not hit").select("path", "grams", "n_grams")
-
-
-def _edges(source: DataFrame, classes: DataFrame, n: int, percent: int, recall: float, small: int, max_levels: int
+    """Compare dense nodes with a pivot each: edges to it, cells for its shell, and the rows that branch on.
+
+    Nodes often share a pivot; what has been compared with it counts for all of them.
+    """
+    pivots = stored(rows.groupBy("path").agg(F.min_by(F.struct("grams", "sketch"), F.xxhash64("grams")).alias("p"))
+                    .select("path", F.col("p.grams").alias("pivot"), F.col("p.sketch").alias("other")), "path-pivots")
+    compared = stored(lookup_join(rows, pivots, ["path"], spread=["grams"]).select("path", "grams", "pivot", "sketch", "other")
+                      .mapInArrow(_agreement, "path long, grams binary, pivot binary, agree int"), "path-compared")
+    may_link = F.col("agree") >= sketch_bound(percent / 100)
+    may_near = F.col("agree") >= sketch_bound(2 * percent / 100 - 1)
+    dense = stored(compared.groupBy("path").agg(F.avg(may_link.cast("int")).alias("share")).filter(F.col("share") >= DENSE)
+                   .select("path"), "path-dense")
+    close = stored(lookup_join(compared, dense, ["path"], spread=["grams"]).filter(may_near)
+                   .groupBy("pivot", "grams").agg(F.max(may_link).alias("may_link")), "path-close")
+    checked = close.filter("may_link")
+    blocks = checked.groupBy("pivot").agg(_block(F.count(F.lit(1)), PIVOT_BLOCK).alias("blocks"))
+    members = lookup_join(checked, blocks, ["pivot"], spread=["grams"]).select(
+        "pivot", F.pmod(F.xxhash64(F.lit(4), "grams"), F.col("blocks")).alias("block"), F.lit(False).alias("first"), "grams")
+    copies = blocks.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+                           F.lit(True).alias("first"), F.col("pivot").alias("grams"))
+    hits = stored(texts.join(members.unionByName(copies)).repartition("pivot", "block")
+                  .sortWithinPartitions("pivot", "block", F.col("first").desc())
+                  .mapInArrow(lambda b: _against_pivot(b, n, percent), "pivot binary, grams binary"), "path-hits")
+    edges = hits.filter(F.col("grams") != F.col("pivot")).select(F.col("grams").alias("a"), F.col("pivot").alias("b"))
+    shell = close.join(hits, ["pivot", "grams"], "left_anti")
+    cells = _sides(*[side.select(F.xxhash64("pivot").alias("path"), "grams") for side in (hits, shell)], limit)
+    done = (dense.join(pivots.select("path", "pivot"), "path")
+            .join(hits, "pivot").select("path", "grams"))
+    return edges, cells, rows.join(done, ["path", "grams"], "left_anti")
+
+
+def _edges(source: DataFrame, classes: DataFrame, n: int, percent: int, recall: float, small: int, most_counts: int
            ) -> DataFrame:
     """Edges between classes that connect all linked ones."""
     texts = _Texts(source, classes)
     filled = classes.filter("n_grams > 0")
     trees = choose_trees(percent / 100, recall)
-    roots = filled.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
-    rows, leaves, edges, cells = _children(roots, True), [], [], []
-    for level in range(1, max_levels + 1):
-        placed = _sized(rows, small, f"path-level-{level}")
-        leaves.append(placed.filter("small"))
-        large = placed.filter("not small").select("path", "grams", "n_grams")
+    every = F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))
+    rows, leaves, edges, cells = _descend(filled, every, True, FIRST_LEVELS), [], [], []
+    for count in range(1, most_counts + 1):
+        members = _counted(rows, small)
+        leaves.append(members.filter("small"))
+        large = members.filter("not small").select("path", "grams")
         if large.isEmpty():
             break
-        if level >= DENSE_LEVEL:
-            near, shell, rest = _pivot_step(large, texts, n, percent, level, small)
-            edges.append(near)
-            cells.append(shell)
-            placed = _sized(rest, small, f"path-rest-{level}")
-            leaves.append(placed.filter("small"))
-            large = placed.filter("not small").select("path", "grams", "n_grams")
-        rows = _children(lookup_join(filled.select("grams", "path_values"), large, ["grams"]), False)
-    else:
-        cells.append(_sides(large, large, small))
+        if count == most_counts:
+            cells.append(_sides(large, large, small))
+            break
+        whole = stored(lookup_join(filled.select("grams", "n_grams", "path_values", "sketch"), large, ["grams"]), "path-large")
+        near, shell, rest = _pivot_step(whole, texts, n, percent, small)
+        edges.append(near)
+        cells.append(shell)
+        rows = _descend(rest, F.array("path"), False, MORE_LEVELS)
 
     together = reduce(DataFrame.unionByName, leaves).select("path", "grams")
     least = sketch_bound(percent / 100)
-    alike = (filled.select("grams", "sketch").join(together, "grams").select("path", "grams", "sketch")
+    alike = (lookup_join(filled.select("grams", "sketch"), together, ["grams"]).select("path", "grams", "sketch")
              .repartition("path").sortWithinPartitions("path")
              .mapInArrow(lambda b: _alike(b, least), "x long, y long, grams binary"))
     groups = stored(alike.distinct().withColumn("side", F.lit(0)).select("x", "y", "side", "grams"), "path-groups")
@@ -402,7 +438,7 @@ def _edges(source: DataFrame, classes: DataFrame, n: int, percent: int, recall:
 
 
 def linked_components(docs: DataFrame, n: int = 3, percent: int = 85, recall: float = 0.9999, id_col: str = "doc_id",
-                      text_col: str = "text", small: int = SMALL_SETS, max_levels: int = MAX_LEVELS) -> DataFrame:
+                      text_col: str = "text", small: int = SMALL_SETS, most_counts: int = MOST_COUNTS) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Texts are lower-cased in A-Z and cut into words at ASCII blanks; a set holds the distinct ``n``-word
@@ -422,7 +458,7 @@ def linked_components(docs: DataFrame, n: int = 3, percent: int = 85, recall: fl
     classes = stored(signed.groupBy("grams").agg(
         F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"),
         F.first("path_values").alias("path_values"), F.first("sketch").alias("sketch")), "path-classes")
-    edges = _edges(source, classes, n, percent, recall, small, max_levels)
+    edges = _edges(source, classes, n, percent, recall, small, most_counts)
     known = (classes.filter("n_grams > 0").select("grams", "copies", F.when(~F.col("first.none"), F.col("first.id")).alias("id"))
              .join(components(edges).withColumnRenamed("node", "grams"), "grams", "left"))
     # classes of one row without links need no look-up
