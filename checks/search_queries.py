@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.document_queries import source_documents
 from checks.registry import Tables, query
 from corpusmill.functions import encoders, scores, text
-from corpusmill.operators import answers, collection, fusion, lexical, vector
+from corpusmill.operators import answers, collection, fusion, lexical, vector, vector_lists
 from corpusmill.operators.vector import recall
 from corpusmill.plans import ingest as ingest_plan
 from corpusmill.plans import search as search_plan
@@ -173,32 +173,19 @@ def vector_search(t: Tables) -> DataFrame:
     return shown(vector.vector_search(questions(t), vector_corpus(t)))
 
 
-TABLES, WIDTH = 16, 6
-APPROX_SQL = f"""
-dims AS (SELECT unnest(range(64)) AS d),
-planes AS (SELECT p, list(CASE WHEN (strpos('0123456789abcdef', substr(md5(p || ':' || d), 1, 1)) - 1) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS v
-           FROM (SELECT unnest(range({TABLES * WIDTH})) AS p), dims GROUP BY p),
-codes AS (SELECT vec_id, p // {WIDTH} AS table_no, CAST(sum(CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), v) >= 0 THEN 1 << CAST(p % {WIDTH} AS INTEGER) ELSE 0 END) AS BIGINT) AS bucket
-          FROM embeddings, planes GROUP BY 1, 2),
-pairs AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id AS hit FROM codes a JOIN codes b ON a.table_no = b.table_no AND a.bucket = b.bucket
-          WHERE a.vec_id IN (SELECT item_id FROM benchmark)),
-approx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (
-  SELECT query_id, CAST(hit AS VARCHAR) AS doc_id, 1 - (1 - list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))) / 2 AS score
-  FROM pairs JOIN embeddings x ON x.vec_id = query_id JOIN embeddings y ON y.vec_id = hit)) WHERE rank <= {N})"""
-
-
-@query(f"WITH {APPROX_SQL} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM approx")
+# The inverted file stops by its bounds, so its hits are those of all pairs.
+@query(f"WITH {CORPUS_SQL}, {POOL_SQL}, {vector_sql(N, having='pool')} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM vector_list")
 def vector_topk_approx(t: Tables) -> DataFrame:
-    return shown(vector.vector_topk_approx(questions(t), vector_corpus(t), N, TABLES, WIDTH))
+    lists = vector_lists.save_vector_lists(vector_corpus(t), scratch_dir(t.spark, "codes"), parts=16)
+    return shown(vector_lists.search_lists(questions(t), lists, N))
 
 
-@query(f"""WITH {CORPUS_SQL}, {APPROX_SQL}, {VECTORS_SQL.replace('having', 'pool')}, {vector_sql(N, having='pool')}
-SELECT count(DISTINCT e.query_id) AS queries, count(a.doc_id) AS found, count(*) AS expected, round(count(a.doc_id) / count(*), 4) AS recall
-FROM vector_list e LEFT JOIN approx a ON a.query_id = e.query_id AND a.doc_id = e.doc_id""")
+@query(f"""WITH {CORPUS_SQL}, {POOL_SQL}, {vector_sql(N, having='pool')}
+SELECT count(DISTINCT query_id) AS queries, count(*) AS found, count(*) AS expected, 1.0::DOUBLE AS recall FROM vector_list""")
 def approx_recall(t: Tables) -> DataFrame:
     asked, pool = questions(t), vector_corpus(t)
-    stored = vector.save_vector_buckets(pool, scratch_dir(t.spark, "buckets"), TABLES, WIDTH, parts=16)
-    found = recall(vector.search_buckets(asked, stored, N), vector.vector_topk(asked, pool, N))
+    lists = vector_lists.save_vector_lists(pool, scratch_dir(t.spark, "codes"), parts=16)
+    found = recall(vector_lists.search_lists(asked, lists, N), vector.vector_topk(asked, pool, N))
     return found.withColumn("recall", F.round("recall", 4))
 
 
@@ -236,15 +223,10 @@ def hybrid_search(t: Tables) -> DataFrame:
     return hits(t).withColumn("n_chars", text.meta_get("metadata", "n_chars").cast("long")).drop("metadata")
 
 
-APPROX_HITS_SQL = f"""WITH {CORPUS_SQL}, {TERMS_SQL}, {BM25_SQL}, {APPROX_SQL.replace(
-    "JOIN embeddings y ON y.vec_id = hit)", "JOIN embeddings y ON y.vec_id = hit WHERE hit IN (SELECT doc_id FROM documents))")},
-vector_list AS (SELECT query_id, doc_id, rank, score FROM approx), {FUSION_SQL}"""
-
-
-@query(f"{APPROX_HITS_SQL} SELECT query_id, rank, doc_id, combined_score, vector_score, bm25_score FROM hits")
+@query(f"{HITS_SQL} SELECT query_id, rank, doc_id, combined_score, vector_score, bm25_score FROM hits")
 def hybrid_search_approx(t: Tables) -> DataFrame:
-    index = stored_index(corpus(t), vector_width=WIDTH)
-    found = search_plan.search(questions(t), index, K, approximate=True)
+    index = stored_index(corpus(t), vector_lists=0)
+    found = search_plan.search(questions(t), index, K, by_lists=True)
     return found.select("query_id", "rank", "doc_id", "combined_score", "vector_score", "bm25_score")
 
 

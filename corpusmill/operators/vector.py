@@ -1,4 +1,4 @@
-"""Vector side of the search: exact and bucketed nearest neighbours by cosine.
+"""Vector side of the search: exact nearest neighbours by cosine.
 
 Exact search is a scan of the corpus vectors. A query batch of checked size is sent to every
 partition, where one matrix product per Arrow batch replaces row-wise arithmetic, and only the best
@@ -7,19 +7,17 @@ rows per query leave the partition. A larger query set comes in chunks of that s
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scores
-from corpusmill.runtime import lookup_join, measure, restrict, top_per_group
+from corpusmill.runtime import measure, top_per_group
 
 MATRIX_BYTES = 64 << 20      # query vectors sent to the tasks
 PRODUCT_CELLS = 4_000_000    # scores held at once by a task
@@ -122,145 +120,8 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 3) -> DataFram
     return vector_topk(queries, corpus, k)
 
 
-# --- approximate search -------------------------------------------------------------------------
-
-
-def plane_matrix(planes: int, dims: int) -> np.ndarray:
-    """Random planes of +1/-1 entries, by a rule any engine can repeat (Achlioptas 2003)."""
-    signs = [[1.0 if int(hashlib.md5(f"{p}:{d}".encode()).hexdigest()[0], 16) % 2 == 0 else -1.0
-              for d in range(dims)] for p in range(planes)]
-    return np.array(signs)
-
-
-def bucket_slots(df: DataFrame, key: str, vector: str, tables: int, width: int) -> DataFrame:
-    """``slot`` and ``key``: one sign-hash bucket per table (Charikar 2002), one matrix product per batch.
-
-    ``slot`` numbers the buckets of all tables.
-    """
-    planes = tables * width
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normals = None
-        for batch in batches:
-            matrix, rows = unit_rows(batch.column(1), None if normals is None else len(normals))
-            if not len(rows):
-                continue
-            if normals is None:
-                normals = plane_matrix(planes, matrix.shape[1]).T
-            bits = (matrix @ normals >= 0).reshape(len(rows), tables, width)
-            codes = (bits * (1 << np.arange(width))).sum(axis=2).astype(np.int64)
-            slots = codes + np.arange(tables) * (1 << width)
-            owners = batch.column(0).take(pa.array(np.repeat(rows, tables)))
-            yield pa.RecordBatch.from_arrays([pa.array(slots.ravel()), owners], names=["slot", key])
-
-    kind = df.schema[key].dataType.simpleString()
-    narrow = df.select(key, vector).filter(F.col(vector).isNotNull())
-    return narrow.mapInArrow(code, f"slot long, {key} {kind}")
-
-
-@dataclass(frozen=True)
-class VectorBuckets:
-    """Document ids listed under one bucket per table, and the documents' vectors, held once."""
-
-    entries: DataFrame  # slot, doc_id (and part, if stored)
-    vectors: DataFrame  # doc_id, embedding
-    tables: int
-    width: int
-    parts: int = 1
-
-    @property
-    def slots_per_part(self) -> int:
-        return -(-(self.tables << self.width) // self.parts)
-
-
-def vector_buckets(corpus: DataFrame, tables: int = 16, width: int = 6) -> VectorBuckets:
-    vectors = corpus.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding")
-    return VectorBuckets(bucket_slots(vectors, "doc_id", "embedding", tables, width), vectors, tables, width)
-
-
-def write_bucket_lists(listed: VectorBuckets, path: str, parts: int) -> None:
-    """Rows are range-partitioned by slot and document, so a bucket full of copies is written by many tasks."""
-    per_part = replace(listed, parts=parts).slots_per_part
-    parted = listed.entries.withColumn("part", F.floor(F.col("slot") / per_part).cast("int"))
-    parted.repartitionByRange("part", "slot", "doc_id").write.partitionBy("part").parquet(path)
-
-
-def read_bucket_lists(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("slot long, doc_id string, part int").parquet(path)
-
-
-def save_vector_buckets(corpus: DataFrame, path: str, tables: int = 16, width: int = 6,
-                        parts: int = 256) -> VectorBuckets:
-    """Store the bucket lists, so that searches neither compute codes nor read buckets nobody asks for.
-
-    ``width`` should grow with the logarithm of the corpus, ``parts`` (folders) with its size.
-    """
-    listed = vector_buckets(corpus, tables, width)
-    write_bucket_lists(listed, path, parts)
-    return replace(listed, entries=read_bucket_lists(corpus.sparkSession, path), parts=parts)
-
-
-def search_buckets(queries: DataFrame, buckets: VectorBuckets, n: int) -> DataFrame:
-    """Nearest neighbours among documents sharing a bucket with the query, re-ranked exactly.
-
-    An equi-join on the slot gives narrow candidate pairs, each kept once. The vectors of the
-    candidates are joined to them and scored by batch against the queries, which come in chunks of
-    bounded size. Slots of queries are broadcast when measured small; beyond that, hot buckets are
-    spread by document.
-    """
-    tables, width = buckets.tables, buckets.width
-    asked = queries.filter(F.col("query_vec").isNotNull()).select("query_id", "query_vec")
-    size = measure(asked)[1]
-    chunks = max(1, math.ceil(size / MATRIX_BYTES))
-    hits = reduce(DataFrame.unionByName, [
-        _score_candidates(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == i), buckets, tables, width, n)
-        for i in range(chunks)])
-    order = [scores.order_score(F.col("score")).desc(), F.col("doc_id")]
-    return top_per_group(hits, ["query_id"], order, n, ["doc_id"])
-
-
-def _score_candidates(asked: DataFrame, buckets: VectorBuckets, tables: int, width: int, n: int) -> DataFrame:
-    slots = bucket_slots(asked, "query_id", "query_vec", tables, width)
-    entries = buckets.entries
-    if "part" in entries.columns:
-        parts = slots.select(F.floor(F.col("slot") / buckets.slots_per_part).cast("int").alias("part"))
-        entries = restrict(entries, "part", parts).drop("part")
-    pairs = lookup_join(entries, slots, ["slot"], "inner", spread=["doc_id"])
-    # one row per candidate document with the queries it may answer, a list as long as the chunk at most
-    wanted = pairs.groupBy("doc_id").agg(F.collect_set("query_id").alias("asked_by"))
-    rows = lookup_join(buckets.vectors, wanted, ["doc_id"], "inner")
-    table = asked.toArrow()  # at most MATRIX_BYTES
-    matrix, valid = unit_rows(table.column("query_vec"))
-    ids = np.asarray(table.column("query_id"))[valid]
-    order = np.argsort(ids, kind="stable")
-    shared = asked.sparkSession.sparkContext.broadcast((ids[order], matrix[order]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_matrix = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs, _ = unit_rows(batch.column("embedding"), query_matrix.shape[1])
-            lists = batch.column("asked_by")
-            d = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-            q = np.searchsorted(query_ids, lists.flatten().to_numpy(zero_copy_only=False))
-            for a in range(0, len(d), PRODUCT_CELLS // 64):
-                i, j = d[a:a + PRODUCT_CELLS // 64], q[a:a + PRODUCT_CELLS // 64]
-                similarity = 1 - (1 - np.einsum("ij,ij->i", query_matrix[j], docs[i])) / 2
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(query_ids[j]), batch.column("doc_id").take(pa.array(i)), pa.array(similarity)],
-                    names=["query_id", "doc_id", "score"])
-
-    return rows.select("doc_id", "embedding", "asked_by").mapInArrow(score, HIT_SCHEMA)
-
-
-def vector_topk_approx(queries: DataFrame, corpus: DataFrame, n: int, tables: int = 16, width: int = 6) -> DataFrame:
-    """Approximate search of a corpus without stored buckets."""
-    return search_buckets(queries, vector_buckets(corpus, tables, width), n)
-
-
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
-    """Share of the exact hits that the approximate search found: queries, found, expected, recall."""
+    """Share of the exact hits that another search found: queries, found, expected, recall."""
     marks = approximate.select("query_id", "doc_id", F.lit(1).alias("hit"))
     joined = exact.select("query_id", "doc_id").join(marks, ["query_id", "doc_id"], "left")
     return joined.agg(F.count_distinct("query_id").alias("queries"), F.count("hit").alias("found"),

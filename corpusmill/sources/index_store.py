@@ -2,8 +2,10 @@
 
 A store is a folder of Parquet tables, written by one job at a time. A commit writes one segment: the
 documents it adds, replaces or deletes, their postings, and signed changes of the term counts; a line
-in the log makes it count. Readers take, for each id, its newest entry; ``newest`` lists those that are
-not in the first segment. Folding all segments into one is ``compact``.
+in the log makes it count. That line is a file that is there whole or not at all, and is never replaced, so a
+commit that dies leaves nothing that counts and of two writers of one version the second is refused.
+Readers take, for each id, its newest entry; ``newest`` lists those that are not in the first segment.
+Folding all segments into one is ``compact``.
 
 Documents lie in folders by a hash of their id, postings and term counts in folders by a hash of the
 term, sorted by term, so few ids or few terms are read without the rest. The number of folders is a
@@ -12,10 +14,13 @@ parameter of the store.
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +28,14 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text
 from corpusmill.operators import lexical
 from corpusmill.operators.lexical import LexicalIndex
-from corpusmill.operators.vector import VectorBuckets, read_bucket_lists, vector_buckets, write_bucket_lists
+from corpusmill.operators.vector_lists import VectorLists, read_codes, train_centroids, vector_codes, write_codes
 from corpusmill.runtime import (BROADCAST_BYTES, BROADCAST_ROWS, is_small, lookup_join, measure, restrict, scratch_dir,
                                 stored)
 from corpusmill.schema import CORPUS, STRING_MAP
 
-LOG = "segment string, kind string, batch string, last_seq long, folders int, width int, version long"
+# ``done`` of a base: the last batch of each job before it. ``lists``: vector lists wanted (0: by size), if any are kept.
+LOG = ("segment string, kind string, batch string, done array<string>, last_seq long, folders int, lists int, "
+       "version long")
 DOCS = ("doc_id string, doc_key string, seq long, op string, content string, "
         "metadata map<string,string>, embedding array<float>, folder int")
 POSTINGS = "doc_id string, term string, tf long, dl long, folder int"
@@ -37,8 +44,7 @@ HISTOGRAM = "df long, words long"
 NEWEST = "doc_id string, version long"
 FILES = "file_name string"
 STATS = "n long, total_dl long, mean_idf double"
-# Hash tables of stored vector buckets.
-VECTOR_TABLES = 16
+CENTROIDS = "list int, centre array<double>"
 
 
 @dataclass(frozen=True)
@@ -46,7 +52,7 @@ class Index:
     corpus: DataFrame       # doc_id, doc_key, content, metadata, embedding: live documents
     lexical: LexicalIndex
     folders: int | None = None  # of a stored corpus, which then has the column ``folder`` too
-    buckets: VectorBuckets | None = None  # for approximate vector search, if the store keeps them
+    lists: VectorLists | None = None  # for vector search by lists, if the store keeps them
 
 
 def as_corpus(df: DataFrame) -> DataFrame:
@@ -91,10 +97,55 @@ def _commits(spark: SparkSession, path: str) -> list:
 
 
 def _append_log(spark: SparkSession, path: str, version: int, segment: str, kind: str, batch: str | None,
-                last_seq: int, folders: int, width: int | None) -> None:
-    """The commit itself. A version that another writer has taken meanwhile is refused."""
-    row = spark.createDataFrame([(segment, kind, batch, last_seq, folders, width)], LOG.rsplit(",", 1)[0])
-    row.coalesce(1).write.mode("errorifexists").json(f"{path}/log/version={version}")
+                done: list[str], last_seq: int, folders: int, lists: int | None) -> None:
+    """The commit itself: one small file that appears whole. A version that another writer has taken is refused."""
+    row = json.dumps({"segment": segment, "kind": kind, "batch": batch, "done": done, "last_seq": last_seq,
+                      "folders": folders, "lists": lists})
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/log/version={version}")
+    row_file = jvm.org.apache.hadoop.fs.Path(folder, "row.json")
+    draft = jvm.org.apache.hadoop.fs.Path(folder, f".{uuid.uuid4().hex}")
+    files = folder.getFileSystem(conf)
+    files.mkdirs(folder)
+    out = files.create(draft, False)
+    out.write(bytearray(row.encode()))
+    out.close()
+    try:
+        if files.getScheme() == "file":  # a rename would replace a local file that appears meanwhile
+            local = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (row_file, draft)]
+            jvm.java.nio.file.Files.createLink(*local)
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), conf)
+            context.rename(draft, row_file, spark.sparkContext._gateway.new_array(
+                jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in str(error.java_exception):
+            raise
+        raise FileExistsError(f"another writer has committed version {version} of {path}") from error
+    finally:
+        files.delete(draft, False)
+
+
+def _done(commits: list) -> list[str]:
+    """The last batch of every job: names are a job's and a number."""
+    last: dict[str, str] = {}
+    for name in (x for r in commits for x in [*(r["done"] or []), r["batch"]] if x):
+        last[name.rpartition(" ")[0] or name] = name
+    return list(last.values())
+
+
+def _repeated(batch: str | None, commits: list) -> bool:
+    """Whether a batch was committed: by its name, or by a later number of its job before the last base."""
+    if batch is None:
+        return False
+    if batch in {r["batch"] for r in commits}:
+        return True
+    job, _, number = batch.rpartition(" ")
+    for name in (x for r in commits for x in r["done"] or []):
+        before, _, last = name.rpartition(" ")
+        if name == batch or job and before == job and number.isdigit() and last.isdigit() and int(number) <= int(last):
+            return True
+    return False
 
 
 def _table(spark: SparkSession, commits: list, name: str, schema: str) -> DataFrame:
@@ -131,11 +182,11 @@ def _write_by_folder(df: DataFrame, key: str, path: str, folders: int, order: li
 
 
 def save_index(corpus: DataFrame, path: str, seq: int = 0, folders: int | None = None,
-               vector_width: int | None = None) -> Index:
+               vector_lists: int | None = None) -> Index:
     """Write a corpus as the first segment of a store and open it.
 
-    With ``vector_width`` the store also keeps lists of vector buckets of so many bits, in step with all
-    commits, for approximate search; it should grow with the logarithm of the corpus.
+    With ``vector_lists`` the store also keeps codes of the vectors in so many lists (0: by their number), in
+    step with all commits, for searches that don't scan the vectors. Their centroids are trained again by ``compact``.
 
     ``folders`` is kept with the store; it should let a folder's documents be read by a few tasks, and
     defaults to the shuffle partitions. Of documents with one id one stays, as in a commit.
@@ -144,18 +195,20 @@ def save_index(corpus: DataFrame, path: str, seq: int = 0, folders: int | None =
     spark = corpus.sparkSession
     commits = _commits(spark, path)
     return _write_base(spark, path, commits, _as_entries(newest_change(changes)), None, _ledger(spark, commits),
-                       folders, seq, vector_width)
+                       folders, seq, vector_lists)
 
 
 def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame, batch: str | None,
                 files: DataFrame | None, folders: int | None, last_seq: int | None = None,
-                width: int | None = None) -> Index:
+                lists: int | None = None) -> Index:
     version = commits[-1]["version"] + 1 if commits else 0
-    width = commits[-1]["width"] if commits and width is None else width
+    lists = commits[-1]["lists"] if commits and lists is None else lists
     if folders is None:
         folders = commits[-1]["folders"] if commits else int(spark.conf.get("spark.sql.shuffle.partitions"))
     segment = f"{path}/segment-{version:08d}-{uuid.uuid4().hex}"
-    added = _write_docs(spark, segment, docs, files, folders, width)
+    added = _write_docs(spark, segment, docs, files, folders)
+    if lists is not None:
+        _write_vectors(spark, segment, added, folders, lists, None)
     postings = _write_postings(spark, segment, added, folders)
     _write_by_folder(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", f"{segment}/terms", folders,
                      ["term"])
@@ -167,22 +220,35 @@ def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame,
         "total_dl", postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).scalar())
     histogram = spark.read.schema(HISTOGRAM).parquet(f"{segment}/histogram")
     lexical.with_mean_idf(totals, histogram).coalesce(1).write.parquet(f"{segment}/stats")
-    _append_log(spark, path, version, segment, "base", batch, _last_seq(spark, segment, commits, last_seq), folders,
-                width)
+    _append_log(spark, path, version, segment, "base", batch, _done(commits),
+                _last_seq(spark, segment, commits, last_seq), folders, lists)
     return load_index(spark, path)
 
 
 def _write_docs(spark: SparkSession, segment: str, entries: DataFrame, files: DataFrame | None,
-                folders: int, width: int | None) -> DataFrame:
+                folders: int) -> DataFrame:
     """Write a segment's entries and file names; returns the added documents as stored."""
     columns = [c.split()[0] for c in DOCS.split(", ") if not c.startswith("folder")]
     _write_by_folder(entries.select(*columns), "doc_id", f"{segment}/docs", folders, ["doc_id"])
     ledger = spark.createDataFrame([], FILES) if files is None else files.select("file_name")
     ledger.write.parquet(f"{segment}/files")
-    added = spark.read.schema(DOCS).parquet(f"{segment}/docs").filter("op = 'add'")
-    if width is not None:
-        write_bucket_lists(vector_buckets(added, VECTOR_TABLES, width), f"{segment}/buckets", folders)
-    return added
+    return spark.read.schema(DOCS).parquet(f"{segment}/docs").filter("op = 'add'")
+
+
+def _write_vectors(spark: SparkSession, segment: str, docs: DataFrame, folders: int, lists: int,
+                   centroids: np.ndarray | None) -> None:
+    """Codes of a segment's vectors around given centroids, or around its own if there are none yet."""
+    own = centroids is None or not len(centroids)
+    centres = train_centroids(docs, lists or None) if own else centroids
+    rows = [(i, c.tolist()) for i, c in enumerate(centres)] if own else []
+    spark.createDataFrame(rows, CENTROIDS).write.parquet(f"{segment}/centroids")
+    write_codes(vector_codes(docs, centres), f"{segment}/codes", folders)
+
+
+def _centroids(spark: SparkSession, commits: list) -> np.ndarray:
+    """Centroids of the store: those of the first segment that had vectors."""
+    rows = _table(spark, commits, "centroids", CENTROIDS).orderBy("list").collect()
+    return np.array([r["centre"] for r in rows]) if rows else np.zeros((0, 0))
 
 
 def _write_postings(spark: SparkSession, segment: str, docs: DataFrame, folders: int) -> DataFrame:
@@ -215,8 +281,8 @@ def _open(spark: SparkSession, commits: list) -> Index:
     columns = ["doc_id", "doc_key", "content", "metadata", "embedding", "folder"]
     corpus = _entries(spark, [base]).filter("op = 'add'").select(*columns)
     postings = [_table(spark, [base], "postings", POSTINGS)]
-    width = base["width"]
-    lists = [] if width is None else [read_bucket_lists(spark, f"{r['segment']}/buckets") for r in commits]
+    kept = base["lists"] is not None
+    codes = [read_codes(spark, f"{r['segment']}/codes") for r in commits] if kept else []
     if later:
         newest = _table(spark, commits[-1:], "newest", NEWEST)
         small = is_small(newest)
@@ -226,20 +292,20 @@ def _open(spark: SparkSession, commits: list) -> Index:
         live = lookup_join(_entries(spark, later).filter("op = 'add'"), newest, ["doc_id", "version"], "left_semi",
                            small=small)
         corpus = corpus.unionByName(live.select(*columns))
-        lists = [lookup_join(part, changed, ["doc_id"], "left_anti", small=small) for part in lists[:1]] + lists[1:]
+        codes = [lookup_join(part, changed, ["doc_id"], "left_anti", small=small) for part in codes[:1]] + codes[1:]
         for i, r in enumerate(later, 1):
             own = newest.filter(F.col("version") == r["version"]).select("doc_id")
-            if lists:
-                lists[i] = lookup_join(lists[i], own, ["doc_id"], "left_semi", small=small)
+            if codes:
+                codes[i] = lookup_join(codes[i], own, ["doc_id"], "left_semi", small=small)
             postings.append(lookup_join(_table(spark, [r], "postings", POSTINGS), own, ["doc_id"], "left_semi",
                                         small=small))
     terms = _table(spark, commits, "terms", TERMS)
     stats = _table(spark, commits[-1:], "stats", STATS)
     folders = base["folders"]
-    buckets = None if width is None else VectorBuckets(
-        reduce(DataFrame.unionByName, lists), corpus.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding"),
-        VECTOR_TABLES, width, folders)
-    return Index(corpus, LexicalIndex(corpus.select("doc_id"), tuple(postings), terms, stats, folders), folders, buckets)
+    lists = VectorLists(_centroids(spark, commits), reduce(DataFrame.unionByName, codes),
+                        corpus.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding"),
+                        folders) if kept else None
+    return Index(corpus, LexicalIndex(corpus.select("doc_id"), tuple(postings), terms, stats, folders), folders, lists)
 
 
 def scan_corpus(index: Index) -> DataFrame:
@@ -247,9 +313,9 @@ def scan_corpus(index: Index) -> DataFrame:
     return index.corpus.select("doc_id", "content", "metadata")
 
 
-def stored_index(corpus: DataFrame, vector_width: int | None = None) -> Index:
+def stored_index(corpus: DataFrame, vector_lists: int | None = None) -> Index:
     """Store a corpus in the shared scratch folder and open it: each text is read and tokenised once."""
-    return save_index(corpus, scratch_dir(corpus.sparkSession, "index"), vector_width=vector_width)
+    return save_index(corpus, scratch_dir(corpus.sparkSession, "index"), vector_lists=vector_lists)
 
 
 # --- commits ------------------------------------------------------------------------------------
@@ -280,7 +346,7 @@ def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: st
     the terms that come or go. Those that go come from the replaced texts; postings are not read.
     """
     commits = _commits(spark, path)
-    if batch is not None and batch in {r["batch"] for r in commits}:
+    if _repeated(batch, commits):
         return load_index(spark, path)
     if "seq" not in changes.columns:
         following = commits[-1]["last_seq"] + 1 if commits else 0
@@ -301,8 +367,10 @@ def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: st
     known = lookup_join(stored_entries, ids, ["doc_id"], "left_semi", small=small).groupBy("doc_id").agg(
         F.max("seq").alias("known_seq"))
     fresh = wanted.join(known, "doc_id", "left").filter(F.col("seq") > F.coalesce("known_seq", F.lit(-1)))
-    width = commits[-1]["width"]
-    added = _write_docs(spark, segment, _as_entries(fresh.drop("known_seq")), files, folders, width)
+    lists = commits[-1]["lists"]
+    added = _write_docs(spark, segment, _as_entries(fresh.drop("known_seq")), files, folders)
+    if lists is not None:
+        _write_vectors(spark, segment, added, folders, lists, _centroids(spark, commits))
     touched = spark.read.schema(DOCS).parquet(f"{segment}/docs").select("doc_id")
     older = lookup_join(_table(spark, commits[-1:], "newest", NEWEST), touched, ["doc_id"], "left_anti", small=small)
     older.unionByName(touched.withColumn("version", F.lit(version).cast("long"))).write.parquet(f"{segment}/newest")
@@ -335,7 +403,7 @@ def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: st
         spark.read.schema(HISTOGRAM).parquet(f"{segment}/histogram"))
     merged = histogram.groupBy("df").agg(F.sum("words").alias("words"))
     lexical.with_mean_idf(totals, merged).coalesce(1).write.parquet(f"{segment}/stats")
-    _append_log(spark, path, version, segment, "delta", batch, _last_seq(spark, segment, commits), folders, width)
+    _append_log(spark, path, version, segment, "delta", batch, [], _last_seq(spark, segment, commits), folders, lists)
     return load_index(spark, path)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import collection
 from corpusmill.operators.lexical import bm25_topk, build_index, build_postings, document_frequencies, score_bm25
-from corpusmill.operators.vector import save_vector_buckets, search_buckets, vector_topk, vector_topk_approx
+from corpusmill.operators.vector import vector_topk
 from corpusmill.runtime import scratch_dir
 from corpusmill.sources.index_store import as_corpus
 
@@ -53,8 +53,7 @@ def test_small_changes_do_not_shuffle_the_corpus(table):
 
 def test_top_k_is_limited_before_the_shuffle(table, asked):
     corpus = as_corpus(table)
-    for df in (vector_topk(asked, corpus, 3), bm25_topk(asked, build_index(corpus), 3),
-               vector_topk_approx(asked, corpus, 3)):
+    for df in (vector_topk(asked, corpus, 3), bm25_topk(asked, build_index(corpus), 3)):
         text = plan(df)
         assert "WindowGroupLimit" in text and "Partial" in text
         assert "CartesianProduct" not in text and "NestedLoop" not in text
@@ -69,33 +68,6 @@ def test_shuffled_scoring_equals_broadcast_scoring(table, asked, monkeypatch):
     assert {(r.query_id, r.doc_id): round(r.score, 9) for r in got.collect()} == want
 
 
-def test_approximate_hits_are_exact_scores(table, asked):
-    corpus = as_corpus(table)
-    exact = {(r.query_id, r.doc_id): round(r.score, 9) for r in vector_topk(asked, corpus, 200).collect()}
-    for r in vector_topk_approx(asked, corpus, 5, tables=6, width=2).collect():
-        assert exact[r.query_id, r.doc_id] == round(r.score, 9)
-    assert vector_topk_approx(asked, corpus, 5, tables=6, width=1).count() == 10
-
-
-def test_stored_buckets_give_the_same_hits_from_fewer_parts(spark, table, asked, tmp_path):
-    corpus = as_corpus(table)
-    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id) for r in df.collect())
-    stored = save_vector_buckets(corpus, str(tmp_path / "b"), tables=4, width=4, parts=8)
-    found = search_buckets(asked, stored, 5)
-    assert rows(found) == rows(vector_topk_approx(asked, corpus, 5, tables=4, width=4))
-    assert "PartitionFilters: [part" in plan(found)
-
-
-def test_shuffled_buckets_equal_broadcast_buckets(table, asked, monkeypatch):
-    corpus = as_corpus(table)
-    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id) for r in df.collect())
-    want = rows(vector_topk_approx(asked, corpus, 5, tables=4, width=2))
-    monkeypatch.setattr("corpusmill.operators.vector.MATRIX_BYTES", 40)  # two chunks
-    monkeypatch.setattr("corpusmill.runtime.BROADCAST_ROWS", 0)
-    monkeypatch.setattr("corpusmill.runtime.HOT_ROWS", 20)
-    assert rows(vector_topk_approx(asked, corpus, 5, tables=4, width=2)) == want
-
-
 def test_scratch_folder(spark):
     def session(master, conf):
         context = SimpleNamespace(getCheckpointDir=lambda: None, master=master, applicationId="app-1")

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,8 +102,68 @@ def test_ids_given_twice_are_stored_once(spark):
 def test_a_version_is_written_once(spark):
     folder = scratch_dir(spark, "store")
     store.save_index(spark.createDataFrame([("a", "x")], "doc_id string, content string"), folder)
-    with pytest.raises(Exception, match="already exists"):
-        store._append_log(spark, folder, 0, "elsewhere", "delta", None, 0, 1, None)
+    with pytest.raises(FileExistsError, match="another writer"):
+        store._append_log(spark, folder, 0, "elsewhere", "delta", None, [], 0, 1, None)
+    assert [r["kind"] for r in store._commits(spark, folder)] == ["base"]
+
+
+def test_two_writers_of_one_version(spark):
+    """Both prepare version 1 on what they saw; one row counts and the other writer is told."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = scratch_dir(spark, "store")
+    store.save_index(spark.createDataFrame([("a", "x")], "doc_id string, content string"), folder)
+
+    def append(i):
+        try:
+            store._append_log(spark, folder, 1, f"segment-{i}", "delta", None, [], 0, 1, None)
+            return i
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [i for i in pool.map(append, range(8)) if i is not None]
+    assert len(won) == 1
+    assert [r["segment"] for r in store._commits(spark, folder)][1:] == [f"segment-{won[0]}"]
+
+
+def test_a_commit_that_dies_in_its_log_write_blocks_nothing(spark, monkeypatch):
+    folder = scratch_dir(spark, "store")
+    one = spark.createDataFrame([("a", "x")], "doc_id string, content string")
+    store.save_index(one, folder)
+    added = spark.createDataFrame([("b", "y")], "doc_id string, content string").withColumn("op", F.lit("add"))
+
+    def dies(spark, path, version, *_):  # the folder and a torn draft are left behind
+        os.makedirs(f"{path}/log/version={version}/_temporary/0")
+        with open(f"{path}/log/version={version}/.draft", "w") as torn:
+            torn.write('{"segment": "no')
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "_append_log", dies)
+        with pytest.raises(KeyboardInterrupt):
+            store.commit_changes(spark, folder, added, "job 0")
+    assert state(store.load_index(spark, folder))[0] == {"a": "x"}
+    index = store.commit_changes(spark, folder, added, "job 0")
+    assert state(index) == rebuilt(spark, [("a", "x"), ("b", "y")])
+    assert state(store.commit_changes(spark, folder, added.withColumn("content", F.lit("z")), "job 0")) == state(index)
+
+
+def test_replayed_batches_are_known_after_compact(spark):
+    folder = scratch_dir(spark, "store")
+    store.save_index(spark.createDataFrame([("a", "x")], "doc_id string, content string"), folder)
+
+    def commit(text, batch):
+        rows = spark.createDataFrame([("a", text)], "doc_id string, content string").withColumn("op", F.lit("add"))
+        store.commit_changes(spark, folder, rows, batch)
+        return state(store.load_index(spark, folder))[0]["a"]
+
+    assert commit("one", "job 9") == "one" and commit("two", "job 10") == "two"
+    assert commit("by name", "load") == "by name"
+    for _ in range(2):
+        store.compact(spark, folder)
+        assert commit("again", "job 10") == commit("again", "job 9") == commit("again", "load") == "by name"
+    assert commit("other", "other 3") == "other" and commit("next", "job 11") == "next"
 
 
 def test_zeros_outrank_negative_scores(spark):
@@ -119,16 +181,32 @@ def test_zeros_outrank_negative_scores(spark):
     assert [d for d, _ in found] == [d for d, _ in want]
 
 
-def test_vector_buckets_follow_commits(spark):
+def test_vector_lists_follow_commits(spark):
     folder = scratch_dir(spark, "store")
     schema = "doc_id string, content string, embedding array<float>"
     base = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("b", "y", [0.0, 1.0]), ("c", "z", None)], schema)
-    store.save_index(base, folder, vector_width=1)
+    store.save_index(base, folder, vector_lists=2)
     changes = spark.createDataFrame([("b", "y", [1.0, 0.1]), ("d", "w", [0.9, 0.0])], schema)
     store.commit_changes(spark, folder, changes.withColumn("op", F.lit("add")))
     gone = spark.createDataFrame([("a",)], "doc_id string").withColumn("op", F.lit("delete"))
     index = store.commit_changes(spark, folder, gone)
     query = spark.createDataFrame([(1, "none", [1.0, 0.0])], "query_id long, query string, query_vec array<float>")
-    exact, near = (sorted(map(tuple, search(query, index, 2, approximate=a).drop("metadata").collect())) for a in (False, True))
+    exact, near = (sorted(map(tuple, search(query, index, 2, by_lists=b).drop("metadata").collect())) for b in (False, True))
     assert exact == near and {r[2] for r in near} == {"b", "d"}
-    assert store.compact(spark, folder).buckets.entries.select("doc_id").distinct().count() == 2
+    assert store.compact(spark, folder).lists.codes.select("doc_id").distinct().count() == 2
+
+
+def test_vector_lists_of_a_store_that_began_without_vectors(spark):
+    folder = scratch_dir(spark, "store")
+    schema = "doc_id string, content string, embedding array<float>"
+    store.save_index(spark.createDataFrame([("a", "x", None)], schema), folder, vector_lists=0)
+    query = spark.createDataFrame([(1, "none", [1.0, 0.0])], "query_id long, query string, query_vec array<float>")
+    from corpusmill.operators.vector_lists import search_lists
+
+    assert search_lists(query, store.load_index(spark, folder).lists, 2).count() == 0
+    for doc, vector in (("b", [0.0, 1.0]), ("d", [1.0, 0.5])):
+        rows = spark.createDataFrame([(doc, "y", vector)], schema).withColumn("op", F.lit("add"))
+        index = store.commit_changes(spark, folder, rows)
+    assert [r.doc_id for r in search_lists(query, index.lists, 2).orderBy("rank").collect()] == ["d", "b"]
+    with pytest.raises(ValueError, match="vector_lists"):
+        search(query, store.stored_index(spark.createDataFrame([("a", "x", None)], schema)), by_lists=True)
