@@ -27,97 +27,113 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.words import Codes, slices, texts_of
 
-# Chunks of these characters are lower-cased and cut into pre-tokens here; any other chunk is encoded
-# by the tokenizer as it is. All of them are single, composed code points with one lower-case form.
-PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# Texts of these characters and ASCII blanks are lower-cased and cut into pre-tokens here. In other texts that is
+# done between the chunks that hold other characters, which the tokenizer encodes as they are. All
+# characters are single, composed code points with one lower-case form.
+PLAIN = r"!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+BLANK = r"\x20\x09-\x0d"
+PLAIN_TEXT = re.compile(f"[{PLAIN}{BLANK}]*")
 PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|"
-                        r"[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+                        rf"[^a-z0-9\u00df-\u00f6\u00f8-\u00ff{BLANK}]+")
 
 
-class ChunkTokenizer:
-    """Token ids of whole texts, encoding each distinct chunk between blanks, and each pre-token, once.
+class PieceTokenizer:
+    """Token ids of whole texts, encoding each distinct pre-token once.
 
     Equal to encoding the whole text with a tokenizer that lower-cases, drops white space, cuts
     pre-tokens by the pattern above with letters and digits of any script, and ends the last token of
-    each pre-token with a mark. ``remembered`` bounds the chunks kept in memory.
+    each pre-token with a mark. Beyond ``remembered`` pre-tokens the less used half is forgotten.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         self._tokenizer = tokenizers.Tokenizer.from_file(path)
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._remembered = remembered
-        self._reset()
-
-    def _reset(self):
-        self._codes, self._known, self._used = Codes(), 0, 0
-        self._pre: dict[str, np.ndarray] = {}
-        self._ids = np.zeros(1 << 16, np.uint32)
-        self._start = np.zeros(1 << 16, np.int64)
-        self._length = np.zeros(1 << 16, np.int64)
+        self._codes = Codes()
+        self._start, self._length, self._uses = (np.zeros(0, np.int64) for _ in range(3))
+        self._ids = np.zeros(0, np.uint32)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _encode_pre(self, fresh: list[str]) -> None:
-        """Ids of pre-tokens, many in one call; the end marks tell them apart."""
-        for a in range(0, len(fresh), 8192):
-            part = fresh[a:a + 8192]
-            ids = self._encode(" ".join(part))
-            runs = np.split(ids, np.flatnonzero(self._ends[ids])[:-1] + 1)
-            self._pre.update(zip(part, runs if len(runs) == len(part) else map(self._encode, part)))
-
-    def _learn(self):
-        fresh = list(self._codes)[self._known:]
-        cut: list[list[str] | str] = []
-        new: dict[str, None] = {}
-        for chunk in map(bytes.decode, fresh):
-            if PLAIN.fullmatch(chunk) and "<|" not in chunk:
-                cut.append(PRE_TOKENS.findall(chunk.lower()))
-                new.update(dict.fromkeys(cut[-1]))
-            else:
-                cut.append(chunk)
-        self._encode_pre([p for p in new if p not in self._pre])
-        ids: list[np.ndarray] = []
-        ends = []
-        for pieces in cut:
-            if isinstance(pieces, str):
-                ids.append(self._encode(pieces))
-            else:
-                ids += [self._pre[p] for p in pieces]
-            ends.append(len(ids))
-        piece_ends = np.cumsum([len(x) for x in ids])
-        flat = np.concatenate(ids)
-        lengths = np.diff(piece_ends[np.array(ends) - 1], prepend=0)
-        while self._used + len(flat) > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        while len(self._codes) > len(self._start):
-            self._start = np.concatenate([self._start, np.zeros_like(self._start)])
-            self._length = np.concatenate([self._length, np.zeros_like(self._length)])
-        self._ids[self._used:self._used + len(flat)] = flat
-        self._length[self._known:len(self._codes)] = lengths
-        self._start[self._known:len(self._codes)] = self._used + np.cumsum(lengths) - lengths
-        self._used += len(flat)
-        self._known = len(self._codes)
+    def _runs(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens and their number for each, in one call; the end marks tell them apart."""
+        ids = self._encode(" ".join(part))
+        lengths = np.diff(np.flatnonzero(self._ends[ids]), prepend=-1)
+        if len(lengths) == len(part) and lengths.sum() == len(ids):
+            return ids, lengths
+        runs = [self._encode(p) for p in part]
+        return np.concatenate(runs), np.array([len(r) for r in runs], np.int64)
+
+    def _learn(self) -> None:
+        known = len(self._start)
+        fresh = list(self._codes)[known:]
+        runs = []
+        for odd in (False, True):  # a whole chunk is marked by a blank before it
+            mine = [i for i, p in enumerate(fresh) if p.startswith(" ") is odd]
+            for a in range(0, len(mine), 1 if odd else 8192):
+                part = mine[a:a + (1 if odd else 8192)]
+                if odd:
+                    ids = self._encode(fresh[part[0]][1:])
+                    runs.append((part, ids, np.array([len(ids)])))
+                else:
+                    runs.append((part, *self._runs([fresh[i] for i in part])))
+        start, length = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        used = len(self._ids)
+        for part, ids, lengths in runs:
+            start[part], length[part] = used + np.cumsum(lengths) - lengths, lengths
+            used += len(ids)
+        self._ids = np.concatenate([self._ids, *[ids for _, ids, _ in runs]])
+        self._start, self._length = np.concatenate([self._start, start]), np.concatenate([self._length, length])
+        self._uses = np.concatenate([self._uses, np.zeros(len(fresh), np.int64)])
+
+    def _forget(self) -> None:
+        kept = np.sort(np.argsort(-self._uses, kind="stable")[:self._remembered // 2])
+        words = list(self._codes)
+        self._codes = Codes((words[i], j) for j, i in enumerate(kept.tolist()))
+        self._ids = self._gathered(kept)
+        self._length, self._uses = self._length[kept], self._uses[kept] // 2
+        self._start = np.cumsum(self._length) - self._length
+
+    def _gathered(self, codes: np.ndarray) -> np.ndarray:
+        lengths = self._length[codes]
+        before = np.cumsum(lengths) - lengths
+        return self._ids[np.repeat(self._start[codes] - before, lengths) + np.arange(int(lengths.sum()))]
+
+    def _pre_tokens(self, text: str) -> list[str]:
+        if "<|" not in text and PLAIN_TEXT.fullmatch(text):
+            return PRE_TOKENS.findall(text.lower())
+        out = []
+        for chunk in text.encode().split():  # at ASCII blanks
+            chunk = chunk.decode()
+            out += (PRE_TOKENS.findall(chunk.lower()) if "<|" not in chunk and PLAIN_TEXT.fullmatch(chunk)
+                    else [" " + chunk])
+        return out
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self._codes) > self._remembered:
-            self._reset()
+            self._forget()
         number = self._codes.__getitem__
         runs = []
         for text in texts:
-            chunks = text.split()
-            runs.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
-        if len(self._codes) > self._known:
+            pieces = self._pre_tokens(text.decode())
+            runs.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
+        if len(self._codes) > len(self._start):
             self._learn()
-        out = []
-        for codes in runs:
-            lengths = self._length[codes]
-            before = np.cumsum(lengths) - lengths
-            at = np.repeat(self._start[codes] - before, lengths) + np.arange(int(lengths.sum()))
-            out.append(self._ids[at])
-        return out
+        self._uses += np.bincount(np.concatenate(runs), minlength=len(self._uses)) if runs else 0
+        return [self._gathered(codes) for codes in runs]
+
+
+_LOADED: dict[str, PieceTokenizer] = {}
+
+
+def loaded_tokenizer(path: str) -> PieceTokenizer:
+    """The tokenizer of a Python worker, kept with what it remembers for the worker's later tasks."""
+    if path not in _LOADED:
+        _LOADED[path] = PieceTokenizer(path)
+    return _LOADED[path]
 
 
 def assign(lengths: list[int], sizes: list[int], linear: float, quadratic: float) -> list[list[tuple[int, int, int, int]]]:
@@ -171,7 +187,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
                         ("ids", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkTokenizer(tokenizer)
+        encode = loaded_tokenizer(tokenizer)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         waiting: list[tuple[object, int, int, np.ndarray]] = []  # (id, ids before, document's ids, ids)
         tokens = 0

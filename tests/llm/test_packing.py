@@ -7,7 +7,7 @@ from conftest import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusmill.llm.packing import ChunkTokenizer, assign, pack_documents, power_sizes
+from corpusmill.llm.packing import PieceTokenizer, assign, pack_documents, power_sizes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE = tokenizers.Tokenizer.from_file(PATH)
@@ -19,13 +19,23 @@ awkward = st.text(st.one_of(st.characters(max_codepoint=0x17F), st.characters(ex
 @settings(max_examples=300, deadline=None)
 @given(st.lists(awkward, max_size=8))
 def test_chunks_equal_whole_texts(texts):
-    got = ChunkTokenizer(PATH, 50)([t.encode() for t in texts])
+    got = PieceTokenizer(PATH, 50)([t.encode() for t in texts])
     assert [x.tolist() for x in got] == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_forgetting_keeps_the_ids_right():
+    encode = PieceTokenizer(PATH, 12)
+    for i in range(40):
+        text = prose(i % 7, 9) + f" the of, {i} x\u4e2d{i}"
+        for _ in range(2):
+            assert encode([text.encode()])[0].tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+        assert len(encode._codes) < 12 // 2 + 30
+    assert encode([]) == []
+
+
 def test_special_tokens_in_texts():
     text = "a <|endoftext|> b<|startoftext|>c it's THEY'LL"
-    assert ChunkTokenizer(PATH)([text.encode()])[0].tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+    assert PieceTokenizer(PATH)([text.encode()])[0].tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
