@@ -134,8 +134,9 @@ def test_a_commit_that_dies_in_its_log_write_blocks_nothing(spark, monkeypatch):
     added = spark.createDataFrame([("b", "y")], "doc_id string, content string").withColumn("op", F.lit("add"))
 
     def dies(spark, path, version, *_):  # the folder and a torn draft are left behind
-        os.makedirs(f"{path}/log/version={version}/_temporary/0")
-        with open(f"{path}/log/version={version}/.draft", "w") as torn:
+        row = f"{path.removeprefix('file:')}/log/version={version}"
+        os.makedirs(f"{row}/_temporary/0")
+        with open(f"{row}/.draft", "w") as torn:
             torn.write('{"segment": "no')
         raise KeyboardInterrupt
 
