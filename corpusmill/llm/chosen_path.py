@@ -45,13 +45,13 @@ SMALL_SETS = 1024
 SMALL_GRAMS = 4_000_000
 FEW_SETS = 4
 # Levels that nodes branch before they are counted, from the root and then each time.
-FIRST_LEVELS = 2
+FIRST_LEVELS = 3
 MORE_LEVELS = 4
 # After so many counts large nodes are compared in pairs of blocks.
 MOST_COUNTS = 24
 # A node is dense if so large a share of it may be linked to its pivot.
 DENSE = 0.1
-PIVOT_BLOCK = 1024
+PIVOT_BLOCK = 128
 SKETCH_SIGMAS = 4.75
 # Sketch pairs and cells of an incidence matrix held at once.
 PAIRS = 1 << 17
@@ -383,7 +383,7 @@ def _pivot_step(rows: DataFrame, texts: _Texts, n: int, percent: int, limit: int
     may_near = F.col("agree") >= sketch_bound(2 * percent / 100 - 1)
     dense = stored(compared.groupBy("path").agg(F.avg(may_link.cast("int")).alias("share")).filter(F.col("share") >= DENSE)
                    .select("path"), "path-dense")
-    close = stored(lookup_join(compared, dense, ["path"], spread=["grams"]).filter(may_near)
+    close = stored(lookup_join(compared, dense, ["path"], "left_semi", spread=["grams"]).filter(may_near)
                    .groupBy("pivot", "grams").agg(F.max(may_link).alias("may_link")), "path-close")
     checked = close.filter("may_link")
     blocks = checked.groupBy("pivot").agg(_block(F.count(F.lit(1)), PIVOT_BLOCK).alias("blocks"))
