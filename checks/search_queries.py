@@ -133,16 +133,25 @@ def corpus_stats(t: Tables) -> DataFrame:
     return lexical.corpus_stats(as_corpus(corpus(t))).withColumn("avgdl", F.round("avgdl", 4))
 
 
-@query(f"WITH {CORPUS_SQL}, {TERMS_SQL} SELECT term, df, round(idf, 4) AS idf FROM idfs")
+# Texts alone, where nothing else of the corpus is asked for.
+TEXTS_SQL = """
+corpus AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS content FROM documents),
+questions AS (SELECT item_id AS query_id, text AS query FROM benchmark)"""
+
+
+@query(f"WITH {TEXTS_SQL}, {TERMS_SQL} SELECT term, df, round(idf, 4) AS idf FROM idfs")
 def bm25_idf(t: Tables) -> DataFrame:
-    index = lexical.build_index(as_corpus(corpus(t)))
+    index = lexical.build_index(as_corpus(documents_table(t)))
     return lexical.idf_table(index.terms, index.stats).withColumn("idf", F.round("idf", 4))
 
 
-@query(f"WITH {CORPUS_SQL}, {TERMS_SQL}, {BM25_SQL} SELECT query_id, term, round(weight, 4) AS weight FROM weights")
+WEIGHTS_SQL = BM25_SQL[:BM25_SQL.index("matched AS")].rstrip().rstrip(",")
+
+
+@query(f"WITH {TEXTS_SQL}, {TERMS_SQL}, {WEIGHTS_SQL} SELECT query_id, term, round(weight, 4) AS weight FROM weights")
 def bm25_index(t: Tables) -> DataFrame:
-    index = stored_index(corpus(t)).lexical
-    return lexical.query_weights(questions(t), index).withColumn("weight", F.round("weight", 4))
+    index = stored_index(documents_table(t)).lexical
+    return lexical.query_weights(questions(t), index).select("query_id", "term", F.round("weight", 4).alias("weight"))
 
 
 @query(f"WITH {CORPUS_SQL}, {TERMS_SQL}, {BM25_SQL} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM bm25_list")
@@ -151,6 +160,12 @@ def bm25_topk(t: Tables) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", scores.round4(F.col("score")).alias("score"))
 
 
+@query(f"WITH {CORPUS_SQL}, {TERMS_SQL}, {BM25_SQL} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM bm25_list")
+def bm25_topk_blocks(t: Tables) -> DataFrame:
+    """By bounds, however few the postings are."""
+    return shown(lexical.bm25_topk(questions(t), stored_index(corpus(t)).lexical, N, many_postings=0))
+
+
 # --- vectors ---------------------------------------------------------------------------------------
 
 VECTORS_SQL = "having AS (SELECT CAST(vec_id AS VARCHAR) AS doc_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"

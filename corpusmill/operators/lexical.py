@@ -1,12 +1,13 @@
 """Lexical side of the search: postings, statistics, BM25 scores.
 
-Stored postings lie in folders by a hash of the term, sorted by term. The terms of a query batch are
-given to the scan, which reads only where they lie; what they match is summed per query and document
-in one shuffle.
+Stored postings lie in folders by a hash of the term, sorted by term and block. A query batch reads the
+folders of its terms. If these have few postings, what they match is summed per query and document in
+one shuffle; else only blocks that can matter are read (``operators.bounded``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
@@ -15,7 +16,11 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scores, text
-from corpusmill.runtime import few_values, is_small, lookup_join, stored, top_per_group
+from corpusmill.operators.bounded import BlockSearch, Weighting
+from corpusmill.runtime import is_small, lookup_join, near, stored, top_per_group
+
+# From so many postings of a batch's terms on, their blocks are chosen by bounds before they are read.
+MANY_POSTINGS = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -23,10 +28,11 @@ class LexicalIndex:
     """``postings`` come in parts holding different documents; ``terms`` rows of one term add up."""
 
     docs: DataFrame                   # doc_id: every live document, matched or not
-    postings: tuple[DataFrame, ...]   # doc_id, term, tf, dl (and folder, if stored)
+    postings: tuple[DataFrame, ...]   # doc_id, term, tf, dl (and block, folder, if stored)
     terms: DataFrame                  # term, df (and folder, if stored)
     stats: DataFrame                  # one row: n, total_dl, mean_idf
     folders: int | None = None        # number of folders that terms are hashed to, if stored
+    blocks: tuple[DataFrame, ...] = ()  # directories of the postings' blocks, if stored
 
     @cached_property
     def totals(self) -> Row:
@@ -97,32 +103,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def where_terms_lie(words: DataFrame, index: LexicalIndex) -> Callable[[DataFrame], DataFrame]:
-    """Reduce stored tables to the folders of the given terms, and to the terms if they are few."""
+    """Reduce stored tables to the folders of the given terms."""
     if index.folders is None:
         return lambda table: table
-    asked = words.select("term", F.pmod(F.xxhash64("term"), F.lit(index.folders)).cast("int").alias("folder"))
-    folders, terms = few_values(asked, "folder"), few_values(asked, "term")
-
-    def reduced(table: DataFrame) -> DataFrame:
-        table = table if folders is None else table.filter(F.col("folder").isin(folders))
-        return (table if terms is None else table.filter(F.col("term").isin(terms))).drop("folder")
-
-    return reduced
+    return lambda table: near(table, "term", words, index.folders).drop("folder")
 
 
 def query_weights(queries: DataFrame, index: LexicalIndex, epsilon: float = scores.EPSILON,
-                  small: bool | None = None, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """idf x multiplicity per query term; terms the corpus lacks weigh nothing and are dropped."""
+                  small: bool | None = None) -> DataFrame:
+    """idf x multiplicity per query term, and df; terms the corpus lacks weigh nothing and are dropped."""
     words = query_terms(queries)
     if small if small is not None else is_small(words):
-        known = (near or where_terms_lie(words, index))(index.terms).join(F.broadcast(words), "term")
+        known = where_terms_lie(words, index)(index.terms).join(F.broadcast(words), "term")
     else:  # a term may occur in most queries: spread those, copy its one row of the index
         known = lookup_join(words, index.terms.select("term", "df"), ["term"], "inner", spread=["query_id"],
                             small=False)
     known = known.groupBy("query_id", "term", "qtf").agg(F.sum("df").alias("df")).filter(F.col("df") > 0)
     raw = scores.raw_idf(F.lit(index.totals["n"]), F.col("df"))
     idf = scores.floored_idf(raw, F.lit(index.totals["mean_idf"]), epsilon)
-    return known.select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
+    return known.select("query_id", "term", (F.col("qtf") * idf).alias("weight"), "df")
 
 
 def score_bm25(queries: DataFrame, index: LexicalIndex, k1: float = scores.K1, b: float = scores.B,
@@ -130,15 +129,23 @@ def score_bm25(queries: DataFrame, index: LexicalIndex, k1: float = scores.K1, b
     """BM25 per query and matched document: query_id, doc_id, score."""
     if small is None:
         small = is_small(query_terms(queries))
-    near = where_terms_lie(query_terms(queries), index) if small else lambda table: table
-    weights = query_weights(queries, index, epsilon, small, near if small else None)
-    avgdl = F.lit(index.totals["total_dl"] / max(index.totals["n"], 1))
-    summand = F.col("weight") * scores.term_weight(F.col("tf"), F.col("dl"), avgdl, k1, b)
+    return _summed(query_terms(queries), query_weights(queries, index, epsilon, small), index, k1, b, small)
+
+
+def weighting(index: LexicalIndex, k1: float = scores.K1, b: float = scores.B) -> Weighting:
+    return Weighting(index.totals["total_dl"] / max(index.totals["n"], 1), k1, b)
+
+
+def _summed(words: DataFrame, weights: DataFrame, index: LexicalIndex, k1: float, b: float, small: bool) -> DataFrame:
+    """Weighted postings of all query terms, summed per query and document."""
+    reduced = where_terms_lie(words, index)
+    weights = weights.select("query_id", "term", "weight")
+    summand = F.col("weight") * weighting(index, k1, b).of(F.col("tf"), F.col("dl"))
 
     counts = index.terms.groupBy("term").agg(F.sum("df").alias("n"))
 
     def score(postings: DataFrame) -> DataFrame:
-        matched = lookup_join(near(postings), weights, ["term"], "inner", spread=["doc_id"], small=small, counts=counts)
+        matched = lookup_join(reduced(postings), weights, ["term"], "inner", spread=["doc_id"], small=small, counts=counts)
         return matched.select("query_id", "doc_id", summand.alias("score"))
 
     # a document's postings are all in one part
@@ -147,9 +154,12 @@ def score_bm25(queries: DataFrame, index: LexicalIndex, k1: float = scores.K1, b
 
 
 def bm25_topk(queries: DataFrame, index: LexicalIndex, n: int, k1: float = scores.K1, b: float = scores.B,
-              epsilon: float = scores.EPSILON, small: bool | None = None) -> DataFrame:
+              epsilon: float = scores.EPSILON, small: bool | None = None, many_postings: int = MANY_POSTINGS) -> DataFrame:
     """Best ``n`` of *all* documents per query, documents scoring zero included, ties by doc_id.
 
+    If the batch's terms have ``many_postings`` or more in a stored index, only those in blocks that can matter
+    are read; hits and scores are the same.
+
     A document outside the postings of a query scores zero. The ``2n`` smallest ids always hold ``n``
     documents that are not among fewer than ``n`` positive ones, so only those are offered as padding.
 
@@ -158,8 +168,9 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex, n: int, k1: float = score
     for every query.
     """
     order = [scores.order_score(F.col("score")).desc(), F.col("doc_id")]
-    scored = score_bm25(queries, index, k1, b, epsilon, small)
-    if (index.totals["mean_idf"] or 0) < 0:
+    negative = (index.totals["mean_idf"] or 0) < 0
+    scored = _scored(queries, index, n, k1, b, epsilon, small, math.inf if negative else many_postings)
+    if negative:
         best = scored = stored(scored, "scored")
         offered_ids = _smallest_ids(index.docs, scored, n, index.totals["n"])
     else:
@@ -173,6 +184,26 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex, n: int, k1: float = score
     return top_per_group(summed, ["query_id"], order, n, ["doc_id"])
 
 
+def _scored(queries: DataFrame, index: LexicalIndex, n: int, k1: float, b: float, epsilon: float, small: bool | None,
+            many_postings: float) -> DataFrame:
+    """Scores of all matched documents, or by bounds of those that can be among the best ``n``."""
+    words = query_terms(queries)
+    if small is None:
+        small = is_small(words)
+    weights = query_weights(queries, index, epsilon, small)
+    if not index.blocks or many_postings == math.inf:
+        return _summed(words, weights, index, k1, b, small)
+    weights = stored(weights, "query-weights")
+    postings = weights.select("term", "df").distinct().agg(F.sum("df").alias("n")).first()["n"] or 0
+    if postings < many_postings:
+        return _summed(words, weights, index, k1, b, small)
+    reduced = where_terms_lie(weights, index)
+    named = weights.select("term").distinct()
+    parts = [(reduced(p), lookup_join(reduced(d), named, ["term"], "left_semi", spread=["block"], small=small))
+             for p, d in zip(index.postings, index.blocks)]
+    return BlockSearch(weights.select("query_id", "term", "weight"), parts, weighting(index, k1, b), n).scores()
+
+
 def _smallest_ids(docs: DataFrame, scored: DataFrame, n: int, total: int) -> DataFrame:
     """The smallest document ids, so many that every query leaves ``n`` of them unmatched."""
     wanted = 4 * n

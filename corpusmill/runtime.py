@@ -21,9 +21,9 @@ GROUP_LIMIT = 1000
 # A key with more rows than this on the large side of a shuffle join is spread over several tasks.
 HOT_ROWS = 5_000_000
 SALTS = 64
-# Up to this many ids are given to a scan as a literal list, which prunes buckets and row groups.
-# Longer lists cost more planning than they save.
-LITERAL_IDS = 512
+# Up to this many values are given to a scan as a literal list, which prunes row groups. From longer lists the
+# reader makes one range (spark.sql.parquet.pushdown.inFilterThreshold), which prunes next to nothing.
+PUSHED_VALUES = 10
 
 
 _LOCAL_BASE: dict[str, str] = {}
@@ -97,20 +97,22 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     return salted.drop("_tasks").join(copies.drop("_tasks"), [*on, "_salt"], how).drop("_salt")
 
 
-def few_values(df: DataFrame, key: str, limit: int = LITERAL_IDS) -> list | None:
-    """The distinct values of a column if there are at most ``limit``."""
-    values = [r[0] for r in df.select(key).distinct().limit(limit + 1).collect()]
-    return values if len(values) <= limit else None
+def folder_of(key: str, folders: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")
 
 
-def restrict(df: DataFrame, key: str, wanted: DataFrame, limit: int = LITERAL_IDS) -> DataFrame:
-    """``df`` reduced to the keys occurring in ``wanted`` when these are few, else ``df`` as it is.
+def near(df: DataFrame, key: str, wanted: DataFrame, folders: int) -> DataFrame:
+    """``df``, in folders by a hash of ``key``, reduced to the folders that hold keys of ``wanted``, however many.
 
-    The keys become a literal list, so a table in folders by ``key`` is read only in those that hold
-    them. Only a saving: callers still join.
+    The folders are joined as a broadcast side, one row per folder at most, and Spark's dynamic partition
+    pruning reads only those. Up to PUSHED_VALUES keys also prune row groups. Only a saving: callers still join.
     """
-    keys = few_values(wanted, key, limit)
-    return df if keys is None else df.filter(F.col(key).isin(keys))
+    # Spark prunes only by a side that has a filter.
+    asked = wanted.select(folder_of(key, folders).alias("folder")).distinct().filter(F.col("folder") >= 0)
+    values = [r[0] for r in wanted.select(key).distinct().limit(PUSHED_VALUES + 1).collect()]
+    if len(values) <= PUSHED_VALUES:
+        df = df.filter(F.col(key).isin(values))
+    return df.join(F.broadcast(asked), ["folder"], "left_semi")
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int,

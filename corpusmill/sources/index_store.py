@@ -22,15 +22,16 @@ from functools import reduce
 import numpy as np
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 from corpusmill.operators import lexical
+from corpusmill.operators.bounded import block_directory, with_blocks
 from corpusmill.operators.lexical import LexicalIndex
 from corpusmill.operators.vector_lists import VectorLists, read_codes, train_centroids, vector_codes, write_codes
-from corpusmill.runtime import (BROADCAST_BYTES, BROADCAST_ROWS, is_small, lookup_join, measure, restrict, scratch_dir,
-                                stored)
+from corpusmill.runtime import (BROADCAST_BYTES, BROADCAST_ROWS, folder_of, is_small, lookup_join, measure, near,
+                                scratch_dir, stored)
 from corpusmill.schema import CORPUS, STRING_MAP
 
 # ``done`` of a base: the last batch of each job before it. ``lists``: vector lists wanted (0: by size), if any are kept.
@@ -38,7 +39,8 @@ LOG = ("segment string, kind string, batch string, done array<string>, last_seq
        "version long")
 DOCS = ("doc_id string, doc_key string, seq long, op string, content string, "
         "metadata map<string,string>, embedding array<float>, folder int")
-POSTINGS = "doc_id string, term string, tf long, dl long, folder int"
+POSTINGS = "doc_id string, term string, tf long, dl long, block int, folder int"
+BLOCKS = "term string, block int, n long, tf long, dl long, weight double, mean double, folder int"
 TERMS = "term string, df long, folder int"
 HISTOGRAM = "df long, words long"
 NEWEST = "doc_id string, version long"
@@ -161,16 +163,6 @@ def _ledger(spark: SparkSession, commits: list) -> DataFrame:
     return _table(spark, commits, "files", FILES).distinct() if commits else spark.createDataFrame([], FILES)
 
 
-def folder_of(key: str, folders: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")
-
-
-def near(df: DataFrame, key: str, wanted: DataFrame, folders: int) -> DataFrame:
-    """``df`` reduced to the folders, and if few the keys, that ``wanted`` names; only a saving."""
-    asked = wanted.select(key, folder_of(key, folders).alias("folder"))
-    return restrict(restrict(df, "folder", asked), key, asked)
-
-
 def _write_by_folder(df: DataFrame, key: str, path: str, folders: int, order: list[str]) -> None:
     """Folders by a hash of ``key``, files sorted; rows of one key may span files."""
     parted = df.withColumn("folder", folder_of(key, folders))
@@ -209,9 +201,8 @@ def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame,
     added = _write_docs(spark, segment, docs, files, folders)
     if lists is not None:
         _write_vectors(spark, segment, added, folders, lists, None)
-    postings = _write_postings(spark, segment, added, folders)
-    _write_by_folder(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", f"{segment}/terms", folders,
-                     ["term"])
+    postings, blocks = _write_postings(spark, segment, added, folders)
+    _write_by_folder(blocks.groupBy("term").agg(F.sum("n").alias("df")), "term", f"{segment}/terms", folders, ["term"])
     terms = spark.read.schema(TERMS).parquet(f"{segment}/terms")
     lexical.df_histogram(terms).write.parquet(f"{segment}/histogram")
     spark.createDataFrame([], NEWEST).write.parquet(f"{segment}/newest")
@@ -251,9 +242,15 @@ def _centroids(spark: SparkSession, commits: list) -> np.ndarray:
     return np.array([r["centre"] for r in rows]) if rows else np.zeros((0, 0))
 
 
-def _write_postings(spark: SparkSession, segment: str, docs: DataFrame, folders: int) -> DataFrame:
-    _write_by_folder(lexical.build_postings(docs), "term", f"{segment}/postings", folders, ["term", "doc_id"])
-    return spark.read.schema(POSTINGS).parquet(f"{segment}/postings")
+def _write_postings(spark: SparkSession, segment: str, docs: DataFrame, folders: int) -> tuple[DataFrame, DataFrame]:
+    """Write a segment's postings in blocks, and their directory; returns both as stored."""
+    raw = stored(lexical.build_postings(docs), "postings")
+    mean = (raw.agg(F.sum("tf").alias("t")).first()["t"] or 0) / max(docs.count(), 1) or 1.0
+    placed = with_blocks(raw, mean)
+    _write_by_folder(placed, "term", f"{segment}/postings", folders, ["term", "block", "doc_id"])
+    postings = spark.read.schema(POSTINGS).parquet(f"{segment}/postings")
+    _write_by_folder(block_directory(postings, mean), "term", f"{segment}/blocks", folders, ["term", "block"])
+    return postings, spark.read.schema(BLOCKS).parquet(f"{segment}/blocks")
 
 
 def _last_seq(spark: SparkSession, segment: str, commits: list, own: int | None = None) -> int:
@@ -305,7 +302,10 @@ def _open(spark: SparkSession, commits: list) -> Index:
     lists = VectorLists(_centroids(spark, commits), reduce(DataFrame.unionByName, codes),
                         corpus.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding"),
                         folders) if kept else None
-    return Index(corpus, LexicalIndex(corpus.select("doc_id"), tuple(postings), terms, stats, folders), folders, lists)
+    # a directory also counts documents that were replaced later: its bounds hold for the rest
+    blocks = tuple(_table(spark, [r], "blocks", BLOCKS) for r in commits)
+    return Index(corpus, LexicalIndex(corpus.select("doc_id"), tuple(postings), terms, stats, folders, blocks), folders,
+                 lists)
 
 
 def scan_corpus(index: Index) -> DataFrame:
@@ -379,7 +379,8 @@ def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: st
     replaced = stored(lookup_join(near(before.corpus, "doc_id", touched, folders), touched, ["doc_id"], "left_semi",
                                   small=small).select("doc_id", "content", "metadata"), "replaced")
     gone = lexical.build_postings(replaced)
-    signed = stored(_write_postings(spark, segment, added, folders).select("term", "tf", F.lit(1).alias("sign"))
+    written, _ = _write_postings(spark, segment, added, folders)
+    signed = stored(written.select("term", "tf", F.lit(1).alias("sign"))
                     .unionByName(gone.select("term", "tf", F.lit(-1).alias("sign")))
                     .groupBy("term").agg(F.sum("sign").alias("df"), F.sum(F.col("tf") * F.col("sign")).alias("tf")),
                     "moved-terms")

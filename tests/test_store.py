@@ -70,23 +70,42 @@ def test_search_sees_committed_documents(spark, path):
     assert search(query, store.load_index(spark, path), k=1).first().doc_id == "n1"
 
 
+def scans(df, column):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "FileScan parquet [" in line and column in line.split("]")[0]]
+
+
+def partition_filters(scan):
+    return scan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_a_short_query_reads_only_its_terms(spark, path):
     from corpusmill.operators.lexical import score_bm25
 
     index = store.compact(spark, path, folders=64)
     query = spark.createDataFrame([(1, "x y")], "query_id long, query string")
-    plan = score_bm25(query, index.lexical)._jdf.queryExecution().executedPlan().toString()
-    scans = [line for line in plan.split("\n") if "FileScan parquet [" in line and "tf#" in line]
-    assert scans and all("In(term, [" in line and "folder#" in line.split("PartitionFilters: [")[1].split("]")[0]
-                         for line in scans)
+    found = scans(score_bm25(query, index.lexical), "tf#")
+    assert found and all("In(term, [" in line and "dynamicpruning" in partition_filters(line) for line in found)
+
+
+def test_a_batch_of_many_terms_reads_the_folders_of_its_terms(spark, path):
+    from corpusmill.operators.lexical import score_bm25
+
+    index = store.load_index(spark, path)
+    query = spark.range(50).select(F.col("id").alias("query_id"), F.concat_ws(
+        " ", F.lit("x"), F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.concat(F.lit("t"), "id", F.lit("_"), i))
+    ).alias("query"))
+    found = scans(score_bm25(query, index.lexical), "tf#")
+    assert found and all("folder#" in partition_filters(x) and "dynamicpruning" in partition_filters(x) for x in found)
 
 
 def test_a_commit_reads_the_folders_of_its_ids(spark, path):
     index = store.load_index(spark, path)
-    wanted = spark.createDataFrame([("a",), ("zz",)], "doc_id string")
-    plan = store.near(index.corpus, "doc_id", wanted, index.folders)._jdf.queryExecution().executedPlan().toString()
-    scan = next(line for line in plan.split("\n") if "FileScan parquet [" in line and "content#" in line)
-    assert "folder#" in scan.split("PartitionFilters: [")[1].split("]")[0] and "In(doc_id, [" in scan
+    for ids in (2, 3000):
+        wanted = spark.range(ids).select(F.col("id").cast("string").alias("doc_id"))
+        found = scans(store.near(index.corpus, "doc_id", wanted, index.folders), "content#")
+        assert found and all("dynamicpruning" in partition_filters(line) for line in found)
+        assert ("In(doc_id, [" in found[0]) == (ids == 2)
 
 
 def test_ids_given_twice_are_stored_once(spark):
