@@ -1,12 +1,14 @@
+import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from conftest import prose
 
-from corpusmill.llm.toxicity import (SPACE, LinearModel, fit_nnpu, keep_clean, score_toxicity, text_features,
-                                     train_toxicity, without_copies, word_features)
+from corpusmill.llm.toxicity import (SPACE, LinearModel, Patterns, SparkPatterns, descend, fit_nnpu, keep_clean,
+                                     score_toxicity, text_features, train_toxicity, without_copies, word_features)
 from corpusmill.llm.words import WordTable, crc_of
 
 SF_DIR = "/root/testdata/sf0.1"
@@ -80,6 +82,77 @@ def test_a_term_of_few_positive_texts_is_weighed():
     assert model.weights[7] > 0.5 and model.weights[9] > 0.5
 
 
+def plain_fit(positive, unlabelled, n, prior, steps, rate=0.05, thin=2e-4):
+    """The estimator by plain loops over texts and features."""
+    w, b, m, v = [0.0] * n, math.log(prior / (1 - prior)), [0.0] * (n + 1), [0.0] * (n + 1)
+
+    def soft(z):
+        return math.log1p(math.exp(z)) if z < 30 else z
+
+    def cell(z):
+        return 1 / (1 + math.exp(-z))
+
+    for step in range(1, steps + 1):
+        p, u = ([b + sum(w[f] for f in t) for t in side] for side in (positive, unlabelled))
+        part = sum(map(soft, u)) / len(u) - prior * sum(map(soft, p)) / len(p)
+        grad = [0.0] * (n + 1)
+
+        def add(texts, slopes):
+            for t, s in zip(texts, slopes):
+                for f in t:
+                    grad[f] += s
+                grad[n] += s
+
+        sign = 1 if part >= 0 else -1
+        add(unlabelled, [sign * cell(z) / len(u) for z in u])
+        add(positive, [-sign * prior * cell(z) / len(p) for z in p])
+        if part >= 0:
+            add(positive, [-prior * cell(-z) / len(p) for z in p])
+        for i in range(n + 1):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * grad[i], 0.99 * v[i] + 0.01 * grad[i] ** 2
+            move = rate * (m[i] / (1 - 0.9 ** step)) / (math.sqrt(v[i] / (1 - 0.99 ** step)) + 1e-8)
+            if i == n:
+                b -= move
+            else:
+                w[i] = math.copysign(max(abs(w[i] - move) - thin, 0), w[i] - move)
+    return w, b
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.6])  # the second reaches the negative part
+def test_fit_agrees_with_plain_loops(spark, prior):
+    rng = random.Random(7)
+    positive = [sorted(rng.sample(range(6), rng.randrange(1, 4))) for _ in range(30)]
+    unlabelled = [sorted(rng.sample(range(6), rng.randrange(3))) for _ in range(80)]
+    want_w, want_b = plain_fit(positive, unlabelled, 6, prior, 60)
+    kinds = Counter(tuple(t) for t in unlabelled if t)
+    arrays = [np.array(t, "<i4") for t in kinds]
+    table = spark.createDataFrame([(bytearray(a.tobytes()), n) for a, n in zip(arrays, kinds.values())],
+                                  "pattern binary, n long")
+    sides = [Patterns([np.array(t, np.int64) for t in unlabelled], np.ones(80), 80),
+             Patterns(arrays, list(kinds.values()), 80), SparkPatterns(table, sum(kinds.values()), 80)]
+    for side, steps in zip(sides, (60, 60, 6)):
+        w, b = descend([np.array(t) for t in positive], side, 6, prior, steps)
+        if steps < 60:
+            want_w, want_b = plain_fit(positive, unlabelled, 6, prior, steps)
+        assert np.allclose(w, want_w, atol=1e-6) and abs(b - want_b) < 1e-6  # rounding, enlarged by small moments
+
+
+def test_sums_in_tasks_give_the_same_model(spark, make_docs):
+    rows, toxic = corpus(150)
+    labels = spark.createDataFrame([(i, t) for (i, _), t in zip(rows, toxic)], "doc_id long, toxic int")
+    one, other = (train_toxicity(make_docs(rows), labels, driver_cells=c, steps=3) for c in (10**6, 0))
+    assert np.count_nonzero(one.weights) and np.allclose(one.weights, other.weights, atol=1e-6)
+    assert abs(one.bias - other.bias) < 1e-9
+
+
+def test_equal_texts_count_once(spark, make_docs):
+    rows, toxic = corpus(200)
+    labels = spark.createDataFrame([(i, t) for (i, _), t in zip(rows, toxic)], "doc_id long, toxic int")
+    copies = [(1000 + i, rows[next(j for j, t in enumerate(toxic) if t)][1]) for i in range(300)]
+    one, other = (train_toxicity(make_docs(r), labels) for r in (rows, rows + copies))
+    assert (one.weights == other.weights).all() and one.bias == other.bias
+
+
 def test_nothing_to_learn_from_gives_the_prior():
     assert abs(1 / (1 + np.exp(-fit_nnpu([], [], 0.25).bias)) - 0.25) < 1e-9
 
