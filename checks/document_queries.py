@@ -16,6 +16,8 @@ from corpusmill.sources.index_store import load_index, save_index, scan_corpus
 
 KEYS = DEMAND_DEPOSIT.key_fields
 BASE, TOP = KEYS[2], KEYS[3]
+# Rows that are written come in sheets of so many keys.
+SHEET_KEYS = 2000
 DATA = ["은행", "상품명", BASE, TOP, "종류"]
 SPACE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]+"
 
@@ -68,14 +70,17 @@ def csv_product_scan(t: Tables) -> DataFrame:
     return sheets.read_products_csv(t.spark, path).select(*[documents.q(c).alias(n) for c, n in names.items()])
 
 
-@query("""SELECT p_brand AS sheet, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_ordinal,
+@query(f"""SELECT p_brand || '~' || (p_partkey // {SHEET_KEYS}) AS sheet,
+row_number() OVER (PARTITION BY p_brand, p_partkey // {SHEET_KEYS} ORDER BY p_partkey) - 1 AS row_ordinal,
 p_brand AS bank, CAST(p_retailprice AS VARCHAR) AS first_rate, CAST(p_size AS VARCHAR) AS second_rate,
 p_type || ', ' || p_name AS conditions FROM part""")
 def two_level_header_scan(t: Tables) -> DataFrame:
     path = scratch_dir(t.spark, "two-level")
     top = ["은행", "제공 금리(%)", "", "우대금리 조건"]
     sub = ["", "1개월 이상 ~ 3개월 미만", "3개월 이상 ~ 6개월 미만", ""]
-    sheet = F.replace("p_brand", F.lit("#"), F.lit("_")).alias("sheet")
+    # a brand has as many sheets as its keys need
+    sheet = F.concat(F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("~"),
+                     F.floor(F.col("p_partkey") / SHEET_KEYS).cast("string")).alias("sheet")
     quoted = F.concat(F.lit('"'), "p_type", F.lit(", "), "p_name", F.lit('"'))
     body = t.part.select(sheet, F.col("p_partkey").alias("place"), F.concat_ws(
         ",", "p_brand", F.col("p_retailprice").cast("string"), F.col("p_size").cast("string"), quoted).alias("value"))
@@ -187,16 +192,20 @@ def through_store(t: Tables, docs: DataFrame) -> DataFrame:
 '은행: ' || c_name || ', 제공 금리(%) 1개월 이상 ~ 3개월 미만: ' || c_nationkey || ', 1년 6개월 이상 ~ 만기: ' || c_custkey
 || ', 우대금리 조건: ' || c_mktsegment || ' 이체' AS key_summary, c_name AS bank FROM customer""")
 def soldier_savings_ingest(t: Tables) -> DataFrame:
-    """A sheet with two header rows and marked-up cells, as documents, through the store."""
+    """Sheets with two header rows and marked-up cells, as documents, through the store."""
     path = scratch_dir(t.spark, "two-level")
-    heads = t.spark.createDataFrame([(-2, "은행,제공 금리(%),,우대금리 조건"), (-1, ",1개월 이상 ~ 3개월 미만,1년 6개월 이상 ~ 만기,")],
-                                    "place long, value string")
-    body = t.customer.select(F.col("c_custkey").cast("long").alias("place"), F.concat_ws(
+    # sheets of bounded size, named in the order of their rows, each with its two header rows
+    sheet = F.lpad(F.floor(F.col("c_custkey") / SHEET_KEYS).cast("string"), 12, "0").alias("sheet")
+    heads = t.customer.select(sheet).distinct().select("sheet", F.explode(F.array(*[
+        F.struct(F.lit(i).cast("long").alias("place"), F.lit(line).alias("value")) for i, line in (
+            (-2, "은행,제공 금리(%),,우대금리 조건"), (-1, ",1개월 이상 ~ 3개월 미만,1년 6개월 이상 ~ 만기,"))])).alias("h")).select(
+                "sheet", "h.*")
+    body = t.customer.select(sheet, F.col("c_custkey").cast("long").alias("place"), F.concat_ws(
         ",", "c_name", F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string"),
         F.concat(F.lit("▷"), "c_mktsegment", F.lit("<br />이체"))).alias("value"))
-    # one sheet is one file
-    heads.unionByName(body).repartition(1).sortWithinPartitions("place").select("value").write.text(path)
-    return through_store(t, ingest.sheet_documents(t.spark, path, SOLDIER_SAVINGS))
+    lines = heads.unionByName(body).repartition("sheet").sortWithinPartitions("sheet", "place")
+    lines.select("sheet", "value").write.partitionBy("sheet").text(path)
+    return through_store(t, ingest.sheet_documents(t.spark, f"{path}/*", SOLDIER_SAVINGS))
 
 
 @query("""SELECT CAST(item_id AS VARCHAR) AS id, text AS content, 'item ' || item_id AS name FROM benchmark""")

@@ -245,6 +245,19 @@ def hybrid_search_approx(t: Tables) -> DataFrame:
     return found.select("query_id", "rank", "doc_id", "combined_score", "vector_score", "bm25_score")
 
 
+# Every query asks for 1 to 5 hits of its own; its lists are twice as long.
+OWN_K = "(1 + query_id % 5)"
+PER_QUERY_SQL = HITS_SQL.replace(f"WHERE rank <= {N}", f"WHERE rank <= 2 * {OWN_K}").replace(
+    f"{N} + min(rank)", f"2 * {OWN_K} + min(rank)").replace(f"WHERE rank <= {K})", f"WHERE rank <= {OWN_K})")
+
+
+@query(f"{PER_QUERY_SQL} SELECT query_id, rank, doc_id, combined_score, vector_score, bm25_score FROM hits")
+def search_k_per_query(t: Tables) -> DataFrame:
+    asked = questions(t).withColumn("k", 1 + F.col("query_id") % 5)
+    found = search_plan.search(asked, stored_index(corpus(t)), 3)
+    return found.select("query_id", "rank", "doc_id", "combined_score", "vector_score", "bm25_score")
+
+
 # --- answers ---------------------------------------------------------------------------------------
 
 CONTEXT_SQL = "contexts AS (SELECT query_id, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id)"

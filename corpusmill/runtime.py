@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +30,8 @@ PUSHED_VALUES = 10
 
 
 _LOCAL_BASE: dict[str, str] = {}
+# Folders that ``stored`` made in the innermost ``scratch_scope`` of a thread.
+_MADE: ContextVar[list[str] | None] = ContextVar("corpusmill_scratch", default=None)
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
@@ -41,9 +46,29 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``stored`` writes within, in this thread.
+
+    For work whose results are written elsewhere before the end, such as a micro-batch.
+    """
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        made = _MADE.get()
+        _MADE.reset(token)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_dir(df.sparkSession, purpose)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -265,6 +265,11 @@ def _entries(spark: SparkSession, commits: list) -> DataFrame:
         _table(spark, [r], "docs", DOCS).withColumn("version", F.lit(r["version"])) for r in commits])
 
 
+def segments(spark: SparkSession, path: str) -> int:
+    """Number of segments that make up the store."""
+    return len(_commits(spark, path))
+
+
 def load_index(spark: SparkSession, path: str) -> Index:
     """Open a store: live documents and their lexical index."""
     commits = _commits(spark, path)
