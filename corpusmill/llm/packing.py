@@ -126,16 +126,6 @@ class PieceTokenizer:
         return [self._gathered(codes) for codes in runs]
 
 
-_LOADED: dict[str, PieceTokenizer] = {}
-
-
-def loaded_tokenizer(path: str) -> PieceTokenizer:
-    """The tokenizer of a Python worker, kept with what it remembers for the worker's later tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = PieceTokenizer(path)
-    return _LOADED[path]
-
-
 def assign(lengths: list[int], sizes: list[int], linear: float, quadratic: float) -> list[list[tuple[int, int, int, int]]]:
     """Deal pieces of the given lengths to sequences of the given sizes; both sum to the same.
 
@@ -187,7 +177,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
                         ("ids", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = loaded_tokenizer(tokenizer)
+        encode = PieceTokenizer(tokenizer)  # freed after the task
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         waiting: list[tuple[object, int, int, np.ndarray]] = []  # (id, ids before, document's ids, ids)
         tokens = 0
