@@ -17,7 +17,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round gives every node the smallest label beside it and then its label's label, so labels
     cross a component in a number of rounds that grows with the logarithm of its width. Minima
     are combined before their shuffle, so a node with very many edges is no hot group. Each round is a
-    written table, which cuts lineage and survives lost executors.
+    written table, which cuts lineage and survives lost executors. Ends are not null; repeated edges count once,
+    an edge from a node to itself joins nothing else, and no edges give no rows.
     """
     both = stored(edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
                   .union(edges.select(F.col(b), F.col(a))).distinct(), "edges")

@@ -167,7 +167,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 30000, rem
                   id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
     """Fit on a bounded sample: at most ``max_rows`` labelled texts, the first by a hash of the id.
 
-    Held-out ids, null ids and null labels are not used.
+    Held-out ids, null ids and null labels are not used. A null or empty text has the statistics of no words; of
+    texts that share an id the first by hash is used, an id labelled twice has the larger label, so repeated rows
+    change nothing. Without labelled texts the model is a constant.
     """
     chosen = first_by_hash(known_labels(labels, "quality", id_col, remainder), max_rows)
     schema = "label int, statistics array<double>"

@@ -116,7 +116,9 @@ def redact_secrets(docs: DataFrame, reach: int = 200, text_col: str = "text", le
                    mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of ``docs``, with ``mark`` in place of each stretch of reported spans.
 
-    ``length_col`` names a column to set to the new number of code points. A null text stays null.
+    ``length_col`` names a column to set to the new number of code points. A null text stays null, an empty or
+    blank one as it is; texts are searched whole, however long; spans that overlap or touch get one mark.
+    Repeated rows are changed alike, ids play no part, and an empty table gives no rows.
     """
 
     @F.pandas_udf("string")

@@ -101,3 +101,29 @@ def test_run_is_the_stages_in_turn(spark, outputs):
     run = corpus_pipeline.run(spark, SF_DIR)
     assert run.columns == outputs[-1][2].columns
     assert sum(n for _, _, n in key(run)) == sum(n for _, _, n in key(outputs[-1][2]))
+
+
+def tables(spark, folder, docs, labels):
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_messy_tables(spark, messy, messy_rows, tmp_path):
+    """Nulls, blanks, copies, repeated ids and very long texts pass all stages; what is clean and alone is packed."""
+    labels = [(None, 1, 1), (5, None, None), (4, 1, 0), (4, 0, 1), (4, 0, 1), (99, 0, 1)]
+    folder = tables(spark, tmp_path, messy, labels)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, folder)
+    kept = [r.doc_id for r in docs.collect()]
+    # of copies one stays; 4 is labelled toxic
+    assert len({0, 1, 2} & set(kept)) == 1 and len({5, 6} & set(kept)) == 1 and kept.count(6) <= 1
+    assert {3, -9, 2**60} <= set(kept) and kept.count(7) == 2
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert packed and {r.doc_id for r in packed} <= set(kept) and all(0 < r.length <= 2048 for r in packed)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 1), (2, 0, 0)]])
+def test_empty_tables(spark, empty, tmp_path, labels):
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path, empty, labels)).count() == 0
