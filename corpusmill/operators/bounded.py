@@ -37,13 +37,16 @@ def _doc_block(blocks: Column) -> Column:
     return 1 + F.pmod(F.xxhash64("doc_id"), blocks)
 
 
-def with_blocks(postings: DataFrame, mean: float, size: int = BLOCK_POSTINGS) -> DataFrame:
+def with_blocks(postings: DataFrame, mean: float, counts: DataFrame | None = None, size: int = BLOCK_POSTINGS
+                ) -> DataFrame:
     """``postings`` (doc_id, term, tf, dl; a written table) with their ``block``; ``mean`` is the mean length.
 
-    Terms of at most ``size`` postings have block 0 alone. For the others the border of block 0 is found per
+    ``counts`` (term, n) saves counting the postings per term. Terms of at most ``size`` postings have block 0 alone. For the others the border of block 0 is found per
     term, which combines before its shuffle, and given to the postings by a join that spreads hot terms.
     """
-    long = stored(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size), "long-terms")
+    if counts is None:
+        counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    long = counts.filter(F.col("n") > size).select("term", "n")
     if long.isEmpty():
         return postings.withColumn("block", F.lit(0))
     impact = F.struct(scores.term_weight(F.col("tf"), F.col("dl"), F.lit(mean)).alias("impact"),

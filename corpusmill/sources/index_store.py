@@ -201,14 +201,14 @@ def _write_base(spark: SparkSession, path: str, commits: list, docs: DataFrame,
     added = _write_docs(spark, segment, docs, files, folders)
     if lists is not None:
         _write_vectors(spark, segment, added, folders, lists, None)
-    postings, blocks = _write_postings(spark, segment, added, folders)
-    _write_by_folder(blocks.groupBy("term").agg(F.sum("n").alias("df")), "term", f"{segment}/terms", folders, ["term"])
+    counts = _write_postings(spark, segment, added, folders)
+    _write_terms(counts.select("term", F.col("n").alias("df")), segment, folders)
     terms = spark.read.schema(TERMS).parquet(f"{segment}/terms")
     lexical.df_histogram(terms).write.parquet(f"{segment}/histogram")
     spark.createDataFrame([], NEWEST).write.parquet(f"{segment}/newest")
     # Every token is counted in exactly one posting, so the tf add up to the total length.
     totals = added.agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "total_dl", postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).scalar())
+        "total_dl", counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).scalar())
     histogram = spark.read.schema(HISTOGRAM).parquet(f"{segment}/histogram")
     lexical.with_mean_idf(totals, histogram).coalesce(1).write.parquet(f"{segment}/stats")
     _append_log(spark, path, version, segment, "base", batch, _done(commits),
@@ -242,15 +242,22 @@ def _centroids(spark: SparkSession, commits: list) -> np.ndarray:
     return np.array([r["centre"] for r in rows]) if rows else np.zeros((0, 0))
 
 
-def _write_postings(spark: SparkSession, segment: str, docs: DataFrame, folders: int) -> tuple[DataFrame, DataFrame]:
-    """Write a segment's postings in blocks, and their directory; returns both as stored."""
+def _write_terms(terms: DataFrame, segment: str, folders: int) -> None:
+    """One row per term, so a hash of the term deals them evenly."""
+    parted = terms.withColumn("folder", folder_of("term", folders))
+    parted.repartition("folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{segment}/terms")
+
+
+def _write_postings(spark: SparkSession, segment: str, docs: DataFrame, folders: int) -> DataFrame:
+    """Write a segment's postings in blocks, and their directory; returns the counts per term (term, n, tf)."""
     raw = stored(lexical.build_postings(docs), "postings")
-    mean = (raw.agg(F.sum("tf").alias("t")).first()["t"] or 0) / max(docs.count(), 1) or 1.0
-    placed = with_blocks(raw, mean)
+    counts = stored(raw.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("tf")), "term-counts")
+    mean = (counts.agg(F.sum("tf").alias("t")).first()["t"] or 0) / max(docs.count(), 1) or 1.0
+    placed = with_blocks(raw, mean, counts)
     _write_by_folder(placed, "term", f"{segment}/postings", folders, ["term", "block", "doc_id"])
     postings = spark.read.schema(POSTINGS).parquet(f"{segment}/postings")
     _write_by_folder(block_directory(postings, mean), "term", f"{segment}/blocks", folders, ["term", "block"])
-    return postings, spark.read.schema(BLOCKS).parquet(f"{segment}/blocks")
+    return counts
 
 
 def _last_seq(spark: SparkSession, segment: str, commits: list, own: int | None = None) -> int:
@@ -384,12 +391,11 @@ def commit_changes(spark: SparkSession, path: str, changes: DataFrame, batch: st
     replaced = stored(lookup_join(near(before.corpus, "doc_id", touched, folders), touched, ["doc_id"], "left_semi",
                                   small=small).select("doc_id", "content", "metadata"), "replaced")
     gone = lexical.build_postings(replaced)
-    written, _ = _write_postings(spark, segment, added, folders)
-    signed = stored(written.select("term", "tf", F.lit(1).alias("sign"))
-                    .unionByName(gone.select("term", "tf", F.lit(-1).alias("sign")))
-                    .groupBy("term").agg(F.sum("sign").alias("df"), F.sum(F.col("tf") * F.col("sign")).alias("tf")),
-                    "moved-terms")
-    _write_by_folder(signed.filter("df <> 0").select("term", "df"), "term", f"{segment}/terms", folders, ["term"])
+    counts = _write_postings(spark, segment, added, folders)
+    signed = stored(counts.select("term", F.col("n").alias("df"), "tf")
+                    .unionByName(gone.groupBy("term").agg((-F.count(F.lit(1))).alias("df"), (-F.sum("tf")).alias("tf")))
+                    .groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")), "moved-terms")
+    _write_terms(signed.filter("df <> 0").select("term", "df"), segment, folders)
 
     moved = signed.filter("df <> 0").select("term", F.col("df").alias("change"))
     old = lookup_join(near(before.lexical.terms, "term", moved, folders).drop("folder"), moved, ["term"], "inner"
