@@ -111,7 +111,7 @@ def tables(spark, folder, docs, labels):
 
 def test_messy_tables(spark, messy, messy_rows, tmp_path):
     """Nulls, blanks, copies, repeated ids and very long texts pass all stages; what is clean and alone is packed."""
-    labels = [(None, 1, 1), (5, None, None), (4, 1, 0), (4, 0, 1), (4, 0, 1), (99, 0, 1)]
+    labels = [(None, 1, 1), (5, None, None), (4, 1, 0), (4, 0, 1), (4, 0, 1), *[(100 + i, 1, 0) for i in range(30)]]
     folder = tables(spark, tmp_path, messy, labels)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:2]:
