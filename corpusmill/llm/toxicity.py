@@ -266,7 +266,7 @@ def _held_features(texts: DataFrame, features: np.ndarray) -> DataFrame:
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, place = WordTable(word_features), shared.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):  # most words of a text hold candidates
             values, lengths = table(texts_of(part.column("text")))
             found = place[values] if len(values) else np.zeros((0, 1), np.int32)
             row, column = np.nonzero(found >= 0)
