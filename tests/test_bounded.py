@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,43 @@ def test_empty_queries_and_corpus(spark, index, asked):
     assert bm25_topk(asked.filter("query_id = 99"), index.lexical, 3, many_postings=0).count() == 0
     bare = store.stored_index(spark.createDataFrame([], DOC))
     assert bm25_topk(asked, bare.lexical, 3, many_postings=0).count() == 0
+
+
+def test_postings_are_sent_once_where_bounds_leave_most(spark, index):
+    words = " ".join(["common", *(f"w{i}" for i in range(1, 40))])
+    batch = spark.createDataFrame([(i, words) for i in range(30)], "query_id long, query string")
+    blocks = search(index, batch, 200)
+    got = blocks.scores().groupBy("query_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n")).collect()
+    assert "_read" not in vars(blocks)
+    want = lexical.score_bm25(batch, index.lexical).agg(F.max("score")).first()[0]
+    assert len(got) == 30 and all(abs(r.best - want) < 1e-9 and r.n >= 200 for r in got)
+    assert hits(bm25_topk(batch, index.lexical, 200, many_postings=0)) == hits(bm25_topk(batch, index.lexical, 200))
+
+
+def test_postings_of_all_queries_are_sent_by_document_alone(index, asked):
+    plan = lexical.score_bm25(asked, index.lexical)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and not re.search(r"hashpartitioning\(query_id#\d+L, doc_id", plan)
+
+
+def test_terms_of_a_document_are_counted_where_it_lies(spark):
+    rows = [("a", "x y x  z"), ("b", ""), ("c", "x"), ("d", " ")]
+    docs = store.as_corpus(spark.createDataFrame(rows, DOC))
+    own = lexical.count_terms(docs)
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    assert sorted(own.collect()) == sorted(lexical.build_postings(docs).collect())
+
+
+def test_a_task_counts_a_bounded_text(spark, monkeypatch):
+    docs = store.as_corpus(spark.createDataFrame(texts(400, 4), DOC))
+    monkeypatch.setattr("corpusmill.operators.lexical.TASK_TEXT", 2000)
+    assert lexical.build_postings(docs).rdd.getNumPartitions() > 16
+
+
+def test_a_build_leaves_no_tables_beside_the_store(spark):
+    from pathlib import Path
+
+    folder = scratch_dir(spark, "store")
+    shared = Path(folder).parent
+    before = set(shared.iterdir())
+    store.save_index(spark.createDataFrame(texts(50, 5), DOC), folder)
+    assert {p.name for p in set(shared.iterdir()) - before} == {Path(folder).name}
