@@ -315,3 +315,14 @@ def test_xml_pages(spark, tmp_path):
     landed = spark.createDataFrame([(1,), (3,)], "page_no long")
     assert [r[0] for r in missing_pages(landed, records.read_page_totals(spark, str(tmp_path)), 2).collect()] == [2]
     assert missing_pages(landed, 0, 2).count() == 0
+
+
+def test_a_brand_is_one_sheet_however_wide_its_keys(spark, tmp_path):
+    from checks import document_queries  # noqa: F401
+    from checks.registry import QUERIES
+
+    rows = [(k, f"part, {k}", f"Brand#{k % 2}", "STEEL", k % 50, 1.5) for k in (1, 2, 1999, 2000, 4001, 90_000)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+                          ).write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["two_level_header_scan"](spark, str(tmp_path)).collect()
+    assert sorted((r.sheet, r.row_ordinal) for r in found) == [(f"Brand#{b}", i) for b in (0, 1) for i in range(3)]
