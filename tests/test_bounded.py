@@ -165,7 +165,7 @@ def test_a_build_leaves_no_tables_beside_the_store(spark):
     from pathlib import Path
 
     folder = scratch_dir(spark, "store")
-    shared = Path(folder).parent
+    shared = Path(folder.removeprefix("file:")).parent
     before = set(shared.iterdir())
     store.save_index(spark.createDataFrame(texts(50, 5), DOC), folder)
     assert {p.name for p in set(shared.iterdir()) - before} == {Path(folder).name}
