@@ -326,3 +326,17 @@ def test_a_brand_is_one_sheet_however_wide_its_keys(spark, tmp_path):
                           ).write.parquet(f"{tmp_path}/part.parquet")
     found = QUERIES["two_level_header_scan"](spark, str(tmp_path)).collect()
     assert sorted((r.sheet, r.row_ordinal) for r in found) == [(f"Brand#{b}", i) for b in (0, 1) for i in range(3)]
+
+
+def test_a_task_writes_a_bounded_share_of_documents(spark, monkeypatch):
+    from corpusmill.schema import DOCUMENT
+    from corpusmill.sources import corpus_json
+
+    monkeypatch.setattr(corpus_json, "TASK_CONTENT", 1000)
+    rows = spark.range(400).select(*[
+        F.create_map(F.lit("n"), F.col("id").cast("string")).alias("metadata") if f.name == "metadata"
+        else F.concat(F.lit(f"{f.name} "), "id").alias(f.name) for f in DOCUMENT.fields], F.lit("/raw/one.csv").alias("source_file"))
+    path = scratch_dir(spark, "json-out")
+    corpus_json.write_corpus_json(rows.coalesce(1), path)
+    written = corpus_json.read_written_json(spark, path)
+    assert written.count() == 400 and len(written.inputFiles()) > 2
